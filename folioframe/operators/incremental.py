@@ -24,8 +24,8 @@ def low_watermark(source: DataFrame, ledger: DataFrame, seen: str, arrived: str,
     transactions, ``low`` is the end of the last run or null, and null means: read everything.
     """
     last = ledger.agg(F.timestamp_seconds(F.max(done)).cast("timestamp_ntz").alias("last"))
-    opened = source.crossJoin(F.broadcast(last)).where(F.col(arrived) > F.col("last")).agg(F.min(seen).alias("opened"))
-    return last.crossJoin(F.broadcast(opened)).select(F.least("last", "opened").alias("low"))
+    opened = source.where(F.col(arrived) > last.scalar()).agg(F.min(seen).alias("opened"))
+    return last.select(F.least("last", opened.scalar()).alias("low"))
 
 
 def changed_records(
@@ -54,8 +54,8 @@ def changed_records(
     now = source.select(F.col(key).alias("__key"), F.lower(version).alias("__version"), F.col(seen).alias("__seen"), F.col(arrived).alias("__arrived"))
     book = ledger.select(F.col(key).alias("__key"), F.lower(version).alias("__version"), F.col(done).alias("__done"))
     finished = latest(book.where("__done is not null and __version is not null"), "__key", [F.col("__done")], ["__version"])
-    low = F.broadcast(low_watermark(now, book, "__seen", "__arrived", "__done"))  # one row
-    recent = latest(now, "__key", [F.col("__seen"), F.col("__arrived")], ["__version", "__seen"]).crossJoin(low)
+    low = low_watermark(now, book, "__seen", "__arrived", "__done").scalar()
+    recent = latest(now, "__key", [F.col("__seen"), F.col("__arrived")], ["__version", "__seen"]).withColumn("low", low)
     late = (F.col("low").isNull()) | (F.col("__seen").isNull()) | (F.col("__seen") >= F.col("low"))
     # below the watermark only keys without a finished run are left, and the anti-join on the key keeps just those
     reread = recent.where(late).join(finished, ["__key", "__version"], "left_anti")

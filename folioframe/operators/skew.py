@@ -65,3 +65,8 @@ def grouped_rank(rows: DataFrame, group: list[str], order: Column, name: str = "
     )
     on = [data[g].eqNullSafe(ranked[g]) for g in group] + [data["__v"] == ranked["__v"]]
     return data.join(ranked, on, "left").select(*[data[c] for c in rows.columns], ranked[name])
+
+
+def broadcast_if(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most_rows`` rows (counted first), else as it is."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
