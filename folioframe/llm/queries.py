@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioframe.llm import cooccur, fusion, leakage, mixing, neighbours
+from folioframe.llm import cooccur, fusion, leakage, mixing, names, neighbours
 from folioframe.session import table
 
 
+def _stars(spark: SparkSession, d: str) -> DataFrame:
+    return names.link_names(table(spark, d, "entities"), id_col="entity_id", kind_col="entity_type")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.linked_pairs(_stars(spark, d)).select(F.col("id_a").alias("entity_id_a"), F.col("id_b").alias("entity_id_b"))
+
+
+def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Every spelling of a person or organisation with the spelling its cluster is named by."""
+    return _stars(spark, d).select(F.col("id").alias("entity_id"), "kind", "star")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = cooccur.pair_counts(table(spark, d, "entities"), basket="chunk_id", item="entity_id", min_count=5, min_lift=5.0)
     found = cooccur.related_pairs(pairs, table(spark, d, "relations"), "from_entity", "to_entity")
@@ -92,6 +105,6 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_association, p3_found, p3_neighbours, p7_found, p7_ranking, p8_found, p8_spans, p8_clean, p9_found, p9_mix, p9_shares,
+        p1_found, p1_clusters, p2_found, p2_association, p3_found, p3_neighbours, p7_found, p7_ranking, p8_found, p8_spans, p8_clean, p9_found, p9_mix, p9_shares,
     )
 }
