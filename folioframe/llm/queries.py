@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioframe.llm import cooccur, fusion, leakage, mixing, names, neighbours
+from folioframe.llm import cooccur, fusion, leakage, mixing, names, neighbours, truncation
 from folioframe.session import table
 
 
@@ -102,9 +102,23 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mix(sizes, plan, shard_tokens=1_000_000), plan)
 
 
+def _cut(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "documents"), doc="doc_id", text="text", source="source")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _cut(spark, d).select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source truncates, and at which limit."""
+    return truncation.source_rates(table(spark, d, "documents"), _cut(spark, d), source="source", text="text")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_clusters, p2_found, p2_association, p3_found, p3_neighbours, p7_found, p7_ranking, p8_found, p8_spans, p8_clean, p9_found, p9_mix, p9_shares,
+        p1_found, p1_clusters, p2_found, p2_association, p3_found, p3_neighbours, p7_found, p7_ranking, p8_found, p8_spans, p8_clean, p9_found, p9_mix, p9_shares, p10_found,
+        p10_rates,
     )
 }
