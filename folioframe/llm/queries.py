@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioframe.llm import cooccur, fusion, leakage, mixing, names, neighbours, truncation
+from folioframe.llm import cooccur, fusion, leakage, mixing, names, neighbours, ocr_repair, truncation
 from folioframe.session import table
 
 
@@ -44,6 +44,15 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest_neighbours(table(spark, d, "chunks"), k=5)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return ocr_repair.page_noise(table(spark, d, "page_blocks"))
+
+
+def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Continuous readable paragraphs of every file."""
+    return ocr_repair.repaired_paragraphs(table(spark, d, "page_blocks"))
+
+
 def _fused(spark: SparkSession, d: str) -> DataFrame:
     order = F.when(F.col("source") == "Vector", F.col("distance")).otherwise(-F.col("score"))
     return fusion.reciprocal_rank_fusion(table(spark, d, "search_results"), query="query_id", item="id", source="source", order=order)
@@ -118,7 +127,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_clusters, p2_found, p2_association, p3_found, p3_neighbours, p7_found, p7_ranking, p8_found, p8_spans, p8_clean, p9_found, p9_mix, p9_shares, p10_found,
+        p1_found, p1_clusters, p2_found, p2_association, p3_found, p3_neighbours, p5_found, p5_paragraphs, p7_found, p7_ranking, p8_found, p8_spans, p8_clean, p9_found, p9_mix, p9_shares, p10_found,
         p10_rates,
     )
 }
