@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioframe.plans import general_queries
+from folioframe.plans import general_queries, relational_queries
 
-_MODULES = [general_queries]
+_MODULES = [general_queries, relational_queries]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
