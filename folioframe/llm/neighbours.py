@@ -54,6 +54,21 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, width)
 
 
+def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids and unit vectors of the usable rows; scaled by the largest entry first, so that squares neither vanish nor overflow."""
+    for batch in batches:
+        lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+        for width in np.unique(lengths[lengths > 0]):
+            part = batch.filter(pa.array(lengths == width))
+            flat = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, int(width))  # nulls become NaN
+            top = np.abs(flat).max(axis=1)
+            ok = np.isfinite(flat).all(axis=1) & (top > 0)
+            flat = flat[ok] / top[ok][:, None]
+            unit = (flat / np.linalg.norm(flat, axis=1)[:, None]).astype(np.float32) + np.float32(0)  # no negative zeros
+            offsets = pa.array(np.arange(len(unit) + 1, dtype=np.int32) * int(width))
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(ok)), pa.ListArray.from_arrays(offsets, pa.array(unit.ravel()))], names=["id", "unit"])
+
+
 def _keyed(orderings: int, dims: int, bits: int, seed: int):
     frames: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
@@ -133,20 +148,19 @@ def nearest_neighbours(
     """
     spark = rows.sparkSession
     stash = Stash(spark)
-    v = F.col("v")
-    good = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    data = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null").where(good)
-    data = data.groupBy("id").agg(F.max("v").alias("v"))
-    top = F.array_max(F.transform("v", F.abs))  # scaled first, so that squares neither vanish nor overflow
-    data = data.withColumn("top", top).where("top > 0").withColumn("v", F.transform("v", lambda x: x / F.col("top")))
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    data = data.withColumn("len", length).select("id", F.transform("v", lambda x: (x / F.col("len")).cast("float")).alias("unit"))
-    data = stash.put(data)
-    classes = stash.put(data.groupBy("unit").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("size")))
-    shared = stash.put(classes.where("size > 1"))
-    repeated = not shared.isEmpty()
-
-    base = classes.select("cls", "unit")
+    raw = rows.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    unit = raw.mapInArrow(_unit, "id string, unit array<float>")
+    data = stash.put(unit.groupBy("id").agg(F.max("unit").alias("unit")).withColumn("h", F.xxhash64("unit")))
+    alike = stash.put(data.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
+    classes = None
+    if alike.isEmpty():
+        base = data.select(F.col("id").alias("cls"), "unit")
+    else:
+        some = data.join(F.broadcast(alike) if alike.count() <= 100_000 else alike, "h", "left_semi")
+        classes = stash.put(some.groupBy("unit").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("size")))
+        base = classes.select("cls", "unit").unionByName(data.join(alike, "h", "left_anti").select(F.col("id").alias("cls"), "unit"))
+        base = stash.put(base)
+    repeated = classes is not None
     total = base.count() * orderings
     parts = max(1, -(-total // partition_rows))
     keyed = base.mapInArrow(_keyed(orderings, dims, bits, seed), "width int, ordering int, key bigint, cls string, unit array<float>")
@@ -156,14 +170,14 @@ def nearest_neighbours(
     # at most orderings * k entries per class; an exact cosine of float vectors may differ in its last digits between orderings
     merged = near.groupBy("cls", "other").agg(F.max("cosine").alias("cosine")).groupBy("cls").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, k).alias("best"))
     if repeated:
-        members = data.join(shared.select("unit", "cls"), "unit").select("cls", "id")
+        members = some.join(classes.select("unit", "cls"), "unit").select("cls", "id")
         first = members.withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy("id"))).where(F.col("r") <= k + 1)
         heads = stash.put(first.select("cls", "id"))
         wide = merged.select("cls", F.explode("best").alias("b")).select("cls", F.col("b.d").alias("d"), F.col("b.id").alias("ocls"))
         grown = wide.join(heads.withColumnRenamed("cls", "ocls"), "ocls", "left").select("cls", "d", F.coalesce("id", "ocls").alias("id"))
         own = heads.select("cls", F.lit(-1.0).alias("d"), "id")
         best = grown.unionByName(own).groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("d", "id"))).alias("best"))
-        all_members = members.unionByName(classes.where("size = 1").select("cls", F.col("cls").alias("id")))
+        all_members = members.unionByName(data.join(alike, "h", "left_anti").select(F.col("id").alias("cls"), "id"))
         joined = all_members.join(best.select("cls", F.slice("best", 1, k + 1).alias("best")), "cls")
         merged = joined.select("id", F.slice(F.filter("best", lambda b: b["id"] != F.col("id")), 1, k).alias("best"))
     else:
