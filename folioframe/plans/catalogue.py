@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioframe.plans import general_queries, relational_queries
+from folioframe.plans import general_queries, relational_queries, retrieval_queries
 
-_MODULES = [general_queries, relational_queries]
+_MODULES = [general_queries, relational_queries, retrieval_queries]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return general_queries.p4_changes(spark, folder)
+    return retrieval_queries.ret_hybrid_rrf(spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

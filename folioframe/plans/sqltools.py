@@ -97,8 +97,8 @@ def cache_table_name(path: str, sheet: str, block: int = 0) -> str:
 def number_text(x: Column, digits: int = 2) -> Column:
     """A number as shown: whole numbers without a point, others with at most ``digits`` decimals, null as ``NULL``."""
     whole = x == F.floor(x)
-    fixed = F.rtrim(F.lit("0"), F.format_string(f"%.{digits}f", x.cast("double")))
-    return F.when(x.isNull(), "NULL").when(whole, F.format_string("%d", F.floor(x).cast("bigint"))).otherwise(F.rtrim(F.lit("."), fixed))
+    fixed = F.rtrim(F.format_string(f"%.{digits}f", x.cast("double")), F.lit("0"))
+    return F.when(x.isNull(), "NULL").when(whole, F.format_string("%d", F.floor(x).cast("bigint"))).otherwise(F.rtrim(fixed, F.lit(".")))
 
 
 def as_text(df: DataFrame) -> DataFrame:
