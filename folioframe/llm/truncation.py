@@ -38,12 +38,19 @@ def _count(text: Column, piece: str) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(piece)))) / F.lit(len(piece))
 
 
+def _body(text: Column) -> Column:
+    """The text without a trailing sign of a cut; only its last characters are searched for one."""
+    tail = F.right(text, F.lit(40))
+    return F.left(text, F.length(text) - F.length(tail) + F.length(F.regexp_replace(tail, _MARK, "")))
+
+
 def lengths(text: Column) -> dict[str, Column]:
     """The length of a text under the encodings a store may have limited."""
     n, amp, quote = F.length(text), _count(text, "&"), _count(text, '"')
     angle, line, back = _count(text, "<") + _count(text, ">"), _count(text, "\n"), _count(text, "\\")
-    wide = n - F.length(F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}]", ""))
-    other = F.length(F.regexp_replace(text, r"[\x00-\x7F]", ""))
+    plain = F.octet_length(text) == n  # ASCII only: nothing to count
+    wide = F.when(plain, 0).otherwise(n - F.length(F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}]", "")))
+    other = F.when(plain, 0).otherwise(F.length(F.regexp_replace(text, r"[\x00-\x7F]", "")))
     out = {
         "characters": n, "bytes": F.octet_length(text), "utf16": n + wide, "html": n + 4 * amp + 3 * angle + 5 * quote, "html_bytes": F.octet_length(text) + 4 * amp + 3 * angle,
         "json": n + quote + back + line + 5 * other, "crlf": n + line, "crlf_bytes": F.octet_length(text) + line,
@@ -58,9 +65,11 @@ def field_limits(docs: DataFrame, *, source: str, text: str, least: int = 4, sha
     taken off), five times as many as the twenty lengths below have on average, and at most ``beyond`` of the source is
     longer. Of several measures the one with the highest pile counts. Null sources and texts are left out.
     """
-    body = F.regexp_replace(F.col("t"), _MARK, "")
+    body = _body(F.col("t"))
     rows = docs.select(F.col(source).alias("s"), F.col(text).alias("t")).where("s is not null and t is not null").select("s", body.alias("t"))
-    sizes = rows.select("s", F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.lit(k).alias("measure"), v.alias("n")) for i, (k, v) in enumerate(lengths(F.col("t")).items())])).alias("x"))
+    measures = lengths(F.col("t"))
+    sized = rows.select("s", *[v.alias(k) for k, v in measures.items()])
+    sizes = sized.select("s", F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.lit(k).alias("measure"), F.col(k).alias("n")) for i, k in enumerate(measures)])).alias("x"))
     counts = sizes.groupBy("s", "x.m", "x.measure", "x.n").agg(F.count(F.lit(1)).alias("c"))
     whole = Window.partitionBy("s", "m")
     line = whole.orderBy("n")
@@ -212,7 +221,7 @@ def truncated(docs: DataFrame, *, doc: str, text: str, source: str, sample_docs:
     items = {r["w"]: r["n"] / total for r in sizes}
 
     limits = field_limits(docs, source=source, text=text).select(F.col(source).alias("s"), "measure", "limit")
-    body = F.regexp_replace("t", _MARK, "")
+    body = _body(F.col("t"))
     told = rows.join(stash.put(limits), "s", "left")
     length = F.coalesce(*[F.when(F.col("measure") == k, v) for k, v in lengths(body).items()])
     told = told.select(
