@@ -188,7 +188,12 @@ def normalize_space(text: Column) -> Column:
     """Blanks at line ends dropped, runs of blanks one blank, at most one empty line in a row, ends trimmed."""
     out = F.regexp_replace(text, r"[ \t]+\n", "\n")
     out = F.regexp_replace(out, r"[ \t]{2,}", " ")
-    return F.trim(F.regexp_replace(out, r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(out, r"\n{3,}", "\n\n"))
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end (``trim`` takes blanks only)."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def noise_line(line: Column) -> Column:
@@ -289,7 +294,7 @@ def key_value(line: Column) -> Column:
 def strip_fences(text: Column) -> Column:
     """Model output without thoughts and without the fence around it."""
     out = F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(out), r"^```\w*\s*\n?", ""), r"\n?```\s*$", ""))
+    return strip(F.regexp_replace(F.regexp_replace(strip(out), r"^```\w*\s*\n?", ""), r"\n?```\s*$", ""))
 
 
 def garbled_characters(text: Column) -> Column:

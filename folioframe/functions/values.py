@@ -30,7 +30,7 @@ def looks_like_date(text: Column) -> Column:
 
 def cell_number(x: Column) -> Column:
     """A number as a cell shows it: whole numbers without a point, others with at most six decimals."""
-    return F.when(x == F.floor(x), F.format_string("%d", x.cast("bigint"))).otherwise(F.rtrim(F.rtrim(F.format_string("%.6f", x), F.lit("0")), F.lit(".")))
+    return F.when(x.isNotNull() & (x == F.floor(x)), F.format_string("%d", x.cast("bigint"))).when(x.isNotNull(), F.rtrim(F.rtrim(F.format_string("%.6f", x), F.lit("0")), F.lit(".")))
 
 
 def similarity(distance: Column) -> Column:

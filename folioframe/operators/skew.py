@@ -26,6 +26,13 @@ def lookup(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: floa
     return first.unionByName(rest)
 
 
+def _null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join on columns of the same name in which null equals null; they are kept once."""
+    named = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
+    condition = [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in on]
+    return left.join(named, condition, how).drop(*[f"__r_{c}" for c in on])
+
+
 def grouped_rank(rows: DataFrame, group: list[str], order: Column, name: str = "rank", per_bucket: int = 200_000) -> DataFrame:
     """Competition rank (1, 1, 3, ...) of ``order`` ascending within ``group``, whatever the size of a group.
 
@@ -47,7 +54,7 @@ def grouped_rank(rows: DataFrame, group: list[str], order: Column, name: str = "
                 F.percentile_approx("__v", [i / 64 for i in range(1, 64)], 1000).alias("__cuts")
             )
         )
-        values = values.join(cuts, group, "left").withColumn(
+        values = _null_safe(values, cuts, group, "left").withColumn(
             "__b", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("__v"))), F.lit(0))
         ).drop("__cuts")
     else:
@@ -58,11 +65,8 @@ def grouped_rank(rows: DataFrame, group: list[str], order: Column, name: str = "
         F.coalesce(F.sum("__s").over(Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
     ).drop("__s")
     inside = Window.partitionBy(*group, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (
-        values.withColumn("__before", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
-        .join(starts, [*group, "__b"])
-        .select(*group, "__v", (F.col("__before") + F.col("__start") + 1).alias(name))
-    )
+    counted = values.withColumn("__before", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
+    ranked = _null_safe(counted, starts, [*group, "__b"], "inner").select(*group, "__v", (F.col("__before") + F.col("__start") + 1).alias(name))
     on = [data[g].eqNullSafe(ranked[g]) for g in group] + [data["__v"] == ranked["__v"]]
     return data.join(ranked, on, "left").select(*[data[c] for c in rows.columns], ranked[name])
 

@@ -429,7 +429,7 @@ g AS (SELECT *, CASE WHEN length(h) < 2 THEN [] ELSE list_transform(range(1, len
 SELECT a.file_path, a.h AS one, b.h AS other, round(CASE WHEN len(a.g) = 0 OR len(b.g) = 0 THEN 0 ELSE 2.0 * len(list_filter(a.g, lambda x: list_contains(b.g, x))) / (len(a.g) + len(b.g)) END, 6) AS s FROM g a JOIN g b ON a.file_path = b.file_path AND a.h < b.h""",
     "num_render": "SELECT o_orderkey, CASE WHEN o_totalprice = floor(o_totalprice) THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) ELSE rtrim(rtrim(printf('%.6f', o_totalprice), '0'), '.') END AS shown, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS whole FROM orders",
     "ret_key_terms": "SELECT term, count(*) AS n FROM (SELECT unnest(" + _W.format("text") + ") AS term FROM documents WHERE lang = 'fr') WHERE length(term) >= 2 AND NOT regexp_full_match(term, '[0-9]+') AND term NOT IN " + _TERMS + " AND term NOT IN (" + ", ".join(repr(x) for x in T.STOP_WORDS) + ") GROUP BY term ORDER BY n DESC, term LIMIT 20",
-    "txt_garbled": "SELECT page_source, CAST(sum(length(text) - length(regexp_replace(text, '[\x{FFFD}\p{Co}\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]', '', 'g'))) AS BIGINT) AS garbled, CAST(sum(length(text)) AS BIGINT) AS chars FROM page_blocks WHERE text IS NOT NULL GROUP BY page_source",
+    "txt_garbled": r"SELECT page_source, CAST(sum(length(text) - length(regexp_replace(text, '[\x{FFFD}\p{Co}\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]', '', 'g'))) AS BIGINT) AS garbled, CAST(sum(length(text)) AS BIGINT) AS chars FROM page_blocks WHERE text IS NOT NULL GROUP BY page_source",
     "num_excel_date": "SELECT p_partkey, CASE WHEN p_partkey >= 1 THEN strftime(DATE '1899-12-30' + CAST(p_partkey + CASE WHEN p_partkey <= 59 THEN 1 ELSE 0 END AS INT), '%Y-%m-%d') || ' 06:00:00' END AS stamp, CASE WHEN p_partkey >= 1 THEN strftime(DATE '1899-12-30' + CAST(p_partkey + CASE WHEN p_partkey <= 59 THEN 1 ELSE 0 END AS INT), '%Y-%m-%d') END AS day FROM part",
     "evt_tumbling": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY 1, 2",
     "evt_sliding": "SELECT s AS start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS s FROM events) GROUP BY s",
