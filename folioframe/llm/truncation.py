@@ -24,7 +24,8 @@ from folioframe.stash import Stash
 SAMPLE_DOCS, SAMPLE_SENTENCES = 4000, 40_000
 _BITS = 18
 # Signs left by a cut, that are not part of the text.
-_MARK = r"(?:\s?\.\.\.|\s?…{1,2}|\s*\[(?:more|cut|truncated|continued)\]|\x{FFFD}+|,)$"
+# The same for lengths: a blank before dots is the text's own last character.
+_LENGTH_MARK = r"(?:\.\.\.|…{1,2}|\s?\[(?:more|cut|truncated|continued)\]|\x{FFFD}+|,)$"
 _PYMARK = re.compile(r"(?:\s?\.\.\.|\s?…{1,2}|\s*\[(?:more|cut|truncated|continued)\]|�+|,)$")
 _SURE = re.compile(r"(?:\s*\[(?:more|cut|truncated|continued)\]|�+)$")
 _END = re.compile(r"[.!?。！？][\"'”’»)\]]*$")
@@ -41,7 +42,7 @@ def _count(text: Column, piece: str) -> Column:
 def _body(text: Column) -> Column:
     """The text without a trailing sign of a cut; only its last characters are searched for one."""
     tail = F.right(text, F.lit(40))
-    return F.left(text, F.length(text) - F.length(tail) + F.length(F.regexp_replace(tail, _MARK, "")))
+    return F.left(text, F.length(text) - F.length(tail) + F.length(F.regexp_replace(tail, _LENGTH_MARK, "")))
 
 
 def lengths(text: Column) -> dict[str, Column]:
@@ -53,7 +54,7 @@ def lengths(text: Column) -> dict[str, Column]:
     other = F.when(plain, 0).otherwise(F.length(F.regexp_replace(text, r"[\x00-\x7F]", "")))
     out = {
         "characters": n, "bytes": F.octet_length(text), "utf16": n + wide, "html": n + 4 * amp + 3 * angle + 5 * quote, "html_bytes": F.octet_length(text) + 4 * amp + 3 * angle,
-        "json": n + quote + back + line + 5 * other, "crlf": n + line, "crlf_bytes": F.octet_length(text) + line,
+        "crlf": n + line, "crlf_bytes": F.octet_length(text) + line, "json": n + quote + back + line + 5 * other,
     }
     return {k: v.cast("bigint") for k, v in out.items()}
 
