@@ -242,9 +242,10 @@ def bigrams(text: Column) -> Column:
 
 def bigram_similarity(a: Column, b: Column) -> Column:
     """2 * (bigrams of a that b has) / (bigrams of a + bigrams of b); 1 for equal texts, 0 if either is shorter than two."""
-    x, y = bigrams(a), bigrams(b)
-    both = F.size(F.filter(x, lambda g: F.array_contains(y, g)))
-    return F.when(a == b, 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(2.0 * both / (F.size(x) + F.size(y)))
+    x = bigrams(a)
+    # y is a variable of its own, so it isn't built anew for each bigram of a
+    share = F.get(F.transform(F.array(bigrams(b)), lambda y: F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(2.0 * F.size(F.filter(x, lambda g: F.array_contains(y, g))) / (F.size(x) + F.size(y)))), 0)
+    return F.when(a == b, 1.0).otherwise(share)
 
 
 def ends_incomplete(text: Column) -> Column:

@@ -10,6 +10,12 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: inside a higher-order function a captured expression is computed anew for
+    every element, a lambda's own variable is not."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def excel_date(serial: Column) -> Column:
     """A spreadsheet's serial number as ``YYYY-MM-DD`` or, with a time of day, ``YYYY-MM-DD HH:MM:SS``; null below 1.
 
@@ -54,8 +60,7 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    return F.when(v.isNotNull(), let(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x.cast("double")))))
 
 
 def squared_l2(a: Column, b: Column) -> Column:

@@ -268,3 +268,16 @@ def row_features(cells: DataFrame) -> DataFrame:
     v = F.nullif(F.trim("raw"), F.lit(""))
     number = F.replace(v, F.lit(","), F.lit("")).rlike(_NUMBER.pattern)
     return cells.groupBy("file", "sheet", "row").agg(F.count(v).alias("filled"), F.count_if(number).alias("numeric"), F.count_if(~number & v.isNotNull()).alias("texts"))
+
+
+def sheet_chunks(blocks: DataFrame) -> DataFrame:
+    """Two chunks per workbook: ``-tables`` describes its tables and columns, ``-keywords`` lists its distinct words, sorted, as
+    far as they fit ``KEYWORD_BYTES``."""
+    line = F.concat(F.col("sheet"), F.format_string(" (%d rows): ", F.col("row_count")), F.array_join(F.zip_with("names", "types", lambda n, t: F.concat(n, F.lit(" "), t)), ", "))
+    tables = blocks.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sheet", "block", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
+    cells = blocks.select("file", F.explode(F.flatten("rows")).alias("v")).select("file", F.trim("v").alias("v")).where("v != ''").where(~F.col("v").rlike(_NUMBER.pattern)).distinct()
+    used = F.sum(F.octet_length("v") + 1).over(Window.partitionBy("file").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    words = cells.withColumn("u", used).where(F.col("u") <= KEYWORD_BYTES).groupBy("file").agg(F.array_join(F.array_sort(F.collect_list("v")), " ").alias("text"))
+    both = tables.withColumn("k", F.lit("-tables")).unionByName(words.withColumn("k", F.lit("-keywords")))
+    none = F.lit(None).cast("string")
+    return both.select(F.concat("file", "k").alias("id"), "text", F.lit(None).cast("array<float>").alias("vector"), F.col("file").alias("file_path"), none.alias("parent_id"), none.alias("breadcrumbs"), F.lit("tabular").alias("doc_type"))

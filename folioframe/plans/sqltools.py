@@ -90,7 +90,7 @@ def fnv1a32(data: bytes) -> int:
 def cache_table_name(path: str, sheet: str, block: int = 0) -> str:
     """A name that is unique per file: six hex digits of the path's hash, the sheet with its Unicode letters kept, the block."""
     prefix = f"f{fnv1a32(path.encode()) & 0xFFFFFF:06x}"
-    name = re.sub(r"\W", "_", sheet)
+    name = re.sub(r"\W", "_", sheet).lower()  # catalogs fold case
     return f"{prefix}_{name}_b{block}" if block else f"{prefix}_{name}"
 
 
@@ -203,3 +203,69 @@ def answer_table(spark: SparkSession, question: str, schemas: dict[str, list[str
             prompt += f"\n{text}\nError: {str(error)[:500]}\nCorrected SQL:"
             sql = None
     raise AssertionError
+
+
+# -- tables in a model's context --------------------------------------------------------------------------------------
+def table_chars(df: DataFrame, sample: int = 100) -> int:
+    """About how many characters a table takes as Markdown: the mean of the first rows times the number of rows."""
+    row = F.length(F.concat_ws(" | ", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NULL")) for c in df.columns])) + 4
+    mean = df.limit(sample).agg(F.avg(row)).first()[0] or 0.0
+    return int(mean * df.count()) + sum(len(c) + 3 for c in df.columns)
+
+
+def needs_sql(df: DataFrame, budget: int) -> bool:
+    """Whether a table is too large for the context and has to be asked by SQL."""
+    return table_chars(df) > 0.9 * budget
+
+
+def injected(df: DataFrame, budget: int, least: int = 3, most: int = 30) -> str:
+    """The first rows of a table as Markdown, as many as about fit the budget, ``least`` to ``most``."""
+    rows = df.count()
+    per_row = max(1, table_chars(df) // max(1, rows))
+    return markdown(df, min(max(budget // per_row, least), most), len(df.columns))
+
+
+def largest_first(tables: dict[str, DataFrame]) -> list[tuple[str, int]]:
+    """Names of a workbook's tables with their rows, the largest first."""
+    return sorted(((n, df.count()) for n, df in tables.items()), key=lambda x: (-x[1], x[0]))
+
+
+def chart_of(df: DataFrame, most: int = 50) -> dict | None:
+    """How to chart a small result: the first column that isn't numeric labels it, numeric columns (more than 60 per cent of
+    the values parse) are series; a line for dates or more than five rows, else bars; None without either."""
+    rows = as_text(df).limit(most).collect()
+    if not rows:
+        return None
+
+    def numeric(c: str) -> bool:
+        values = [r[c] for r in rows if r[c] != "NULL"]
+        return bool(values) and sum(bool(re.fullmatch(r"[+-]?[\d,]*\.?\d+%?", v)) for v in values) > 0.6 * len(values)
+
+    series = [c for c in df.columns if numeric(c)]
+    label = next((c for c in df.columns if c not in series), None)
+    if not series or label is None:
+        return None
+    dated = all(re.match(r"\d{4}[-/]\d{1,2}", r[label]) for r in rows)
+    return {"type": "line" if dated or len(rows) > 5 else "bar", "label": label, "series": series}
+
+
+# -- cached tables of workbooks ---------------------------------------------------------------------------------------
+def cache_tables(spark: SparkSession, path: str, tables: dict[tuple[str, int], DataFrame]) -> list[str]:
+    """Save the tables of a file, keyed by sheet and block; tables the file had before and has no more are dropped."""
+    names = {cache_table_name(path, sheet, block): df for (sheet, block), df in tables.items()}
+    for old in cached_tables(spark, path):
+        if old not in names:
+            spark.sql(f"DROP TABLE IF EXISTS `{old}`")
+    for name, df in names.items():
+        df.write.mode("overwrite").format("parquet").saveAsTable(f"`{name}`")
+    return sorted(names)
+
+
+def cached_tables(spark: SparkSession, path: str) -> list[str]:
+    prefix = cache_table_name(path, "")
+    return sorted(t.name for t in spark.catalog.listTables() if not t.isTemporary and t.name.startswith(prefix))
+
+
+def drop_cached(spark: SparkSession, path: str) -> None:
+    for name in cached_tables(spark, path):
+        spark.sql(f"DROP TABLE IF EXISTS `{name}`")
