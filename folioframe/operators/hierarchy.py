@@ -19,6 +19,17 @@ def _nodes(rows: DataFrame, id_col: str, parent_col: str, order: list[Column], e
     return latest(data, "id", [F.col(f"__o{i}") for i in range(len(order))], keep).withColumnRenamed("__parent", "parent")
 
 
+#: Up to this many rows a frontier is taken ``STRIDE`` levels down per job.
+SMALL_FRONTIER, STRIDE = 100_000, 5
+
+
+def _below(frontier: DataFrame, children: DataFrame) -> DataFrame:
+    """The next level: the children of the frontier, with their depth and path."""
+    return frontier.alias("f").join(children.alias("c"), F.col("f.id") == F.col("c.parent")).select(
+        "c.id", "f.state", "f.root", (F.col("f.depth") + 1).alias("depth"), F.array_append("f.path", F.col("c.id")).alias("path")
+    )
+
+
 def on_cycles(links: DataFrame, stash: Stash) -> DataFrame:
     """Ids that lie on a cycle, of ``links`` (id, parent) in which every parent is an id itself.
 
@@ -55,8 +66,8 @@ def hierarchy(
     the topmost existing node, depth and path count from it), ``cycle`` (on one) or ``below_cycle``; for the last two
     root, depth and path are null.
 
-    An id written several times counts once (greatest ``order``, then values). Null ids are ignored. Every level is
-    written to the shared folder; the number of levels is the depth of the deepest tree.
+    An id written several times counts once (greatest ``order``, then values). Null ids are ignored. Levels are
+    written to the shared folder; their number is the depth of the deepest tree.
     """
     extra = extra or []
     stash = Stash(rows.sparkSession)
@@ -72,16 +83,22 @@ def hierarchy(
     )
     level = stash.put(heads.select("id", "state", F.col("id").alias("root"), F.lit(0).alias("depth"), F.array("id").alias("path")))
     levels = [level]
-    frontier = level.join(inner, "id", "left_semi")
+    frontier, depth, size = level.join(inner, "id", "left_semi"), 0, SMALL_FRONTIER + 1
     while True:
-        below = frontier.alias("f").join(children.alias("c"), F.col("f.id") == F.col("c.parent")).select(
-            "c.id", "f.state", "f.root", (F.col("f.depth") + 1).alias("depth"), F.array_append("f.path", F.col("c.id")).alias("path")
-        )
-        level = stash.put(below)
-        if level.isEmpty():
+        # a thin frontier goes several levels down in one job; a wide one is written after each, so no join is done twice
+        stride = STRIDE if size <= SMALL_FRONTIER else 1
+        steps = [frontier]
+        for _ in range(stride):
+            steps.append(_below(steps[-1], children))
+        batch = steps[1]
+        for step in steps[2:]:
+            batch = batch.unionByName(step)
+        batch, size = stash.put_counted(batch)
+        if not size:
             break
-        levels.append(level)
-        frontier = level
+        levels.append(batch)
+        depth += stride
+        frontier = batch.where(F.col("depth") == depth)
     paths = [p._stash_path for p in levels]
     reached = rows.sparkSession.read.schema(levels[0].schema).parquet(*paths)
     lost = stash.put(links.join(reached.select("id"), "id", "left_anti"))

@@ -11,7 +11,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -56,6 +56,12 @@ class Stash:
         back._stash_path = path  # type: ignore[attr-defined]
         return back
 
+    def put_counted(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """The same, and the number of rows, which the write itself counts."""
+        seen = Observation()
+        back = self.put(df.observe(seen, F.count(F.lit(1)).alias("n")))
+        return back, int(seen.get.get("n") or 0)
+
     def drop(self, df: DataFrame) -> None:
         """Delete an intermediate that no later plan reads."""
         path = getattr(df, "_stash_path", None)
