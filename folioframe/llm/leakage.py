@@ -122,7 +122,8 @@ def remove_leaks(corpus: DataFrame, windows: DataFrame, *, doc: str, text: str,
     joined = corpus.join(marks, corpus[doc] == F.col("__doc"), "left")
     cut = F.flatten(F.transform("__at", lambda a: F.sequence(a, a + n - 1)))
     joined = joined.withColumn("__cut", F.array_distinct(cut)).withColumn("__parts", F.when(F.col("__at").isNotNull(), parts))
-    kept = F.filter("__parts", lambda x, i: ~F.array_contains(F.col("__cut"), i))
+    # the cut positions are a variable of their own, so they aren't built anew for each word
+    kept = F.get(F.transform(F.array(F.col("__cut")), lambda at: F.filter("__parts", lambda x, i: ~F.array_contains(at, i))), 0)
     share = F.size("__cut") / F.size("__parts")
     joined = joined.where(F.col("__at").isNull() | (share <= drop_above))
     return joined.withColumn(text, F.when(F.col("__at").isNull(), F.col(text)).otherwise(F.concat(head, F.array_join(kept, "")))).select(*corpus.columns)
