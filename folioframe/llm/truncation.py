@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from folioframe.stash import Stash
 
 #: Bounds of the training sample: documents, and sentences taken from them.
-SAMPLE_DOCS, SAMPLE_SENTENCES = 4000, 40_000
+SAMPLE_DOCS, SAMPLE_SENTENCES = 2000, 15_000
 _BITS = 18
 # Signs left by a cut, that are not part of the text.
 # The same for lengths: a blank before dots is the text's own last character.
