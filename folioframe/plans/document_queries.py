@@ -223,5 +223,11 @@ AND b.x + b.width / 2 BETWEEN t.x AND t.x + t.width AND b.y + b.height / 2 BETWE
     "pg_nearest_rows": f"""WITH {_B}, j AS (SELECT n.block_id AS noise_id, r.block_id AS row_id, abs(n.y - r.y) AS gap FROM b n JOIN b r ON n.doc = r.doc AND n.page = r.page AND n.height <= 12 AND r.height > 12)
 SELECT noise_id, row_id, round(gap, 3) AS gap FROM (SELECT *, row_number() OVER (PARTITION BY noise_id ORDER BY gap, row_id) AS k FROM j) WHERE k = 1""",
     "pg_rag_lines": f"""WITH {_B} SELECT doc, page, 'Block' AS line_type, '[page=' || (page + 1) || '] ' || regexp_replace(text, '\\s*\\n\\s*', ' ', 'g') AS text FROM b WHERE text IS NOT NULL AND role NOT IN ('Header', 'Footer', 'PageNumber')""",
+    "pg_markdown_rows": r"""WITH r AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: starts_with(trim(x), '|') AND NOT regexp_full_match(x, '\s*\|[\s:|-]+\|?\s*')) AS rows FROM documents)
+SELECT doc_id, len(rows) AS rows, array_to_string(list_transform(string_split(regexp_replace(trim(rows[1]), '^\||\|$', '', 'g'), '|'), lambda c: trim(c)), '|') AS head FROM r WHERE len(rows) > 0""",
+    "tab_row_features": r"""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: starts_with(x, '|') AND NOT starts_with(x, '|--')) AS ls FROM documents),
+r AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS row FROM l),
+c AS (SELECT doc_id, row, nullif(trim(unnest(regexp_split_to_array(regexp_replace(line, '^\|\s*|\s*\|\s*$', '', 'g'), '\s*\|\s*'))), '') AS v FROM r)
+SELECT CAST(doc_id AS VARCHAR) AS file, row, count(v) AS filled, count(*) FILTER (WHERE regexp_full_match(v, '[+-]?[0-9]+(\.[0-9]*)?')) AS numeric, count(v) FILTER (WHERE NOT regexp_full_match(v, '[+-]?[0-9]+(\.[0-9]*)?')) AS texts FROM c GROUP BY doc_id, row""",
     "geo_iou": f"WITH {_B} SELECT a.block_id AS one, c.block_id AS other, round({_iou('a', 'c')}, 6) AS iou FROM b a JOIN b c ON a.doc = c.doc AND a.page = c.page AND a.block_id < c.block_id WHERE round({_iou('a', 'c')}, 6) > 0",
 }

@@ -37,7 +37,7 @@ round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM
     "agg_grouping_sets": "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM {customer} GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())",
     "agg_having": "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {orders} GROUP BY o_custkey HAVING count(*) > 15",
     "agg_filter": "SELECT l_shipdate IS NULL AS unshipped, count(*) FILTER (WHERE l_returnflag = 'R') AS returned, count(*) FILTER (WHERE l_tax > 0.04) AS taxed FROM {lineitem} GROUP BY 1",
-    "agg_moments": "SELECT p_brand, round(var_pop(p_retailprice), 4) AS vp, round(stddev_samp(p_retailprice), 4) AS ss, round(corr(p_retailprice, p_size), 6) AS c, round(skewness(p_retailprice), 6) * 0 AS z FROM {part} GROUP BY p_brand",
+    "agg_moments": "SELECT p_brand, round(var_pop(p_retailprice), 4) AS vp, round(stddev_samp(p_retailprice), 4) AS ss, round(corr(p_retailprice, p_size), 6) AS c FROM {part} GROUP BY p_brand",
     "agg_median": "SELECT c_mktsegment, round(median(c_acctbal), 4) AS m FROM {customer} GROUP BY c_mktsegment",
     "agg_bool": "SELECT o_orderpriority, bool_or(o_totalprice > 400000) AS any_big, bool_and(o_totalprice > 1000) AS all_big FROM {orders} GROUP BY o_orderpriority",
     "agg_arg": "SELECT o_orderpriority, max_by(o_orderkey, o_totalprice) AS dearest, min_by(o_orderkey, o_totalprice) AS cheapest FROM {orders} GROUP BY o_orderpriority",
