@@ -31,6 +31,12 @@ i AS (SELECT item_id, {_WORDS.format('quote')} AS w FROM eval_items UNION ALL SE
 dg AS (SELECT DISTINCT doc_id, unnest({_GRAM}) AS g FROM d WHERE len(w) >= 12),
 ig AS (SELECT DISTINCT item_id, unnest({_GRAM}) AS g FROM i WHERE len(w) >= 12)
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+    "p8_spans": f"""WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS.format('quote')} AS w FROM eval_items UNION ALL SELECT item_id, {_WORDS.format('question')} FROM eval_items),
+dg AS (SELECT doc_id, unnest({_GRAM}) AS g, unnest(range(len(w) - 11)) AS at0 FROM d WHERE len(w) >= 12),
+ig AS (SELECT DISTINCT item_id, unnest({_GRAM}) AS g FROM i WHERE len(w) >= 12),
+h AS (SELECT DISTINCT doc_id, item_id, at0 FROM dg JOIN ig USING (g))
+SELECT doc_id, item_id, count(*) AS windows, min(at0) AS first_word, max(at0) + 12 AS end_word FROM h GROUP BY doc_id, item_id""",
     "p2_found": _PAIRS + """
 SELECT item_a AS entity_a, item_b AS entity_b FROM q WHERE together * baskets >= 5 * n_a * n_b
 AND EXISTS (SELECT 1 FROM relations r WHERE least(r.from_entity, r.to_entity) = item_a AND greatest(r.from_entity, r.to_entity) = item_b)""",
