@@ -161,8 +161,10 @@ def nearest_neighbours(
         base = classes.select("cls", "unit").unionByName(data.join(alike, "h", "left_anti").select(F.col("id").alias("cls"), "unit"))
         base = stash.put(base)
     repeated = classes is not None
-    total = base.count() * orderings
-    parts = max(1, -(-total // partition_rows))
+    size = base.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("unit")).alias("width")).first()
+    # a task holds one range partition: partition_rows vectors of 64 numbers, fewer of wider ones
+    each = max(4 * window, partition_rows * 64 // max(64, size["width"] or 64))
+    parts = max(1, -(-size["n"] * orderings // each))
     keyed = base.mapInArrow(_keyed(orderings, dims, bits, seed), "width int, ordering int, key bigint, cls string, unit array<float>")
     ordered = keyed.repartitionByRange(parts, "width", "ordering", "key", "cls").sortWithinPartitions("width", "ordering", "key", "cls")
     near = ordered.mapInArrow(_windows(window, k, min_cosine), "cls string, other string, cosine double")
