@@ -50,6 +50,10 @@ def _glued(text: Column) -> Column:
     return F.regexp_replace(out, r"(?<=[\p{L}\p{N}])-\s+(?=[\p{Ll}\p{N}!])", _HARD)
 
 
+def _broken(token: Column) -> Column:
+    return token.contains(_HARD) | token.contains(_SOFT)
+
+
 def running_blocks(blocks: DataFrame, *, page_height: float = 792.0) -> DataFrame:
     """Ids of running headers, running footers and page numbers, of ``blocks`` (id, file, page, read, y, h, raw).
 
@@ -97,13 +101,13 @@ def _tokens(blocks: DataFrame) -> DataFrame:
     """One row per token: id, pos, ``t`` (lower case, without marks around it, break signs kept), ``last`` of its block."""
     pieces = blocks.select("id", F.split(F.trim(_glued(F.col("raw"))), r"\s+").alias("p"))
     rows = pieces.select("id", F.size("p").alias("n"), F.posexplode("p").alias("pos", "piece"))
-    bare = F.regexp_replace(F.regexp_replace(F.lower("piece"), r"^[\"'“„«(\[]+", ""), r"[.,;:!?\"'”“»)\]…]+$", "")
+    bare = F.rtrim(F.ltrim(F.lower("piece"), F.lit("\"'“„«([")), F.lit(".,;:!?\"'”“»)]…"))
     return rows.select("id", "pos", "piece", bare.alias("t"), (F.col("pos") == F.col("n") - 1).alias("last")).where("t != ''")
 
 
 def _forms(tokens: DataFrame, stash: Stash) -> DataFrame:
     """Every whole form with its count, skeleton, and the best form of the skeleton: form, n, sk, best, best_n."""
-    whole = tokens.where(~F.col("t").rlike(f"[{_HARD}{_SOFT}]") & ~(F.col("last") & F.col("t").rlike(f"[-{SOFT_MARKS}]$")))
+    whole = tokens.where(~_broken(F.col("t")) & ~(F.col("last") & F.col("t").rlike(f"[-{SOFT_MARKS}]$")))
     counts = whole.groupBy(F.col("t").alias("form")).agg(F.count(F.lit(1)).alias("n")).withColumn("sk", skeleton(F.col("form")))
     counts = stash.put(counts)
     best = counts.groupBy("sk").agg(F.max(F.struct("n", "form")).alias("b")).select("sk", F.col("b.form").alias("best"), F.col("b.n").alias("best_n"))
@@ -127,7 +131,7 @@ def page_noise(pages: DataFrame) -> DataFrame:
     by_sk = forms.groupBy("sk").agg(F.sum("n").alias("n"))
 
     # words broken within a block
-    inner = tokens.where(F.col("t").rlike(f"[{_HARD}{_SOFT}]")).select(
+    inner = tokens.where(_broken(F.col("t"))).select(
         "id", "pos", "t", F.regexp_replace("t", f"[{_HARD}{_SOFT}]", "").alias("joined"), F.regexp_replace("t", f"[{_HARD}{_SOFT}]", "-").alias("kept"), F.col("t").contains(_SOFT).alias("soft")
     )
     # words broken at the end of a block
@@ -141,7 +145,7 @@ def page_noise(pages: DataFrame) -> DataFrame:
 
     # misread: of whole tokens, and of broken ones as they read when joined; a cut word at the edge of a block can't be judged
     continued = blocks.where(F.col("raw").rlike(r"^\s*\p{Ll}")).select("id", F.lit(0).alias("pos"))
-    whole = tokens.where(~F.col("t").rlike(f"[{_HARD}{_SOFT}]") & ~(F.col("last") & F.col("piece").rlike(f"[-{SOFT_MARKS}]$")))
+    whole = tokens.where(~_broken(F.col("t")) & ~(F.col("last") & F.col("piece").rlike(f"[-{SOFT_MARKS}]$")))
     whole = whole.join(continued, ["id", "pos"], "left_anti").select("id", F.col("t").alias("form"))
     total = forms.agg(F.sum("n")).first()[0] or 0
     verdict = forms.where("form != best").select("form", "n", _misread().alias("bad")).unionByName(forms.where("form = best").select("form", "n", F.lit(False).alias("bad")))
@@ -190,7 +194,7 @@ def repaired_paragraphs(pages: DataFrame) -> DataFrame:
     latest = blocks.groupBy("file", "page").agg(F.max("read").alias("read"))
     kept = stash.put(blocks.join(latest, ["file", "page"]).where(blocks["read"].eqNullSafe(latest["read"])).drop(latest["read"]).join(running, "id", "left_anti"))
     words = tokens.join(kept.select("id"), "id", "left_semi")
-    inner = words.where(F.col("t").rlike(f"[{_HARD}{_SOFT}]")).select(
+    inner = words.where(_broken(F.col("t"))).select(
         "id", "pos", "t", F.regexp_replace("t", f"[{_HARD}{_SOFT}]", "").alias("joined"), F.regexp_replace("t", f"[{_HARD}{_SOFT}]", "-").alias("kept"), F.col("t").contains(_SOFT).alias("soft")
     )
     judged = _judged(inner, by_sk).select("id", "pos", "broken")
