@@ -36,8 +36,8 @@ def test_analyzers(spark):
 
 
 def test_paths(spark):
-    p = F.lit("/Users/me/Projects/knot/src/main.rs")
-    assert one(spark, T.path_tags(p)) == "me Projects knot src" and one(spark, T.file_name(p)) == "main.rs"
+    p = F.lit("/Users/me/Work/garden/src/plan.md")
+    assert one(spark, T.path_tags(p)) == "me Work garden src" and one(spark, T.file_name(p)) == "plan.md"
     assert one(spark, T.path_tags(F.lit("x.md"))) == ""
 
 
