@@ -16,18 +16,6 @@ def latest(rows: DataFrame, key: str, order: list[Column], keep: list[str]) -> D
     return best.select(F.col(key), *[F.col(f"__m.k{i}").alias(c) for i, c in enumerate(keep)])
 
 
-def low_watermark(source: DataFrame, ledger: DataFrame, seen: str, arrived: str, done: str) -> DataFrame:
-    """One row ``low``: when the oldest transaction that was open at the last successful run began.
-
-    The last run ended at the greatest ``done`` (epoch seconds; null: the run did not finish). A transaction
-    (``seen`` to ``arrived``) was open if it arrived after that. Without a finished run, or without open
-    transactions, ``low`` is the end of the last run or null, and null means: read everything.
-    """
-    last = ledger.agg(F.timestamp_seconds(F.max(done)).cast("timestamp_ntz").alias("last"))
-    opened = source.where(F.col(arrived) > last.scalar()).agg(F.min(seen).alias("opened"))
-    return last.select(F.least("last", opened.scalar()).alias("low"))
-
-
 def changed_records(
     source: DataFrame,
     ledger: DataFrame,
@@ -40,11 +28,10 @@ def changed_records(
 ) -> DataFrame:
     """Records of ``source`` that a run has to process: new keys, and keys whose version differs from the ledger's.
 
-    The source is reread from the oldest transaction that was open at the last successful run (``low_watermark``),
-    so a row that was written late is not skipped; keys the ledger has no finished run of are read whatever their
-    time. The overlap this rereads is removed by an anti-join of (key, version) against the ledger's finished rows,
-    so nothing is processed twice and a run that is repeated after a failure returns the same records until the
-    ledger has them.
+    The whole source is looked at, whatever the times of its rows: a row may be written late, and a run that failed may
+    have finished some keys after it saw a change of others, so no watermark tells which keys are done. What is done is
+    removed by an anti-join of (key, version) against the ledger's finished rows, so nothing is processed twice and a
+    run that is repeated after a failure returns the same records until the ledger has them.
 
     Versions are compared without letter case. A key's row is its latest by ``seen`` (then ``arrived``, then
     version); if its version is null (unreadable) the key is left out. In the ledger a key's row is the latest by
@@ -54,15 +41,10 @@ def changed_records(
     now = source.select(F.col(key).alias("__key"), F.lower(version).alias("__version"), F.col(seen).alias("__seen"), F.col(arrived).alias("__arrived"))
     book = ledger.select(F.col(key).alias("__key"), F.lower(version).alias("__version"), F.col(done).alias("__done"))
     finished = latest(book.where("__done is not null and __version is not null"), "__key", [F.col("__done")], ["__version"])
-    low = low_watermark(now, book, "__seen", "__arrived", "__done").scalar()
-    recent = latest(now, "__key", [F.col("__seen"), F.col("__arrived")], ["__version", "__seen"]).withColumn("low", low)
-    late = (F.col("low").isNull()) | (F.col("__seen").isNull()) | (F.col("__seen") >= F.col("low"))
-    # below the watermark only keys without a finished run are left, and the anti-join on the key keeps just those
-    reread = recent.where(late).join(finished, ["__key", "__version"], "left_anti")
-    missed = recent.where(~late).join(finished, "__key", "left_anti")
+    recent = latest(now, "__key", [F.col("__seen"), F.col("__arrived")], ["__version"])
     return (
-        reread.unionByName(missed)
-        .where("__version is not null")
+        recent.where("__version is not null")
+        .join(finished, ["__key", "__version"], "left_anti")
         .select(F.col("__key").alias(key), F.col("__version").alias(version))
     )
 

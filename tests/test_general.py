@@ -1,7 +1,7 @@
 """Incremental processing, hierarchies, ranks and lookups against brute force, with nulls, ties, repeats and empty tables."""
 
 import random
-from datetime import datetime
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +39,14 @@ def test_changed_records(spark):
     assert changed(spark, [], reg) == set()
 
 
+def test_change_seen_before_the_failed_run_ended(spark):
+    """The scan of 9:00 saw both files changed; the run finished ``a`` at 10:00 and failed at ``b``."""
+    ended = int(datetime(2025, 2, 2, 10, tzinfo=timezone.utc).timestamp())
+    reg = [("a", "a1", ended - 90_000, None), ("b", "b1", ended - 90_000, None), ("a", "a2", ended, None), ("b", "b2", None, None)]
+    now = [("a", "a2", at(2, 9), at(2, 9), None), ("b", "b2", at(2, 9), at(2, 9), None), ("c", "c1", at(1), at(1), None)]
+    assert changed(spark, now, reg) == {("b", "b2"), ("c", "c1")}
+
+
 def test_confirmed_records_are_not_processed_again(spark):
     now = spark.createDataFrame([("a", "a1", at(3), at(3), None), ("b", "b1", at(3), at(3), None)], NOW)
     ledger = spark.createDataFrame([("a", "a0", 5, None)], REG)
