@@ -4,6 +4,9 @@ Each ordering turns the vectors by its own random rotation, keeps the first ``di
 them and sorts the vectors along a Hilbert curve. Spark range-partitions every ordering by its key; in each partition a
 vector is compared, by exact cosine, with the ``window`` vectors before and after it. The best of all orderings are
 merged. Every vector is indexed and every vector is a query; only pairs that no ordering brings near are missed.
+
+A window says little about a vector in a dense group larger than itself: keys tell its members apart badly or not at all.
+Vectors whose windows are crowded are therefore compared exactly with all vectors of their length, in tiles.
 """
 
 from __future__ import annotations
@@ -101,7 +104,9 @@ def _keyed(orderings: int, dims: int, bits: int, seed: int):
     return run
 
 
-def _windows(window: int, k: int, least: float, rows: int = 512):
+def _windows(window: int, k: int, least: float, dense: float, rows: int = 512):
+    crowd = max(2 * k, window // 4)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None  # one range partition, its size is bounded
         if table is None or not table.num_rows:
@@ -121,6 +126,9 @@ def _windows(window: int, k: int, least: float, rows: int = 512):
                 cos = unit[a:b] @ unit[c:d].T
                 gap = np.abs(np.arange(a, b)[:, None] - np.arange(c, d)[None, :])
                 cos[(gap > window) | (gap == 0)] = -2
+                crowded = ids.slice(a, b - a).filter(pa.array((cos >= dense).sum(axis=1) >= crowd))
+                if len(crowded):  # told by a row without another
+                    yield pa.RecordBatch.from_arrays([crowded, pa.nulls(len(crowded), pa.string()), pa.nulls(len(crowded), pa.float64())], names=["cls", "other", "cosine"])
                 m = min(k, d - c - 1)
                 best = np.argpartition(-cos, m - 1, axis=1)[:, :m] if m < d - c else np.tile(np.arange(d - c), (b - a, 1))
                 value = np.take_along_axis(cos, best, 1)
@@ -134,9 +142,53 @@ def _windows(window: int, k: int, least: float, rows: int = 512):
     return run
 
 
+def _tiles(k: int, least: float, rows: int = 256, spare: int = 16):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            left, right = left.combine_chunks(), right.combine_chunks()
+            width = int(left.column("width")[0].as_py())
+            mine, others = left.column("cls").to_pylist(), np.array(right.column("cls").to_pylist(), object)
+            q, u = (_matrix(t.column("unit").chunk(0), width) for t in (left, right))
+            at = {c: i for i, c in enumerate(others)}
+            own = np.array([at.get(c, -1) for c in mine])
+            m = min(len(u), k + spare)
+            for a in range(0, len(q), rows):
+                part = q[a : a + rows].astype(np.float64)
+                cos = q[a : a + rows] @ u.T
+                here = np.flatnonzero(own[a : a + rows] >= 0)
+                cos[here, own[a : a + rows][here]] = -2
+                some = np.argpartition(-cos, m - 1, axis=1)[:, :m]
+                # vectors of a dense group differ in digits that single precision no longer has
+                full = u[some].astype(np.float64)
+                exact = np.einsum("ij,ikj->ik", part, full) / (np.linalg.norm(part, axis=1)[:, None] * np.linalg.norm(full, axis=2))
+                exact[np.take_along_axis(cos, some, 1) < -1.5] = -2
+                for i, (values, places) in enumerate(zip(exact, some)):
+                    best = sorted(zip(-values, others[places]))[:k]
+                    out += [(mine[a + i], o, -v) for v, o in best if -v >= max(least, -1.5)]
+        cls, other, cosine = zip(*out) if out else ((), (), ())
+        return pa.table({"cls": pa.array(cls, pa.string()), "other": pa.array(other, pa.string()), "cosine": pa.array(cosine, pa.float64())})
+
+    return run
+
+
+def exact_neighbours(queries: DataFrame, base: DataFrame, k: int, least: float, tile_rows: int = 16_384) -> DataFrame:
+    """The ``k`` nearest of ``base`` (cls, unit) for each of ``queries`` (the same) within each pair of tiles: cls, other, cosine.
+
+    Rows are cut into tiles by hash, and every tile of queries meets every tile of the base of its width, so a task
+    holds two tiles however large the tables are; the work is the product of both sizes.
+    """
+    across, down = (max(1, -(-df.count() // tile_rows)) for df in (base, queries))
+    spread = lambda df, mine, n, other, m: df.select(
+        "cls", "unit", F.size("unit").alias("width"), F.pmod(F.xxhash64("cls"), F.lit(n)).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)
+    )
+    left, right = spread(queries, "row", down, "col", across), spread(base, "col", across, "row", down)
+    return left.groupBy("width", "row", "col").cogroup(right.groupBy("width", "row", "col")).applyInArrow(_tiles(k, least), "cls string, other string, cosine double")
+
+
 def nearest_neighbours(
     rows: DataFrame, *, id_col: str = "id", vector_col: str = "vector", k: int = 5, min_cosine: float = -1.0,
-    orderings: int = 14, window: int = 96, dims: int = 12, bits: int = 4, seed: int = 7, partition_rows: int = 40_000,
+    orderings: int = 14, window: int = 96, dims: int = 12, bits: int = 4, seed: int = 7, partition_rows: int = 40_000, dense: float = 0.8,
 ) -> DataFrame:
     """For each id its ``k`` most similar other ids by cosine: id, ``other``, ``cosine``, ``rank``.
 
@@ -145,6 +197,9 @@ def nearest_neighbours(
     order, if they differ). Ids with exactly the same direction form one class: it is indexed once and its members
     are each other's nearest, so a class of any size is no hot key. Ties of cosine are ordered by id. Fewer than k
     others, or only others below ``min_cosine``, give fewer rows.
+
+    A vector that in some ordering has a quarter of ``window`` (2k at least) vectors of cosine ``dense`` or more beside it lies in
+    a crowd; its neighbours are found exactly (``exact_neighbours``), which costs crowded vectors times all vectors.
     """
     spark = rows.sparkSession
     stash = Stash(spark)
@@ -167,10 +222,18 @@ def nearest_neighbours(
     parts = max(1, -(-size["n"] * orderings // each))
     keyed = base.mapInArrow(_keyed(orderings, dims, bits, seed), "width int, ordering int, key bigint, cls string, unit array<float>")
     ordered = keyed.repartitionByRange(parts, "width", "ordering", "key", "cls").sortWithinPartitions("width", "ordering", "key", "cls")
-    near = ordered.mapInArrow(_windows(window, k, min_cosine), "cls string, other string, cosine double")
+    near = ordered.mapInArrow(_windows(window, k, min_cosine, dense), "cls string, other string, cosine double")
     entry = F.struct((-F.col("cosine")).alias("d"), F.col("other").alias("id"))
     # at most orderings * k entries per class; an exact cosine of float vectors may differ in its last digits between orderings
-    merged = near.groupBy("cls", "other").agg(F.max("cosine").alias("cosine")).groupBy("cls").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, k).alias("best"))
+    merge = lambda df: df.groupBy("cls", "other").agg(F.max("cosine").alias("cosine")).groupBy("cls").agg(
+        F.slice(F.array_sort(F.collect_list(F.when(F.col("other").isNotNull(), entry))), 1, k).alias("best"), F.max(F.col("other").isNull()).alias("crowded")
+    )
+    merged = stash.put(merge(near))
+    crowded = merged.where("crowded").select("cls")
+    if not crowded.isEmpty():
+        queries = stash.put(base.join(crowded, "cls", "left_semi"))
+        merged = merged.where("not crowded").unionByName(merge(exact_neighbours(queries, base, k, min_cosine)))
+    merged = merged.select("cls", "best")
     if repeated:
         members = some.join(classes.select("unit", "cls"), "unit").select("cls", "id")
         first = members.withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy("id"))).where(F.col("r") <= k + 1)

@@ -80,6 +80,32 @@ def test_recall_against_brute_force(spark):
     assert len(found & want) >= 0.95 * len(want) and len(found - want) <= 0.05 * len(want)
 
 
+@pytest.mark.parametrize("spread", [0.1, 0.02])
+def test_recall_with_a_dense_third(spark, spread):
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(64)
+    data = {f"d{i}": centre / np.linalg.norm(centre) + rng.standard_normal(64) * spread / 8 for i in range(1500)}
+    data |= {f"r{i}": rng.standard_normal(64) for i in range(3000)}
+    data = {i: v.astype(np.float32) for i, v in data.items()}
+    ids, m = list(data), np.array(list(data.values()), float)
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    cos = m[:1500] @ m.T - 9 * np.eye(1500, len(m))
+    want = {(ids[i], ids[j]) for i, row in enumerate(np.argsort(-cos, axis=1)[:, :5]) for j in row}
+    got = V.nearest_neighbours(vectors(spark, data.items()), k=5, window=32, partition_rows=20_000)
+    found = {(r["id"], r["other"]) for r in got.collect() if r["id"].startswith("d")}
+    assert len(found) == len(want) and len(found & want) >= 0.98 * len(want)
+
+
+def test_exact_tiles_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    data = {f"v{i}": rng.standard_normal(16).astype(np.float32) for i in range(300)}
+    unit = spark.createDataFrame([(i, [float(x) for x in v / np.linalg.norm(v)]) for i, v in data.items()], "cls string, unit array<float>")
+    got = {}
+    for r in V.exact_neighbours(unit.where("cls < 'v2'"), unit, 3, -1.0, tile_rows=70).collect():
+        got.setdefault(r["cls"], []).append((-r["cosine"], r["other"]))
+    assert {(a, o) for a, bs in got.items() for _, o in sorted(bs)[:3]} == {(a, b) for a, b in brute_nearest(data, 3) if a < "v2"}
+
+
 def test_unusable_repeated_and_equal_vectors(spark):
     same = [1.0, 2.0, 3.0]
     rows = [(f"s{i}", [x * (i + 1) for x in same]) for i in range(8)] + [("n", None), ("z", [0, 0, 0]), ("e", []), ("nan", [1, float("nan"), 0]), ("inf", [1, float("inf"), 0]), ("hole", [1, None, 0]), ("d", [3, 2, 1]), ("d", [3, 2, 1]), ("two", [1, 1]), (None, same)]
