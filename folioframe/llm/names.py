@@ -1,7 +1,7 @@
 """Variant spellings of names typed by people.
 
-Steps: names are cut into tokens; tokens that are spelled alike are found by MinHash banding over padded q-grams (the
-number of bands follows from the collision curve and the wanted recall) and checked by edit distance; names that share
+Steps: names are cut into tokens; tokens that are spelled alike are found by their deletion neighbourhoods, which
+tokens one slip apart always share, whatever their length, and checked by edit distance; names that share
 an equal or alike distinctive token are candidates; a candidate pair is verified by Monge-Elkan similarity of its
 tokens, with an inner similarity that knows typing slips, abbreviations, initials and nicknames; verified pairs are
 clustered by star clustering, in which incomplete spellings join a star only if it is the only one they fit.
@@ -14,7 +14,6 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
@@ -94,8 +93,7 @@ def alike(a: str, b: str) -> bool:
     """One typing slip apart, umlauts spelled out counting as none."""
     if osa(a, b) <= 1:
         return True
-    plain = lambda t: t.replace("ae", "a").replace("oe", "o").replace("ue", "u")
-    return plain(a) != a and osa(plain(a), b) <= 0 or plain(b) != b and osa(a, plain(b)) <= 0
+    return _plain(a) != a and _plain(a) == b or _plain(b) != b and a == _plain(b)
 
 
 def abbreviates(short: str, full: str) -> bool:
@@ -112,44 +110,27 @@ def bands_for(recall: float, similarity: float, rows: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
-def _banded(rows: int, bands: int, q: int, seed: int):
-    rng = np.random.default_rng(seed)
-    mul = (rng.integers(1, 2**61, rows * bands, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-    add = rng.integers(0, 2**63, rows * bands, dtype=np.uint64)
-    powers = rng.integers(1, 2**61, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def _plain(token: str) -> str:
+    """Spelled-out umlauts as the bare vowel."""
+    return token.replace("ae", "a").replace("oe", "o").replace("ue", "u")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        for part in parts:
-            keys = []
-            with np.errstate(over="ignore"):
-                for token in part["token"]:
-                    padded = "\x02" * (q - 1) + token + "\x03" * (q - 1)
-                    grams = {padded[i : i + q] for i in range(len(padded) - q + 1)}
-                    h = np.fromiter((xxhash.xxh64_intdigest(g) for g in grams), np.uint64, len(grams))
-                    mixed = h[:, None] * mul[None, :] + add[None, :]
-                    low = (mixed ^ (mixed >> np.uint64(31))).min(axis=0).reshape(bands, rows)
-                    keys.append((low * powers).sum(axis=1).view(np.int64))
-            yield pd.DataFrame({"token": np.repeat(part["token"].to_numpy(), bands), "band": np.tile(np.arange(bands, dtype=np.int32), len(part)), "key": np.concatenate(keys) if keys else []})
 
-    return run
+def _neighbourhood(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        keys = [sorted({t, _plain(t), *(t[:i] + t[i + 1 :] for i in range(len(t)))}) for t in part["token"]]
+        yield pd.DataFrame({"token": part["token"], "key": keys}).explode("key")
 
 
-def alike_tokens(tokens: DataFrame, *, recall: float = 0.98, similarity: float = 0.55, rows: int = 5, q: int = 2, seed: int = 3) -> DataFrame:
-    """Pairs of distinct tokens (a < b) one typing slip apart, of ``tokens`` (token).
+def alike_tokens(tokens: DataFrame) -> DataFrame:
+    """Pairs of distinct tokens (a < b) one typing slip apart, of ``tokens`` (token); all of them, at any length.
 
-    A slip in a word of nine letters leaves a Jaccard similarity of padded bigrams of 0.55 or more; the bands are
-    chosen for ``recall`` at that similarity.
+    A letter dropped, added or replaced, or two neighbours exchanged: in each case both tokens without one letter, or
+    one of them as it is, are equal. A key has at most as many tokens as letters can be put into it in one place.
     """
-    bands = bands_for(recall, similarity, rows)
-    keyed = tokens.mapInPandas(_banded(rows, bands, q, seed), "token string, band int, key bigint")
-    sides = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = keyed.join(sides.select("band", "key"), ["band", "key"], "left_semi")
-    a, b = buckets.alias("a"), buckets.alias("b")
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.token") < F.col("b.token")))
-    near = pairs.where(F.abs(F.length("a.token") - F.length("b.token")) <= 2).where(F.levenshtein("a.token", "b.token", 2) >= 0)
-    near = near.select(F.col("a.token").alias("a"), F.col("b.token").alias("b")).distinct()
+    keyed = tokens.distinct().mapInPandas(_neighbourhood, "token string, key string")
+    a, b = keyed.alias("a"), keyed.alias("b")
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.token") < F.col("b.token")))
+    near = pairs.select(F.col("a.token").alias("a"), F.col("b.token").alias("b")).distinct()
 
     @F.pandas_udf("boolean")
     def slip(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -353,7 +334,8 @@ def link_names(mentions: DataFrame, *, id_col: str, kind_col: str, threshold: fl
     )
     keyed = rich.select("id", "kind", F.explode("keys").alias("k")).select("id", "kind", F.col("k.token").alias("token"), F.col("k.df").alias("n"))
     tokens = stash.put(keyed.select("kind", "token").distinct())
-    near = stash.put(alike_tokens(tokens.select("token").where(F.length("token") >= 5).distinct()))
+    # of three letters against three, a slip is as likely another name
+    near = stash.put(alike_tokens(tokens.select("token").where(F.length("token") >= 3)).where(F.greatest(F.length("a"), F.length("b")) >= 4))
 
     # names by token, and by the token that a slip would turn theirs into
     direct = keyed.select("id", "kind", "token", F.col("token").alias("via"), "n")

@@ -57,6 +57,19 @@ def test_alike_tokens_recall(spark):
     assert all(N.alike(a, b) for a, b in got)
 
 
+@pytest.mark.parametrize("size", range(4, 9))
+def test_slips_in_short_tokens(spark, size):
+    rng = random.Random(size)
+    words = {"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size)) for _ in range(60)}
+    slips = set()
+    for w in words:
+        i = rng.randrange(size - 1)
+        slips |= {w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[:i] + "q" + w[i + 1 :], w[:i] + w[i] + w[i:], w[:i] + w[i + 1 :]}
+    every = sorted(words | slips | {"muller", "mueller"})
+    got = {(r["a"], r["b"]) for r in N.alike_tokens(spark.createDataFrame([(t,) for t in every], "token string")).collect()}
+    assert got == {(a, b) for i, a in enumerate(every) for b in every[i + 1 :] if N.alike(a, b)}
+
+
 PEOPLE = [
     *[(f"{g} {s}", "Person") for s in ("skarvendal", "brumholtz", "tivanescu", "okonwefu", "lindqvaster", "marovicek") for g in ("robert", "margaret", "oliver")],
 ]
@@ -73,6 +86,12 @@ def test_persons(spark):
     assert pairs(spark, rows) == want
 
 
+def test_slips_in_short_surnames(spark):
+    rows = [(f"{g} {s}", "Person") for s in ("smith", "kent", "fuchs") for g in ("robert", "margaret", "oliver")]
+    slips = {"robert smiht": "robert smith", "oliver kemt": "oliver kent", "margaret fuch": "margaret fuchs"}
+    assert pairs(spark, rows + [(s, "Person") for s in slips]) == {tuple(sorted(p)) for p in slips.items()}
+
+
 def test_ambiguous_initials_stay_alone(spark):
     rows = PEOPLE + [("rebecca brumholtz", "Person"), ("r. brumholtz", "Person"), ("brumholtz, r.", "Person")]
     assert pairs(spark, rows) == {("brumholtz, r.", "r. brumholtz")}
