@@ -289,8 +289,9 @@ def link_names(mentions: DataFrame, *, id_col: str, kind_col: str, threshold: fl
     aggregation on. Spellings with the same ``star`` name the same entity.
 
     A person's key is the surname (a token that mostly doesn't come first), an organisation's any token that at most
-    0.1 per cent of the organisations have (12 at least). A surname in more than ``common`` spellings is combined with
-    the initials of the given name, which all matching forms share, so that no key gathers an unbounded group.
+    0.1 per cent of the organisations have (12 at least). A surname that more than ``common`` spellings have, or
+    would have but for a slip, is combined with the first two letters of the other tokens and the initials of their full
+    forms, one at least of which all matching forms share (a slip in the first letter keeps the second or exchanges them).
     """
     stash = Stash(mentions.sparkSession)
     counted = mentions.select(F.col(id_col).alias("id"), F.lower(F.trim(kind_col)).alias("kind")).where("id is not null and trim(id) != ''")
@@ -332,22 +333,25 @@ def link_names(mentions: DataFrame, *, id_col: str, kind_col: str, threshold: fl
             F.filter("t", lambda x: x["distinctive"] | (~F.col("any") & (F.length(x["token"]) > 2))).alias("keys"),
         )
     )
-    keyed = rich.select("id", "kind", F.explode("keys").alias("k")).select("id", "kind", F.col("k.token").alias("token"), F.col("k.df").alias("n"))
+    keyed = rich.select("id", "kind", F.explode("keys").alias("k")).select("id", "kind", F.col("k.token").alias("token"))
     tokens = stash.put(keyed.select("kind", "token").distinct())
     # of three letters against three, a slip is as likely another name
     near = stash.put(alike_tokens(tokens.select("token").where(F.length("token") >= 3)).where(F.greatest(F.length("a"), F.length("b")) >= 4))
 
     # names by token, and by the token that a slip would turn theirs into
-    direct = keyed.select("id", "kind", "token", F.col("token").alias("via"), "n")
+    direct = keyed.select("id", "kind", "token", F.col("token").alias("via"))
     slipped = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(keyed.withColumnRenamed("token", "a"), "a")
-    slipped = slipped.select("id", "kind", F.col("a").alias("token"), F.col("b").alias("via"), "n")
-    first = F.array_distinct(F.transform(F.filter("tokens", lambda t: ~t.startswith(F.col("token"))), lambda t: F.substring(t, 1, 1)))
-    shorts = F.create_map(*[F.lit(x) for s, fulls in sorted(_FULL.items()) for x in (s, "".join(sorted({f[0] for f in fulls} | {s[0]})))])
-    nicks = F.flatten(F.transform(F.filter("tokens", lambda t: shorts[t].isNotNull()), lambda t: F.split(shorts[t], "")))
-    wide = direct.unionByName(slipped).join(rich.select("id", "tokens"), "id").withColumn(
-        "part",
-        F.explode(F.when((F.col("n") > common) & (F.col("kind") == "person"), F.filter(F.array_union(first, nicks), lambda c: c != "")).otherwise(F.array(F.lit("")))),
-    )
+    slipped = slipped.select("id", "kind", F.col("a").alias("token"), F.col("b").alias("via"))
+    wide = direct.unionByName(slipped).withColumn("part", F.lit(""))
+    # whether a key is split depends on the token both sides come by, so both are split or neither
+    hot = stash.put(wide.where("kind = 'person'").groupBy("kind", "via").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > common).select("kind", "via"))
+    if not hot.isEmpty():
+        rest = F.filter(F.transform("tokens", lambda t: F.regexp_replace(t, r"\.+$", "")), lambda t: t != F.col("token"))
+        shorts = F.create_map(*[F.lit(x) for s, fulls in sorted(_FULL.items()) for x in (s, "".join(sorted({f[0] for f in fulls})))])
+        letters = F.flatten(F.transform(rest, lambda t: F.split(F.concat(F.substring(t, 1, 2), F.coalesce(shorts[t], F.lit(""))), "")))
+        split = wide.join(hot, ["kind", "via"], "left_semi").join(rich.select("id", "tokens"), "id")
+        split = split.withColumn("part", F.explode(F.array_distinct(F.filter(letters, lambda c: c != "")))).drop("tokens")
+        wide = wide.join(hot, ["kind", "via"], "left_anti").unionByName(split)
     sides = stash.put(wide.select("kind", "via", "part", "id", "token"))
     x, y = sides.alias("x"), sides.alias("y")
     pairs = (

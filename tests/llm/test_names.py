@@ -92,6 +92,18 @@ def test_slips_in_short_surnames(spark):
     assert pairs(spark, rows + [(s, "Person") for s in slips]) == {tuple(sorted(p)) for p in slips.items()}
 
 
+def test_splitting_common_surnames_loses_no_link(spark):
+    rows = PEOPLE + [(n, "Person") for n in (
+        "bob skarvendal", "skarvendal, robert", "robert skravendal", "eobert skarvendal", "orbert skarvendal", "obert skarvendal", "rob. brumholtz", "m. brumholtz", "peg. brumholtz", "peggy brumholtz", "bob. tivanescu",
+        "r. okonwefu", "rh okonwefu", "oliver lindqvasetr", "ollie lindqvaster",
+    )]
+    df = spark.createDataFrame(rows, "entity_id string, entity_type string")
+    links = lambda common: {tuple(r) for r in N.linked_pairs(N.link_names(df, id_col="entity_id", kind_col="entity_type", common=common)).collect()}
+    want = links(10**9)
+    assert ("robert skarvendal", "robert skravendal") in want and ("eobert skarvendal", "robert skarvendal") in want
+    assert links(2) == want
+
+
 def test_ambiguous_initials_stay_alone(spark):
     rows = PEOPLE + [("rebecca brumholtz", "Person"), ("r. brumholtz", "Person"), ("brumholtz, r.", "Person")]
     assert pairs(spark, rows) == {("brumholtz, r.", "r. brumholtz")}
