@@ -28,8 +28,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_association(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs that share at least 5 chunks, with their association scores."""
-    pairs = cooccur.pair_counts(table(spark, d, "entities"), basket="chunk_id", item="entity_id", min_count=5)
+    """All pairs that share a chunk, with their association scores."""
+    pairs = cooccur.pair_counts(table(spark, d, "entities"), basket="chunk_id", item="entity_id")
     scored = cooccur.association(pairs)
     return scored.select("item_a", "item_b", "together", "n_a", "n_b", *[F.round(c, 6).alias(c) for c in ("lift", "pmi", "npmi", "jaccard", "g2")])
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioframe.llm import cooccur as C, fusion as R, neighbours as V
+from folioframe.llm.queries import p2_association
 
 
 def brute_pairs(rows, min_count=1, min_lift=0.0):
@@ -47,6 +48,13 @@ def test_pair_counts_edges(spark):
     assert C.related_pairs(C.pair_counts(one, basket="chunk", item="ent"), rel, "f", "t").count() == 1
 
 
+def test_association_has_every_pair(spark, tmp_path):
+    rows = [(f"c{i}", e) for i in range(6) for e in "ab"] + [("c0", "x"), (None, "a")]
+    spark.createDataFrame(rows, "chunk_id string, entity_id string").write.parquet(f"{tmp_path}/entities.parquet")
+    got = p2_association(spark, str(tmp_path)).collect()
+    assert {(r["item_a"], r["item_b"]): r["together"] for r in got} == {("a", "b"): 6, ("a", "x"): 1, ("b", "x"): 1}
+
+
 def vectors(spark, pairs):
     return spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v], "t", 1.0) for i, v in pairs], "id string, vector array<float>, other string, cosine double")
 
