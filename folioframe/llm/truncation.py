@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from folioframe.stash import Stash
 
 #: Bounds of the training sample: documents, and sentences taken from them.
-SAMPLE_DOCS, SAMPLE_SENTENCES = 2000, 15_000
+SAMPLE_DOCS, SAMPLE_SENTENCES = 4000, 15_000
 _BITS = 18
 # Signs left by a cut, that are not part of the text.
 # The same for lengths: a blank before dots is the text's own last character.
@@ -208,12 +208,15 @@ def truncated(docs: DataFrame, *, doc: str, text: str, source: str, sample_docs:
     A text is cut if it has the limit length of its source, or if its end is missing. Whole texts may end without a
     full stop, in a list, a table, a signature, a path, or in dots of their own (``And so on...``). Null and empty texts
     aren't cut; a null source has no limit. Statistics (lengths, vocabulary, list items) cover all texts; only the
-    sentence model is trained on at most ``sample_docs`` texts, those with the smallest hashes.
+    sentence model is trained on at most ``sample_docs`` texts, distinct ones with the smallest hashes.
     """
     spark = docs.sparkSession
     stash = Stash(spark)
     rows = docs.select(F.col(doc).alias("d"), F.col(text).alias("t"), F.col(source).alias("s")).where("t is not null and t != ''")
-    sample = rows.select("t", F.xxhash64("t").alias("h")).orderBy("h", "t").limit(sample_docs).toPandas()
+    # copies count once; only texts up to the last hash wanted are moved
+    hashed = rows.select("t", F.xxhash64("t").alias("h"))
+    last = hashed.select("h").distinct().orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    sample = hashed.where(F.col("h") <= F.lit(last)).distinct().orderBy("h", "t").limit(sample_docs).toPandas()
     weights = spark.sparkContext.broadcast(train(sample["t"].tolist()).astype(np.float32))
 
     listed = rows.select(F.explode(F.regexp_extract_all("t", F.lit(r"\n[-*+] ([^\n]+)\n"), 1)).alias("i"))

@@ -235,3 +235,19 @@ def test_skeleton(spark):
     pairs = [("modern", "modem"), ("clear", "dear"), ("table", "tab1e"), ("index", "!ndex"), ("file", "fi1c"), ("reader", "rcader")]
     df = spark.createDataFrame(pairs, "a string, b string").select((O.skeleton(F.col("a")) == O.skeleton(F.col("b"))).alias("same"))
     assert all(r["same"] for r in df.collect())
+
+
+def test_copies_do_not_fill_the_training_sample(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def train(texts):
+        raise Seen(texts)
+
+    monkeypatch.setattr(T, "train", train)
+    rows = [(20 * i + j, f"The text of number {i} ends here.", "s") for i in range(6) for j in range(20)]
+    docs = spark.createDataFrame(rows, "d long, t string, s string")
+    with pytest.raises(Seen) as seen:
+        T.truncated(docs, doc="d", text="t", source="s", sample_docs=5)
+    assert len(set(seen.value.args[0])) == len(seen.value.args[0]) == 5
+    assert T.SAMPLE_DOCS == 4000
