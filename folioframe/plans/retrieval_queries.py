@@ -308,7 +308,7 @@ def evt_dedup(spark, d):
 
 # evaluation
 def eval_accuracy_by_type(spark, d):
-    """Share of questions whose quote the corpus holds literally, by type, with a total."""
+    """Share of questions that lack an answer exactly if they must be refused, by type, with a total; no document is read."""
     items = table(spark, d, "eval_items")
     return items.withColumn("passed", (F.col("answer_gold").isNull() == F.col("must_refuse")).cast("int")).rollup("qtype").agg(F.round(F.avg("passed"), 6).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
