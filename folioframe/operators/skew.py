@@ -15,15 +15,36 @@ def lookup(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: floa
 
     Keys that hold more than ``HOT_SHARE`` of ``total`` rows, at most 1 / HOT_SHARE of them, are joined by
     broadcast; all others hold few rows each and are joined by a shuffle. Rows with a null key match nothing.
-    ``how`` is ``inner`` or ``left_semi``.
+    ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.
     """
     limit = max(1.0, total * HOT_SHARE)
     hot = facts.where(F.col(weight) > limit)
     cold = facts.where(F.col(weight) <= limit)
     flagged = rows.join(F.broadcast(hot.select(F.col(key), F.lit(True).alias("__hot"))), key, "left")
-    first = flagged.where("__hot").drop("__hot").join(F.broadcast(hot), key, how)
+    first = flagged.where("__hot").drop("__hot").join(F.broadcast(hot), key, how) if how != "left_anti" else None
     rest = flagged.where("__hot is null").drop("__hot").join(cold, key, how)
-    return first.unionByName(rest)
+    return rest if first is None else first.unionByName(rest)
+
+
+def chunked(rows: DataFrame, group: str, item: str, block: int) -> DataFrame:
+    """``rows`` with ``__chunks``, into how many chunks of about ``block`` rows their group is cut, and ``__chunk``, the one of ``item``.
+
+    Groups of up to ``block`` rows have one chunk. ``rows`` is read twice, so it should be a written table. Null groups have one chunk.
+    """
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__size"))
+    large = sizes.where(F.col("__size") > block)
+    told = lookup(rows, large, group, "__size", rows.count(), "left")
+    chunks = F.coalesce(F.ceil(F.col("__size") / block), F.lit(1)).cast("int")
+    return told.withColumn("__chunks", chunks).withColumn("__chunk", F.pmod(F.xxhash64(item), F.col("__chunks")).cast("int")).drop("__size")
+
+
+def tiled(rows: DataFrame, mine: str, other: str) -> DataFrame:
+    """``chunked`` rows, one copy per chunk of the other side: ``mine`` is the row's own chunk, ``other`` counts the others.
+
+    Joining ``tiled(l, "a", "b")`` with ``tiled(r, "b", "a")`` on group, a and b meets every pair of a group once, and no
+    task holds more than two chunks of a group.
+    """
+    return rows.withColumn(mine, F.col("__chunk")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1))).drop("__chunk", "__chunks")
 
 
 def _null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
