@@ -26,25 +26,22 @@ def lookup(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: floa
     return rest if first is None else first.unionByName(rest)
 
 
-def chunked(rows: DataFrame, group: str, item: str, block: int) -> DataFrame:
-    """``rows`` with ``__chunks``, into how many chunks of about ``block`` rows their group is cut, and ``__chunk``, the one of ``item``.
+def meetings(rows: DataFrame, group: str, item: str, block: int) -> list[tuple[DataFrame, DataFrame, list[str]]]:
+    """How to join a written table with itself on ``group``: (left, right, columns to join on), the results to be united.
 
-    Groups of up to ``block`` rows have one chunk. ``rows`` is read twice, so it should be a written table. Null groups have one chunk.
+    Groups of up to ``block`` rows are joined as they are. Larger ones are cut by hash of ``item`` into chunks of about
+    ``block`` rows, and every pair of chunks is a key of its own, so no task holds more than two chunks of a group. Every
+    pair of rows of a group meets once in either order. Null groups meet nothing.
     """
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__size"))
-    large = sizes.where(F.col("__size") > block)
-    told = lookup(rows, large, group, "__size", rows.count(), "left")
-    chunks = F.coalesce(F.ceil(F.col("__size") / block), F.lit(1)).cast("int")
-    return told.withColumn("__chunks", chunks).withColumn("__chunk", F.pmod(F.xxhash64(item), F.col("__chunks")).cast("int")).drop("__size")
-
-
-def tiled(rows: DataFrame, mine: str, other: str) -> DataFrame:
-    """``chunked`` rows, one copy per chunk of the other side: ``mine`` is the row's own chunk, ``other`` counts the others.
-
-    Joining ``tiled(l, "a", "b")`` with ``tiled(r, "b", "a")`` on group, a and b meets every pair of a group once, and no
-    task holds more than two chunks of a group.
-    """
-    return rows.withColumn(mine, F.col("__chunk")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1))).drop("__chunk", "__chunks")
+    large = rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("__size")).where(F.col("__size") > block)
+    if large.isEmpty():
+        return [(rows, rows, [group])]
+    total = rows.count()
+    small = lookup(rows, large, group, "__size", total, "left_anti")
+    chunks = F.ceil(F.col("__size") / block).cast("int")
+    cut = lookup(rows, large, group, "__size", total).withColumn("__n", chunks).drop("__size").withColumn("__own", F.pmod(F.xxhash64(item), F.col("__n")).cast("int"))
+    tiles = lambda mine, other: cut.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).withColumnRenamed("__own", mine).drop("__n")
+    return [(small, small, [group]), (tiles("__a", "__b"), tiles("__b", "__a"), [group, "__a", "__b"])]
 
 
 def _null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
