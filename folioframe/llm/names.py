@@ -1,10 +1,12 @@
 """Variant spellings of names typed by people.
 
-Steps: names are cut into tokens; tokens that are spelled alike are found by their deletion neighbourhoods, which
-tokens one slip apart always share, whatever their length, and checked by edit distance; names that share
-an equal or alike distinctive token are candidates; a candidate pair is verified by Monge-Elkan similarity of its
-tokens, with an inner similarity that knows typing slips, abbreviations, initials and nicknames; verified pairs are
-clustered by star clustering, in which incomplete spellings join a star only if it is the only one they fit.
+Steps: names are cut into tokens; the sets of padded letter pairs of the tokens are MinHashed, and tokens that share a
+band of hashes are candidates for a typing slip, which edit distance confirms. Rows and bands follow the length of a
+token: they are taken from the collision curve, so that the least similarity a slip leaves at that length is found
+with probability ``RECALL``. Equal tokens share all bands. Names that share an equal or alike distinctive token are
+candidates; a candidate pair is verified by Monge-Elkan similarity of its tokens, with an inner similarity that knows
+typing slips, abbreviations, initials and nicknames; verified pairs are clustered by star clustering, in which
+incomplete spellings join a star only if it is the only one they fit.
 """
 
 from __future__ import annotations
@@ -12,25 +14,50 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from folioframe.operators.skew import meetings
 from folioframe.stash import Stash
 
-# Common English, German, Slavic and Romance short forms of given names.
+#: Probability with which banding brings together two tokens that a slip of any kind sets apart.
+RECALL = 0.99
+# Common short forms of given names, the default of ``link_names``; a table of one's own may be passed.
 NICKNAMES = {
-    "alexander": "alex al sandy sasha xander", "benjamin": "ben benji benny", "charlotte": "lottie charlie lotte", "dmitri": "dima mitya",
-    "edward": "ned ted eddie ed", "elizabeth": "beth liz betty eliza lizzie", "francesca": "fran chessa franny", "francisco": "paco pancho fran",
-    "giuseppe": "beppe peppe pino", "guadalupe": "lupe lupita", "henrietta": "hettie etta", "ingeborg": "inge", "isabel": "izzy bella isa",
-    "johannes": "hannes jo hans", "josephine": "jo josie", "katherine": "kate kathy katie kat", "lawrence": "larry laurie", "margaret": "peggy meg maggie",
-    "nikolai": "kolya nik", "oliver": "ollie", "philippa": "pippa", "richard": "rick dick rich", "robert": "bob rob bobby", "rosalind": "roz",
-    "samuel": "sam sammy", "theodore": "ted theo teddy", "tomasz": "tomek", "ulrike": "uli", "victoria": "vicky tori", "viktor": "vitya vik",
-    "wilhelmina": "mina willa", "william": "will bill billy", "yevgenia": "zhenya", "zachary": "zach zack", "zsofia": "zsofi",
-    "michael": "mike mick", "james": "jim jimmy", "joseph": "joe joey", "anthony": "tony", "thomas": "tom tommy", "christopher": "chris", "daniel": "dan danny",
-    "matthew": "matt", "nicholas": "nick", "patricia": "pat patty", "susan": "sue", "catherine": "cathy cate", "gregory": "greg", "stephen": "steve",
+    "abigail": "abby", "adelaide": "addie", "agnes": "nessie", "albert": "al bert bertie", "alexander": "alex al sandy sasha xander",
+    "alexandra": "alex sandra lexi", "alfred": "alf fred", "amanda": "mandy", "andreas": "andi", "andrew": "andy drew", "angela": "angie",
+    "anthony": "tony", "antonio": "toni tonio", "archibald": "archie", "arthur": "art artie", "barbara": "barb babs", "bartholomew": "bart",
+    "beatrice": "bea trixie", "benjamin": "ben benji benny", "bernard": "bernie", "bradley": "brad", "caroline": "carrie caro", "cassandra": "cassie",
+    "catherine": "cathy cate", "cecilia": "cece", "charles": "charlie chuck", "charlotte": "lottie charlie lotte", "christine": "chris chrissy tina",
+    "christopher": "chris", "clifford": "cliff", "constance": "connie", "cornelius": "neil", "cynthia": "cindy", "daniel": "dan danny",
+    "david": "dave davy", "deborah": "deb debbie", "dennis": "denny", "diana": "di", "dmitri": "dima mitya", "dominic": "dom nick",
+    "donald": "don donnie", "dorothy": "dot dottie dolly", "douglas": "doug", "edward": "ned ted eddie ed", "ekaterina": "katya",
+    "eleanor": "ellie nell nora", "elizabeth": "beth liz betty eliza lizzie", "emanuel": "manny", "ernest": "ernie", "eugene": "gene",
+    "evgeny": "zhenya", "ferdinand": "ferdi", "florence": "flo", "francesca": "fran chessa franny", "francis": "frank",
+    "francisco": "paco pancho fran", "franziska": "franzi", "frederick": "fred freddie", "friedrich": "fritz", "gabriel": "gabe",
+    "gerald": "gerry jerry", "geraldine": "gerry", "gertrude": "trudy", "gilbert": "gil", "giuseppe": "beppe peppe pino", "gregory": "greg",
+    "guadalupe": "lupe lupita", "gwendolyn": "gwen", "harold": "harry hal", "helen": "nell", "henrietta": "hettie etta", "henry": "hank harry",
+    "herbert": "herb bert", "ignacio": "nacho", "ingeborg": "inge", "irina": "ira", "isabel": "izzy bella isa", "ivan": "vanya", "jacob": "jake",
+    "jacqueline": "jackie", "james": "jim jimmy", "jeffrey": "jeff", "jennifer": "jen jenny", "jeremy": "jerry", "jessica": "jess jessie",
+    "joanna": "jo asia", "johannes": "hannes jo hans", "john": "jack johnny", "jonathan": "jon", "jose": "pepe", "josef": "sepp",
+    "joseph": "joe joey", "josephine": "jo josie", "judith": "judy", "juliana": "jules", "katherine": "kate kathy katie kat", "kenneth": "ken kenny",
+    "konstantin": "kostya", "lawrence": "larry laurie", "leonard": "len lenny", "leopold": "leo", "louis": "lou", "lucille": "lucy", "ludwig": "lutz",
+    "magdalena": "magda lena", "malgorzata": "gosia", "marcus": "marc", "margaret": "peggy meg maggie", "maria": "masha mia", "martha": "marty",
+    "martin": "marty", "matthew": "matt", "maximilian": "max", "melanie": "mel", "melissa": "missy", "michael": "mike mick", "mikhail": "misha",
+    "mildred": "millie", "mitchell": "mitch", "nathaniel": "nat nate", "nicholas": "nick", "nikolai": "kolya nik", "norman": "norm", "olga": "olya",
+    "oliver": "ollie", "pamela": "pam", "patricia": "pat patty", "penelope": "penny", "peter": "pete", "philip": "phil", "philippa": "pippa",
+    "priscilla": "cilla", "raymond": "ray", "rebecca": "becky", "reginald": "reggie", "richard": "rick dick rich", "robert": "bob rob bobby",
+    "roberta": "bobbie", "roland": "rolly", "ronald": "ron ronnie", "rosalind": "roz", "rudolf": "rudi", "russell": "russ", "samuel": "sam sammy",
+    "sergei": "seryozha", "sigmund": "sigi", "solomon": "sol", "stanislaw": "staszek", "stanley": "stan", "stephen": "steve", "susan": "sue",
+    "susanna": "suzy", "svetlana": "sveta", "sylvester": "sly", "tatiana": "tanya", "terence": "terry", "teresa": "terry tess",
+    "theodore": "ted theo teddy", "thomas": "tom tommy", "timothy": "tim", "tomasz": "tomek", "ulrike": "uli", "ursula": "uschi",
+    "valentina": "valya", "veronica": "ronnie vera", "victoria": "vicky tori", "viktor": "vitya vik", "vincent": "vince", "virginia": "ginny",
+    "vladimir": "volodya vova", "walter": "walt wally", "wilhelmina": "mina willa", "william": "will bill billy", "wolfgang": "wolf",
+    "yevgenia": "zhenya", "zacharias": "zach", "zachary": "zach zack", "zsofia": "zsofi",
 }
 # Titles and degrees, legal forms, words that carry no identity.
 TITLES = {"dr", "prof", "phd", "mr", "mrs", "ms", "sir", "jr", "sr", "md", "ing", "dipl"}
@@ -43,7 +70,19 @@ PHRASES = (
     (r"société anonyme", "sa"), (r"\bl\.\s?l\.\s?c\.", "llc"), (r"\bco-op\b", "cooperative"), (r"&", " and "),
 )
 FILLERS = {"the", "and", "of", "de", "der", "die", "und", "et", "for"}
-_FULL = {short: {full for full, shorts in NICKNAMES.items() if short in shorts.split()} for shorts_ in NICKNAMES.values() for short in shorts_.split()}
+_HAN = "\u3400-\u9fff"
+
+
+def full_forms(nicknames: dict[str, str]) -> dict[str, set[str]]:
+    """The full forms of each short form, of full form -> short forms separated by blanks."""
+    out: dict[str, set[str]] = {}
+    for full, shorts in nicknames.items():
+        for short in shorts.split():
+            out.setdefault(short, set()).add(full)
+    return out
+
+
+_FULL = full_forms(NICKNAMES)
 
 
 def fold(text: str) -> str:
@@ -53,7 +92,7 @@ def fold(text: str) -> str:
 
 def parse(name: str, kind: str) -> tuple[list[str], str]:
     """Tokens in reading order (``S, F`` is turned to ``F S``) and the legal form; a token that ended in a dot keeps it."""
-    text = " ".join(name.lower().split())
+    text = re.sub(f"(?<=[{_HAN}])\\s+(?=[{_HAN}])", "", " ".join(name.lower().split()))  # blanks mean nothing between Han characters
     if kind == "organization":
         for pattern, plain in PHRASES:
             text = re.sub(pattern, plain, text)
@@ -110,27 +149,85 @@ def bands_for(recall: float, similarity: float, rows: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
+def schemes(size: int, recall: float = RECALL) -> list[tuple[int, int, int]]:
+    """(name, rows, bands) of the bands a token of ``size`` letters takes part in.
+
+    With one pad on either side a word of n letters has n + 1 pairs of letters. Two neighbours exchanged leave n - 2 of n + 4
+    pairs equal, the least a slip within one length leaves; a letter dropped from n leaves n - 1 of n + 2. Tokens one
+    slip apart share a scheme, that of their length or that of the longer one. More rows make shorter candidate lists
+    and need more bands, so short words have few. From 14 letters on the curve of 14 holds, words being more similar then.
+    """
+    out = []
+    for name, n, left, of in ((1000 + size, size, size - 2, size + 4), (size, size, size - 1, size + 2), (size + 1, size + 1, size, size + 3)):
+        if n < 3:
+            continue
+        left, of = (left, of) if n <= 14 else ((12, 18) if name >= 1000 else (13, 16))
+        rows = 1 if n == 3 else 2 if n <= 6 else 3 if n <= 9 else 4
+        out.append((name, rows, bands_for(recall, left / of, rows)))
+    return out
+
+
 def _plain(token: str) -> str:
     """Spelled-out umlauts as the bare vowel."""
     return token.replace("ae", "a").replace("oe", "o").replace("ue", "u")
 
 
-def _neighbourhood(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        keys = [sorted({t, _plain(t), *(t[:i] + t[i + 1 :] for i in range(len(t)))}) for t in part["token"]]
-        yield pd.DataFrame({"token": part["token"], "key": keys}).explode("key")
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit mix (multiply and shift) that spreads every bit."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def alike_tokens(tokens: DataFrame) -> DataFrame:
-    """Pairs of distinct tokens (a < b) one typing slip apart, of ``tokens`` (token); all of them, at any length.
+def band_keys(words: list[str], rows: int, bands: int, name: int) -> np.ndarray:
+    """Words x bands: a hash of ``rows`` MinHashes of the padded letter pairs of each word."""
+    codes = [np.frombuffer(f"\x02{w}\x03".encode("utf-32-le"), np.uint32).astype(np.uint64) for w in words]
+    grams = np.concatenate([(c[:-1] << np.uint64(32)) | c[1:] for c in codes])
+    starts = np.cumsum([0, *(len(c) - 1 for c in codes[:-1])])
+    seeds = _mixed(np.arange(1, rows * bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    keys = np.empty((len(words), bands), np.uint64)
+    for band in range(bands):
+        key = np.full(len(words), name * 4096 + band, np.uint64)
+        for row in range(rows):
+            least = np.minimum.reduceat(_mixed(grams ^ seeds[band * rows + row]), starts)
+            key = _mixed(key ^ least)
+        keys[:, band] = key
+    return keys.view(np.int64)
 
-    A letter dropped, added or replaced, or two neighbours exchanged: in each case both tokens without one letter, or
-    one of them as it is, are equal. A key has at most as many tokens as letters can be put into it in one place.
+
+def _banded(recall: float):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            forms: dict[tuple[int, int, int], list[tuple[str, str]]] = {}
+            for token in part["token"]:
+                for form in {token, _plain(token)}:
+                    for scheme in schemes(len(form), recall):
+                        forms.setdefault(scheme, []).append((token, form))
+            for (name, rows, bands), words in forms.items():
+                keys = band_keys([f for _, f in words], rows, bands, name)
+                yield pd.DataFrame({"token": np.repeat([t for t, _ in words], bands), "band": keys.ravel()})
+
+    return run
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` over all shuffle partitions, before Python work that costs more than its few bytes tell AQE."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
+def alike_tokens(tokens: DataFrame, stash: Stash | None = None, *, recall: float = RECALL, block: int = 1024) -> DataFrame:
+    """Pairs of distinct tokens (a < b) one typing slip apart, of ``tokens`` (token), each found with probability ``recall`` at least.
+
+    A letter dropped, added or replaced, or two neighbours exchanged, in tokens of three letters and more (a pair of two and
+    three letters is found by the scheme of three). Tokens of a crowded band are met in chunks, all of them.
     """
-    keyed = tokens.distinct().mapInPandas(_neighbourhood, "token string, key string")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.token") < F.col("b.token")))
-    near = pairs.select(F.col("a.token").alias("a"), F.col("b.token").alias("b")).distinct()
+    stash = stash or Stash(tokens.sparkSession)
+    banded = stash.put(spread(tokens.distinct(), "token").mapInPandas(_banded(recall), "token string, band bigint"))
+    met = [x.alias("a").join(y.alias("b"), on).where(F.col("a.token") < F.col("b.token")).select(F.col("a.token").alias("a"), F.col("b.token").alias("b")) for x, y, on in meetings(banded, "band", "token", block)]
+    near = reduce(DataFrame.unionByName, met).distinct()
+    # two edits are one exchange at most; what is farther apart is no slip, unless umlauts are spelled out
+    near = near.where((F.levenshtein("a", "b", 2) >= 0) | F.concat("a", "b").rlike("[aou]e"))
 
     @F.pandas_udf("boolean")
     def slip(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -139,11 +236,11 @@ def alike_tokens(tokens: DataFrame) -> DataFrame:
     return near.where(slip("a", "b"))
 
 
-def _givens(token: str) -> set[str]:
-    return _FULL.get(token.rstrip("."), {token.rstrip(".")}) | {token.rstrip(".")}
+def _givens(token: str, full: dict[str, set[str]]) -> set[str]:
+    return full.get(token.rstrip("."), {token.rstrip(".")}) | {token.rstrip(".")}
 
 
-def given_similarity(a: str, b: str, df: dict[str, int]) -> float:
+def given_similarity(a: str, b: str, df: dict[str, int], full: dict[str, set[str]] = _FULL) -> float:
     """Similarity of two given-name tokens: 1 equal, 0.95 short form, 0.9 slip, 0.8 initial, 0 different.
 
     Two tokens one slip apart are the same name only if one is much rarer: ``gabriel`` and ``gabriela`` are both
@@ -154,12 +251,12 @@ def given_similarity(a: str, b: str, df: dict[str, int]) -> float:
         return 1.0
     if len(x) == 1 or len(y) == 1:
         one, other = (x, b) if len(x) == 1 else (y, a)
-        return 0.8 if any(g.startswith(one) for g in _givens(other)) else 0.0
-    fx, fy = _givens(x), _givens(y)
+        return 0.8 if any(g.startswith(one) for g in _givens(other, full)) else 0.0
+    fx, fy = _givens(x, full), _givens(y, full)
     if fx & fy:
         return 0.95
-    for short, s, full in ((a, x, fy), (b, y, fx)):
-        if len(s) >= 3 and short.endswith(".") and any(f.startswith(s) and f != s for f in full):
+    for short, s, forms in ((a, x, fy), (b, y, fx)):
+        if len(s) >= 3 and short.endswith(".") and any(f.startswith(s) and f != s for f in forms):
             return 0.95
     few, many = sorted((df.get(x, 1), df.get(y, 1)))
     if min(len(x), len(y)) >= 3 and osa(x, y) <= 1:
@@ -169,28 +266,40 @@ def given_similarity(a: str, b: str, df: dict[str, int]) -> float:
     return 0.0
 
 
-def _initials(rest: list[str]) -> list[str]:
+def _initials(rest: list[str], full: dict[str, set[str]]) -> list[str]:
     """``rh`` (two initials typed together) becomes ``r h``."""
-    if len(rest) == 1 and len(rest[0].rstrip(".")) == 2 and rest[0].rstrip(".") not in _FULL:
+    if len(rest) == 1 and len(rest[0].rstrip(".")) == 2 and rest[0].rstrip(".") not in full:
         return list(rest[0].rstrip("."))
     return rest
 
 
-def person_similarity(rest_a: list[str], rest_b: list[str], df: dict[str, int]) -> tuple[float, bool, bool]:
-    """Monge-Elkan similarity of what is left beside the common surname, and whether each side has a full given name."""
-    a, b = _initials(rest_a), _initials(rest_b)
+def monge_elkan(a: list, b: list, inner: Callable[[object, object], float]) -> float:
+    """Mean over ``a`` of the best inner similarity to any of ``b``; 0 if either is empty."""
+    return sum(max(inner(x, y) for y in b) for x in a) / len(a) if a and b else 0.0
+
+
+def person_similarity(rest_a: list[str], rest_b: list[str], df: dict[str, int], full: dict[str, set[str]] = _FULL) -> tuple[float, bool, bool]:
+    """Monge-Elkan similarity of what is left beside the common surname, and whether each side has a full given name.
+
+    Names are compared place by place, first to first, as ``john robert`` and ``robert`` are two persons; a middle name
+    only one side has says nothing, two different ones tell the names apart.
+    """
+    a, b = _initials(rest_a, full), _initials(rest_b, full)
     if not a or not b:
         return 0.0, bool(a), bool(b)
-    full_a, full_b = len(a[0].rstrip(".")) > 1, len(b[0].rstrip(".")) > 1
-    inner = given_similarity(a[0], b[0], df)
-    scores = [inner]
-    if len(a) > 1 and len(b) > 1:  # a middle name only one side has says nothing
-        x, y = a[1].rstrip("."), b[1].rstrip(".")
-        middle = 1.0 if x == y else 0.8 if (len(x) == 1 or len(y) == 1) and x[0] == y[0] else 0.0
-        if not middle:
-            return 0.0, full_a, full_b
-        scores.append(middle)
-    return (sum(scores) / len(scores) if inner else 0.0), full_a, full_b
+
+    def inner(x: tuple[int, str], y: tuple[int, str]) -> float:
+        if x[0] != y[0]:
+            return 0.0
+        if not x[0]:
+            return given_similarity(x[1], y[1], df, full)
+        m, n = x[1].rstrip("."), y[1].rstrip(".")
+        return 1.0 if m == n else 0.8 if (len(m) == 1 or len(n) == 1) and m[0] == n[0] else 0.0
+
+    both = min(len(a), len(b), 2)
+    s, t = list(enumerate(a[:both])), list(enumerate(b[:both]))
+    apart = any(not inner(x, y) for x, y in zip(s, t))
+    return (0.0 if apart else monge_elkan(s, t, inner)), len(a[0].rstrip(".")) > 1, len(b[0].rstrip(".")) > 1
 
 
 def _word(a: str, b: str) -> float:
@@ -202,12 +311,6 @@ def _word(a: str, b: str) -> float:
     return 0.9 if min(len(x), len(y)) >= 4 and osa(x, y) <= 1 else 0.0
 
 
-def monge_elkan(a: list[str], b: list[str]) -> float:
-    """The lesser of both directions of the mean best inner similarity."""
-    one = lambda s, t: sum(max(_word(x, y) for y in t) for x in s) / len(s)
-    return min(one(a, b), one(b, a)) if a and b else 0.0
-
-
 def organization_similarity(rest_a: list[str], rest_b: list[str], legal_a: str, legal_b: str) -> tuple[float, bool, bool]:
     """The same for organisations: what they do, beside the common proper name."""
     full_a, full_b = bool(rest_a), bool(rest_b)
@@ -218,20 +321,24 @@ def organization_similarity(rest_a: list[str], rest_b: list[str], legal_a: str,
     for s, t in ((rest_a, rest_b), (rest_b, rest_a)):
         if len(s) == 1 and len(t) > 1 and s[0].rstrip(".") == "".join(x[0] for x in t):
             return 0.95, full_a, full_b
-    return monge_elkan(rest_a, rest_b), full_a, full_b
+    return min(monge_elkan(rest_a, rest_b, _word), monge_elkan(rest_b, rest_a, _word)), full_a, full_b
 
 
-def _verify(threshold: float):
+def _verify(threshold: float, full: dict[str, set[str]]):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for a, b, kind, ta, tb, la, lb, da, db, wa, wb in zip(*(part[c] for c in ("a", "b", "kind", "tok_a", "tok_b", "legal_a", "legal_b", "df_a", "df_b", "key_a", "key_b"))):
                 rest_a, rest_b = [t for t in ta if t.rstrip(".") != wa], [t for t in tb if t.rstrip(".") != wb]
-                if kind == "organization":
+                if sorted(t.rstrip(".") for t in ta) == sorted(t.rstrip(".") for t in tb) and not (la and lb and la != lb):
+                    s, fa, fb = 1.0, bool(rest_a), bool(rest_b)  # the same words in any order
+                    if kind != "organization":
+                        fa = fb = not rest_a or any(len(t.rstrip(".")) > 1 for t in rest_a)
+                elif kind == "organization":
                     s, fa, fb = organization_similarity(rest_a, rest_b, la, lb)
                 else:
                     df = {t.rstrip("."): int(n) for ts, ns in ((ta, da), (tb, db)) for t, n in zip(ts, ns)}
-                    s, fa, fb = person_similarity(rest_a, rest_b, df)
+                    s, fa, fb = person_similarity(rest_a, rest_b, df, full)
                     if wa != wb and s and s < 0.95 and fa and fb:
                         s = 0.0  # a slip in both parts is another name
                 if s >= threshold:
@@ -279,7 +386,47 @@ def _parsed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield part.assign(tokens=[t for t, _ in both], legal=[x for _, x in both])
 
 
-def link_names(mentions: DataFrame, *, id_col: str, kind_col: str, threshold: float = 0.8, common: int = 500) -> DataFrame:
+def _candidates(rich: DataFrame, near: DataFrame, stash: Stash, full: dict[str, set[str]], common: int) -> DataFrame:
+    """Pairs of names that share a key token or whose key tokens are alike: kind, a, b, ``key_a``, ``key_b``.
+
+    A token with more than ``common`` names is combined with the first two letters of their other tokens and the
+    initials of those tokens' full forms: any two tokens that ``given_similarity`` or ``_word`` accepts share one of them
+    (a slip in the first letter keeps the second or exchanges them), so the links stay the same and only hopeless pairs
+    are left out. An organisation's bare proper name has no other token and meets all names of the token.
+    """
+    keyed = rich.select("id", "kind", F.explode("keys").alias("k")).select("id", "kind", F.col("k.token").alias("token"))
+    direct = keyed.select("id", "kind", "token", F.col("token").alias("via"))
+    slipped = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(keyed.withColumnRenamed("token", "a"), "a")
+    wide = direct.unionByName(slipped.select("id", "kind", F.col("a").alias("token"), F.col("b").alias("via")))
+    # whether a key is split depends on the token both sides come by, so both are split or neither
+    counts = wide.groupBy("kind", "via").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("token") == F.col("via")).alias("own"))
+    counts = stash.put(counts.where("n > 1 and own > 0"))
+    hot = counts.where(F.col("n") > common).select("kind", "via", F.lit(True).alias("hot"))
+    wide = wide.join(counts.select("kind", "via"), ["kind", "via"], "left_semi").join(hot, ["kind", "via"], "left").join(rich.select("id", "tokens"), "id")
+    rest = F.filter(F.transform("tokens", lambda t: F.regexp_replace(t, r"\.+$", "")), lambda t: t != F.col("token"))
+    shorts = F.create_map(*[F.lit(x) for s, forms in sorted(full.items()) for x in (s, "".join(sorted({f[0] for f in forms})))]) if full else F.create_map(F.lit(""), F.lit(""))
+    letters = F.flatten(F.transform(rest, lambda t: F.split(F.concat(F.substring(t, 1, 2), F.coalesce(shorts[t], F.lit(""))), "")))
+    letters = F.array_distinct(F.filter(letters, lambda c: c != ""))
+    bare = F.size(rest) == 0
+    parts = F.when(F.col("hot").isNull(), F.array(F.lit(""))).when(F.col("kind") == "organization", F.array_append(letters, F.lit("*"))).otherwise(letters)
+    sides = wide.select("id", "kind", "token", "via", F.explode(parts).alias("part"), bare.alias("bare"))
+    sides = stash.put(sides.select(F.struct("kind", "via", "part").alias("key"), "id", "token", "bare"))
+    own_x, own_y, loose = F.col("x.token") == F.col("key.via"), F.col("y.token") == F.col("key.via"), F.col("key.part") == "*"
+    met = []
+    for x, y, on in meetings(sides, "key", "id", 1024):
+        # bare names look at all of their token, others at those of the same part; one side has the token itself
+        x = x.where(F.when(F.col("key.part") == "*", F.col("bare")).otherwise(F.col("token") == F.col("key.via")))
+        met.append(x.alias("x").join(y.alias("y"), on).where((F.col("x.id") != F.col("y.id")) & (own_x | own_y) & (loose | ~own_y | (F.col("x.id") < F.col("y.id")))))
+    first = F.col("x.id") < F.col("y.id")
+    pick = lambda c, d: F.when(first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")).alias(d)
+    rev = lambda c, d: F.when(first, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")).alias(d)
+    pairs = [m.select(F.col("key.kind").alias("kind"), pick("id", "a"), rev("id", "b"), pick("token", "key_a"), rev("token", "key_b")) for m in met]
+    return reduce(DataFrame.unionByName, pairs).distinct()
+
+
+def link_names(
+    mentions: DataFrame, *, id_col: str, kind_col: str, threshold: float = 0.8, common: int = 500, nicknames: dict[str, str] | None = None, recall: float = RECALL
+) -> DataFrame:
     """Which spellings name the same person or organisation: (``id``, ``kind``, ``star``), one row per spelling.
 
     ``id_col`` holds the spelling, in lower case; ``kind_col`` says person or organization in any letter case. A
@@ -288,11 +435,14 @@ def link_names(mentions: DataFrame, *, id_col: str, kind_col: str, threshold: fl
     wrong; null and empty spellings are left out. Mentions only count, so a spelling with a third of all rows is one row from the first
     aggregation on. Spellings with the same ``star`` name the same entity.
 
-    A person's key is the surname (a token that mostly doesn't come first), an organisation's any token that at most
-    0.1 per cent of the organisations have (12 at least). A surname that more than ``common`` spellings have, or
-    would have but for a slip, is combined with the first two letters of the other tokens and the initials of their full
-    forms, one at least of which all matching forms share (a slip in the first letter keeps the second or exchanges them).
+    A person's key is the surname (a token that mostly doesn't come first), an organisation's any token that doesn't
+    follow many different first words, as general words do (12, or 0.1 per cent of the organisations); how many
+    spellings one name has plays no part. A name without such a token has all its tokens as keys, and the whole of
+    them in any order. ``nicknames`` (full form -> short forms separated by blanks) stands in for ``NICKNAMES``;
+    ``common`` see ``_candidates``: it doesn't change the result. ``recall`` is that of a slip's candidates, see
+    ``alike_tokens``; everything after it is exact.
     """
+    full = _FULL if nicknames is None else full_forms(nicknames)
     stash = Stash(mentions.sparkSession)
     counted = mentions.select(F.col(id_col).alias("id"), F.lower(F.trim(kind_col)).alias("kind")).where("id is not null and trim(id) != ''")
     counted = counted.groupBy("id", "kind").agg(F.count(F.lit(1)).alias("n"))
@@ -301,67 +451,50 @@ def link_names(mentions: DataFrame, *, id_col: str, kind_col: str, threshold: fl
     every = stash.put(every.select("id", F.col("m.kind").alias("kind"), "mentions"))
     named = every.where(kinds)
     organizations = F.lit(max(12.0, 0.001 * every.where("kind = 'organization'").count()))
+    bare = lambda c: F.regexp_replace(c, r"\.$", "")
+    told_by_length = lambda c: (F.length(c) > 2) | F.col(c).rlike(f"^[{_HAN}]{{2}}$")
 
     def words_of(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Tokens of names, and how many spellings of the kind have each, how often in front, and whether it tells names apart."""
-        words = parsed.select("id", "kind", "mentions", "legal", F.posexplode("tokens").alias("pos", "raw"), F.size("tokens").alias("size"))
-        words = words.withColumn("token", F.regexp_replace("raw", r"\.$", ""))
-        facts = words.groupBy("kind", "token").agg(
-            F.count_distinct("id").alias("df"), F.avg(F.when((F.col("pos") == 0) & (F.col("size") > 1), 1.0).otherwise(0.0)).alias("first")
+        words = parsed.select("id", "kind", "mentions", "legal", bare(F.get("tokens", 0)).alias("head"), F.posexplode("tokens").alias("pos", "raw"), F.size("tokens").alias("size"))
+        words = words.withColumn("token", bare(F.col("raw")))
+        per_head = words.groupBy("kind", "token", "head").agg(
+            F.count_distinct("id").alias("df"), F.count(F.lit(1)).alias("n"), F.count_if((F.col("pos") == 0) & (F.col("size") > 1)).alias("front")
+        )
+        facts = per_head.groupBy("kind", "token").agg(
+            F.sum("df").alias("df"), (F.sum("front") / F.sum("n")).alias("first"), F.count_if(F.col("head") != F.col("token")).alias("heads")
         )
-        person = (F.col("first") <= 0.5) & (F.length("token") > 2) & ~F.col("token").isin(*sorted(_FULL))
-        told = F.when(F.col("kind") == "organization", F.col("df") <= organizations).otherwise(person)
-        return words, stash.put(facts.withColumn("distinctive", told))
+        person = (F.col("first") <= 0.5) & told_by_length("token") & ~F.col("token").isin(*sorted(full))
+        told = F.when(F.col("kind") == "organization", F.col("heads") <= organizations).otherwise(person)
+        return words.drop("head"), stash.put(facts.withColumn("distinctive", told))
 
-    parsed = lambda df: stash.put(df.mapInPandas(_parsed, "id string, kind string, mentions bigint, tokens array<string>, legal string"))
-    _, facts = words_of(parsed(named))
+    parsed = lambda df: stash.put(spread(df, "id").mapInPandas(_parsed, "id string, kind string, mentions bigint, tokens array<string>, legal string"))
+    first_names = parsed(named)
+    _, facts = words_of(first_names)
     # mentions of a wrong type: a spelling of another kind that has a distinctive token of names may be one, and is compared too
     other = parsed(every.where("kind is null or not kind in ('person', 'organization')"))
-    tokens = other.select("id", "mentions", F.explode("tokens").alias("token")).withColumn("token", F.regexp_replace("token", r"\.$", "")).where(F.length("token") >= 5)
+    tokens = other.select("id", "mentions", F.explode("tokens").alias("token")).withColumn("token", bare(F.col("token"))).where(told_by_length("token"))
     adopted = tokens.join(facts.where("distinctive").select("kind", "token", "df"), "token").groupBy("id", "mentions").agg(F.max(F.struct(F.length("token").alias("l"), F.col("kind"))).alias("m"))
-    names = parsed(named.unionByName(adopted.select("id", F.col("m.kind").alias("kind"), "mentions")))
+    names = stash.put(first_names.unionByName(parsed(adopted.select("id", F.col("m.kind").alias("kind"), "mentions"))))
     words, facts = words_of(names)
     joined = words.join(facts, ["kind", "token"])
     rich = joined.groupBy("id", "kind", "mentions", "legal").agg(
         F.array_sort(F.collect_list(F.struct("pos", "raw", "token", "df", "distinctive"))).alias("t")
     )
-    # a name without a distinctive token is found by all of its tokens but initials
+    # a name without a distinctive token is found by all of its tokens but initials, and as a whole
     rich = rich.withColumn("any", F.exists("t", lambda x: x["distinctive"]))
+    whole = F.struct(F.array_join(F.array_sort("t.token"), " ").alias("token"))
+    keys = F.transform(F.filter("t", lambda x: x["distinctive"] | (~F.col("any") & (F.length(x["token"]) > 2))), lambda x: F.struct(x["token"].alias("token")))
     rich = stash.put(
-        rich.select(
-            "id", "kind", "mentions", "legal", F.col("t.raw").alias("tokens"), F.col("t.df").alias("df"),
-            F.filter("t", lambda x: x["distinctive"] | (~F.col("any") & (F.length(x["token"]) > 2))).alias("keys"),
-        )
-    )
-    keyed = rich.select("id", "kind", F.explode("keys").alias("k")).select("id", "kind", F.col("k.token").alias("token"))
-    tokens = stash.put(keyed.select("kind", "token").distinct())
-    # of three letters against three, a slip is as likely another name
-    near = stash.put(alike_tokens(tokens.select("token").where(F.length("token") >= 3)).where(F.greatest(F.length("a"), F.length("b")) >= 4))
-
-    # names by token, and by the token that a slip would turn theirs into
-    direct = keyed.select("id", "kind", "token", F.col("token").alias("via"))
-    slipped = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(keyed.withColumnRenamed("token", "a"), "a")
-    slipped = slipped.select("id", "kind", F.col("a").alias("token"), F.col("b").alias("via"))
-    wide = direct.unionByName(slipped).withColumn("part", F.lit(""))
-    # whether a key is split depends on the token both sides come by, so both are split or neither
-    hot = stash.put(wide.where("kind = 'person'").groupBy("kind", "via").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > common).select("kind", "via"))
-    if not hot.isEmpty():
-        rest = F.filter(F.transform("tokens", lambda t: F.regexp_replace(t, r"\.+$", "")), lambda t: t != F.col("token"))
-        shorts = F.create_map(*[F.lit(x) for s, fulls in sorted(_FULL.items()) for x in (s, "".join(sorted({f[0] for f in fulls})))])
-        letters = F.flatten(F.transform(rest, lambda t: F.split(F.concat(F.substring(t, 1, 2), F.coalesce(shorts[t], F.lit(""))), "")))
-        split = wide.join(hot, ["kind", "via"], "left_semi").join(rich.select("id", "tokens"), "id")
-        split = split.withColumn("part", F.explode(F.array_distinct(F.filter(letters, lambda c: c != "")))).drop("tokens")
-        wide = wide.join(hot, ["kind", "via"], "left_anti").unionByName(split)
-    sides = stash.put(wide.select("kind", "via", "part", "id", "token"))
-    x, y = sides.alias("x"), sides.alias("y")
-    pairs = (
-        x.join(y, (F.col("x.kind") == F.col("y.kind")) & (F.col("x.via") == F.col("y.via")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.id") < F.col("y.id")))
-        .where((F.col("x.token") == F.col("x.via")) | (F.col("y.token") == F.col("y.via")))
-        .select(F.col("x.kind").alias("kind"), F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.token").alias("key_a"), F.col("y.token").alias("key_b"))
-        .distinct()
+        rich.select("id", "kind", "mentions", "legal", F.col("t.raw").alias("tokens"), F.col("t.df").alias("df"), F.array_distinct(F.when(F.col("any"), keys).otherwise(F.array_append(keys, whole))).alias("keys"))
     )
+    tokens = rich.select(F.explode("keys.token").alias("token")).where(~F.col("token").contains(" ") & (F.length("token") >= 3))
+    # of three letters against three, another letter is as likely another name; two exchanged ones are not
+    same_letters = F.array_sort(F.split("a", "")) == F.array_sort(F.split("b", ""))
+    near = stash.put(alike_tokens(tokens, stash, recall=recall).where((F.greatest(F.length("a"), F.length("b")) >= 4) | same_letters))
+    pairs = _candidates(rich, near, stash, full, common)
     side = lambda s: rich.select(F.col("id").alias(s), F.col("tokens").alias(f"tok_{s}"), F.col("legal").alias(f"legal_{s}"), F.col("df").alias(f"df_{s}"))
-    verified = pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_verify(threshold), "a string, b string, similarity double, full_a boolean, full_b boolean")
+    verified = spread(pairs.join(side("a"), "a").join(side("b"), "b"), "a", "b").mapInPandas(_verify(threshold, full), "a string, b string, similarity double, full_a boolean, full_b boolean")
     verified = stash.put(verified.groupBy("a", "b").agg(F.max("similarity").alias("similarity"), F.max("full_a").alias("full_a"), F.max("full_b").alias("full_b")))
 
     partial = verified.where("full_a != full_b")
