@@ -24,8 +24,13 @@ s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS c FROM u
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM s)
 SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE r <= 5 AND c >= 0.85"""
 
+_NEAREST = _NEAR[: _NEAR.index("SELECT DISTINCT least")].replace("ON a.id <> b.id)", "ON a.id <> b.id WHERE CAST('0x' || substr(md5(a.id), 1, 4) AS INT) % 20 = 0)") + (
+    "SELECT a AS id, b AS other, round(c, 4) AS cosine, r AS rank FROM r WHERE r <= 5"
+)
+
 SQL = {
     "p3_found": _NEAR,
+    "p3_neighbours": _NEAREST,
     "p8_found": f"""WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
 i AS (SELECT item_id, {_WORDS.format('quote')} AS w FROM eval_items UNION ALL SELECT item_id, {_WORDS.format('question')} FROM eval_items),
 dg AS (SELECT DISTINCT doc_id, unnest({_GRAM}) AS g FROM d WHERE len(w) >= 12),

@@ -104,6 +104,27 @@ def test_recall_with_a_dense_third(spark, spread):
     assert len(found) == len(want) and len(found & want) >= 0.98 * len(want)
 
 
+@pytest.mark.parametrize("partition_rows", [80, 3000])
+def test_windows_reach_over_cuts(spark, partition_rows):
+    """However the orderings are cut into partitions, the same neighbours come out."""
+    rng = np.random.default_rng(11)
+    data = {f"v{i:03}": (c + rng.standard_normal(64) * 0.3).astype(np.float32) for i, c in enumerate(np.repeat(rng.standard_normal((60, 64)), 5, axis=0))}
+    got = V.nearest_neighbours(vectors(spark, data.items()), k=4, min_cosine=0.7, orderings=2, window=20, partition_rows=partition_rows)
+    want = V.nearest_neighbours(vectors(spark, data.items()), k=4, min_cosine=0.7, orderings=2, window=20, partition_rows=10**6)
+    pairs = lambda df: {(r["id"], r["other"], r["rank"], round(r["cosine"], 6)) for r in df.collect()}
+    assert pairs(got) == pairs(want) and len(pairs(want)) > 500
+
+
+def test_far_neighbours_of_a_query_set(spark):
+    """Noise without near neighbours: what the windows miss is compared exactly, for the ids asked."""
+    rng = np.random.default_rng(12)
+    data = {f"v{i}": rng.standard_normal(64).astype(np.float32) for i in range(2000)}
+    asked = F.col("id").endswith("7")
+    got = {(r["id"], r["other"]) for r in V.nearest_neighbours(vectors(spark, data.items()), k=5, queries=asked, exact_below=0.8, window=16).collect()}
+    want = {(a, b) for a, b in brute_nearest(data, 5) if a.endswith("7")}
+    assert len(got) == len(want) and len(got & want) >= 0.999 * len(want)
+
+
 def test_exact_tiles_equal_brute_force(spark):
     rng = np.random.default_rng(9)
     data = {f"v{i}": rng.standard_normal(16).astype(np.float32) for i in range(300)}
