@@ -66,10 +66,12 @@ def grouped_rank(rows: DataFrame, group: list[str], order: Column, name: str = "
     values = stash.put(data.where("__v is not null").groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("__n")))
     sizes = values.groupBy(*group).agg(F.count(F.lit(1)).alias("__d"))
     big = sizes.where(F.col("__d") > per_bucket)
-    if big.limit(1).count():
+    most = big.agg(F.max("__d")).first()[0]
+    if most:
+        buckets = max(64, 2 * -(-most // per_bucket))  # as many as the largest group needs
         cuts = stash.put(
             values.join(big, group, "left_semi").groupBy(*group).agg(
-                F.percentile_approx("__v", [i / 64 for i in range(1, 64)], 1000).alias("__cuts")
+                F.percentile_approx("__v", [i / buckets for i in range(1, buckets)], 16 * buckets).alias("__cuts")
             )
         )
         values = _null_safe(values, cuts, group, "left").withColumn(

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioframe.operators import hierarchy as H
-from folioframe.operators.incremental import changed_records, confirm
+from folioframe.operators.incremental import changed_records, confirm, reread_from
 from folioframe.operators.skew import grouped_rank, lookup
 
 NOW = "file_path string, content_hash string, seen_at timestamp_ntz, arrived_at timestamp_ntz, indexed_at string"
@@ -56,6 +56,35 @@ def test_confirmed_records_are_not_processed_again(spark):
     assert changed_records(now, done).count() == 0
 
 
+def test_reread_from_the_oldest_open_record(spark):
+    rows = [("a", "a1", at(1), at(1), None), ("b", "b1", at(2), at(2), None), ("b", "b2", at(3), at(3), None), ("c", "c1", at(4), at(4), None), ("d", None, at(1), at(1), None)]
+    scan = spark.createDataFrame(rows, NOW)
+    book = lambda *done: spark.createDataFrame([(k, v, 5, None) for k, v in done], REG)
+    since = lambda df, ledger: reread_from(df, ledger).first()["since"]
+    assert since(scan, book(("a", "a1"), ("b", "b1"))) == at(2)  # b2 and c1 are open; b's first row counts
+    assert since(scan, book(("a", "A1"), ("b", "b2"), ("c", "c1"))) == at(4) and since(scan.limit(0), book()) is None
+    assert since(scan.unionByName(spark.createDataFrame([("e", "e1", None, None, None)], NOW)), book()) is None
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_runs_that_fail_skip_and_repeat_nothing(spark, seed):
+    """Random arrivals, late looks and failures: with the mark of the last run the same records come out as without."""
+    rng = random.Random(seed)
+    rows = []
+    for n in range(40):
+        day = rng.randint(1, 9)
+        rows.append((f"f{rng.randint(0, 9)}", rng.choice(["x", "y", "z", None]), at(day, rng.randint(0, 23)), at(min(10, day + rng.choice([0, 0, 1])), 23) if n else None, None))
+    ledger, since = spark.createDataFrame([], REG), None
+    for run, day in enumerate((3, 6, 8, 12)):
+        seen = spark.createDataFrame([r for r in rows if r[3] is None or r[3] < at(day)], NOW)
+        todo = {tuple(r) for r in changed_records(seen, ledger, since=since).collect()}
+        assert todo == {tuple(r) for r in changed_records(seen, ledger).collect()}
+        done = [(k, v, 100 + run, None) for k, v in sorted(todo) if run % 2 or rng.random() < 0.5]
+        ledger = spark.createDataFrame([tuple(r) for r in ledger.collect()] + done, REG)
+        since = F.lit(reread_from(seen, ledger).first()["since"])
+    assert changed_records(seen, ledger).count() == 0
+
+
 def brute(links):
     out = {}
     for node in links:
