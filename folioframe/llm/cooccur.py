@@ -38,10 +38,12 @@ def pair_counts(
     kept = stash.put(lookup(seen, useful, "item", "n", max(1, baskets)))
     sizes = kept.groupBy("basket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     large = stash.put(sizes.where(F.col("size") > block).withColumn("chunks", F.ceil(F.col("size") / block).cast("int")))
+    split = not large.isEmpty()
+    whole = kept.count() if split else 0
 
     one = F.struct("item", "n")
     small = (
-        kept.join(large, "basket", "left_anti").groupBy("basket").agg(F.array_sort(F.collect_list(one)).alias("items")).where(F.size("items") > 1)
+        (lookup(kept, large, "basket", "size", whole, "left_anti") if split else kept).groupBy("basket").agg(F.array_sort(F.collect_list(one)).alias("items")).where(F.size("items") > 1)
     )
     near = small.select(
         F.explode(
@@ -57,9 +59,9 @@ def pair_counts(
         ).alias("p")
     ).select("p.*")
     parts = near
-    if not large.isEmpty():
-        split = kept.join(large, "basket").withColumn("c", F.pmod(F.xxhash64("item"), F.col("chunks")).cast("int"))
-        spread = split.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+    if split:
+        cut = lookup(kept, large, "basket", "size", whole).withColumn("c", F.pmod(F.xxhash64("item"), F.col("chunks")).cast("int"))
+        spread = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
             "basket", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), F.struct("item", "n", "c").alias("x")
         )
         cells = spread.groupBy("basket", "c1", "c2").agg(F.collect_list("x").alias("xs"))
