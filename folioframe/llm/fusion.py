@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from folioframe.operators.skew import grouped_rank
+from folioframe.operators.skew import grouped_rank, lookup
 from folioframe.stash import Stash
 
 
@@ -28,14 +28,17 @@ def reciprocal_rank_fusion(hits: DataFrame, *, query: str, item: str, source: st
     )
     fused = stash.put(fused.withColumn("rrf", F.round("rrf", 12)))
     placed = grouped_rank(fused, ["q"], -F.col("rrf"), "position")
-    of_query = best.groupBy("q").agg(F.count_distinct("s").alias("query_sources"))
-    return placed.join(of_query, "q").select(
+    of_query = best.groupBy("q").agg(F.count_distinct("s").alias("query_sources"), F.count(F.lit(1)).alias("hits"))
+    return lookup(placed, of_query, "q", "hits", best.count()).select(
         F.col("q").alias(query), F.col("i").alias(item), "rrf", "sources", "worst_rank", "query_sources", "position"
     )
 
 
-def first_in_all_sources(fused: DataFrame, first: int = 2, least_sources: int = 2) -> DataFrame:
-    """Items among the ``first`` of every source their query has, of queries with at least ``least_sources`` sources."""
-    return fused.where(
-        (F.col("query_sources") >= least_sources) & (F.col("sources") == F.col("query_sources")) & (F.col("worst_rank") <= first)
-    )
+def first_in_all_sources(fused: DataFrame, first: int = 2, least_sources: int = 2, k: float = 60.0) -> DataFrame:
+    """Items among the ``first`` of every source their query has, of queries with at least ``least_sources`` sources.
+
+    Such an item's fused score is at least sources / (k + first), which few others reach; those that do are told apart by
+    their worst rank.
+    """
+    top = fused.where((F.col("query_sources") >= least_sources) & (F.col("rrf") >= F.col("query_sources") / (k + first) - 1e-9))
+    return top.where((F.col("sources") == F.col("query_sources")) & (F.col("worst_rank") <= first))
