@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from folioframe.functions.values import let
+from folioframe.operators.skew import broadcast_if
 from folioframe.stash import Stash
 
 #: Grams per pass. The hash set of a pass is broadcast: 8 bytes each, 32 MB at most. More grams take more passes.
@@ -51,14 +53,20 @@ def _grams(n: int):
 
 
 def _scan(n: int, wanted):
+    """Documents with hits only: doc, text, and place and gram of each hit."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = wanted.value
         for batch in batches:
-            row, at, gram = _windows(batch.column(1), n)
+            row, at, gram = _windows(batch.column(2), n)
             spot = np.searchsorted(grams, gram)
             hit = grams[np.minimum(spot, len(grams) - 1)] == gram
             row, at, gram = row[hit], at[hit], gram[hit]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(gram.view(np.int64))], names=["doc", "at", "gram"])
+            docs, starts = np.unique(row, return_index=True)  # rows come in order
+            offsets = pa.array(np.r_[starts, len(row)].astype(np.int32))
+            pairs = pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(gram.view(np.int64))], names=["at", "gram"])
+            held = batch.take(pa.array(docs))
+            yield pa.RecordBatch.from_arrays([held.column(0), held.column(1), pa.ListArray.from_arrays(offsets, pairs)], names=["doc", "text", "hits"])
 
     return run
 
@@ -71,7 +79,7 @@ def leaked_windows(
     Words are maximal runs of letters or digits in lower case, so case, punctuation, markup and line breaks play no
     part. Passages shorter than n words can't leak. The n-grams of the items are hashed, put into one sorted hash set
     and broadcast (``grams_per_pass`` bounds it; beyond it the corpus is scanned once per block of grams); the corpus
-    is scanned once, window by window, without a shuffle. Hits are verified on the words themselves, so hash
+    is scanned once, window by window. Only what hit windows say is moved, to be verified on the words themselves, so hash
     collisions report nothing. Null texts, null ids and null passages give no row; repeated rows count once.
     """
     spark = corpus.sparkSession
@@ -88,20 +96,24 @@ def leaked_windows(
     passes = max(1, -(-distinct.count() // grams_per_pass))
 
     docs = corpus.select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
-    hashes = docs.select("doc", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
-    hits = None
+    hashes = docs.select("doc", "text", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
+    hits, held = None, []
     for block in range(passes):
         part = distinct.where(F.pmod(F.xxhash64("gram"), F.lit(passes)) == block).toPandas()["gram"].to_numpy(dtype=np.int64)
-        wanted = spark.sparkContext.broadcast(np.sort(part.view(np.uint64)))
-        found = hashes.mapInArrow(_scan(n, wanted), "doc bigint, at int, gram bigint") if len(part) else spark.createDataFrame([], "doc bigint, at int, gram bigint")
+        if not len(part):
+            continue
+        held.append(spark.sparkContext.broadcast(np.sort(part.view(np.uint64))))
+        found = hashes.mapInArrow(_scan(n, held[-1]), "doc bigint, text string, hits array<struct<at: int, gram: bigint>>")
+        said = lambda w: F.transform("hits", lambda h: F.struct(h["at"].alias("at"), h["gram"].alias("gram"), F.array_join(F.slice(w, h["at"] + 1, n), " ").alias("said")))
+        found = found.select("doc", F.inline(let(words(F.col("text")), said)))
         hits = found if hits is None else hits.unionByName(found)
-    hits = stash.put(hits)
-    # verify on the words: of the hit windows only
-    held = docs.join(hits.groupBy("doc").agg(F.collect_set("at").alias("ats")), "doc").select(
-        "doc", F.explode("ats").alias("at"), words(F.col("text")).alias("w")
-    ).select("doc", "at", F.array_join(F.slice("w", F.col("at") + 1, n), " ").alias("said"))
+    if hits is None:
+        return spark.createDataFrame([], f"{doc} bigint, {item} bigint, at int")
+    hits = stash.put(hits.distinct())
+    for wanted in held:
+        wanted.destroy()
     wanted_text = grams.join(asked, "passage").select("item", "gram", F.array_join(F.slice("w", F.col("at") + 1, n), " ").alias("said")).distinct()
-    checked = hits.distinct().join(held.distinct(), ["doc", "at"]).join(wanted_text, ["gram", "said"])
+    checked = hits.join(wanted_text, ["gram", "said"])
     return checked.select(F.col("doc").alias(doc), F.col("item").alias(item), "at").distinct()
 
 
@@ -116,14 +128,26 @@ def remove_leaks(corpus: DataFrame, windows: DataFrame, *, doc: str, text: str,
     Documents of which more than ``drop_above`` of the words leaked are dropped. Text between the cut spans keeps its
     characters. Documents without leaks, and null texts, stay as they are.
     """
-    marks = windows.groupBy(F.col(doc).alias("__doc")).agg(F.array_sort(F.collect_set("at")).alias("__at"))
+    # windows that touch or overlap are one span [s, e) of words; spans are few and short, however many windows they have
+    none = F.array().cast("array<struct<s: int, e: int>>")
+    grown = F.aggregate(
+        F.array_sort(F.collect_set("at")), none,
+        lambda acc, a: F.when(
+            (F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= a),
+            F.array_append(F.slice(acc, 1, F.size(acc) - 1), F.struct(F.element_at(acc, -1)["s"].alias("s"), (a + n).alias("e"))),
+        ).otherwise(F.array_append(acc, F.struct(a.alias("s"), (a + n).alias("e")))),
+    )
+    marks = Stash(corpus.sparkSession).put(windows.groupBy(F.col(doc).alias("__doc")).agg(grown.alias("__spans")))
     parts = F.regexp_extract_all(F.col(text), F.lit(r"([\p{L}\p{N}]+[^\p{L}\p{N}]*)"), 1)
     head = F.regexp_extract(F.col(text), r"^([^\p{L}\p{N}]*)", 1)
-    joined = corpus.join(marks, corpus[doc] == F.col("__doc"), "left")
-    cut = F.flatten(F.transform("__at", lambda a: F.sequence(a, a + n - 1)))
-    joined = joined.withColumn("__cut", F.array_distinct(cut)).withColumn("__parts", F.when(F.col("__at").isNotNull(), parts))
-    # the cut positions are a variable of their own, so they aren't built anew for each word
-    kept = F.get(F.transform(F.array(F.col("__cut")), lambda at: F.filter("__parts", lambda x, i: ~F.array_contains(at, i))), 0)
-    share = F.size("__cut") / F.size("__parts")
-    joined = joined.where(F.col("__at").isNull() | (share <= drop_above))
-    return joined.withColumn(text, F.when(F.col("__at").isNull(), F.col(text)).otherwise(F.concat(head, F.array_join(kept, "")))).select(*corpus.columns)
+    joined = corpus.join(broadcast_if(marks, 100_000), corpus[doc] == F.col("__doc"), "left")
+    joined = joined.withColumn("__parts", F.when(F.col("__spans").isNotNull(), parts))
+    whole = F.size("__parts")
+    # what stands before each span, and after the last
+    between = lambda ps: F.transform("__spans", lambda x, i: F.array_join(F.slice(ps, F.coalesce(F.get("__spans", i - 1)["e"], F.lit(0)) + 1, x["s"] - F.coalesce(F.get("__spans", i - 1)["e"], F.lit(0))), ""))
+    end = F.element_at("__spans", -1)["e"]
+    rest = lambda ps: F.array_join(F.slice(ps, end + 1, F.greatest(whole - end, F.lit(0))), "")
+    kept = let(F.col("__parts"), lambda ps: F.concat(head, F.array_join(between(ps), ""), rest(ps)))
+    share = F.aggregate("__spans", F.lit(0), lambda acc, x: acc + x["e"] - x["s"]) / whole
+    joined = joined.where(F.col("__spans").isNull() | (share <= drop_above))
+    return joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(kept)).select(*corpus.columns)
