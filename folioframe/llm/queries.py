@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioframe.llm import cooccur, fusion, leakage, mixing, names, neighbours, ocr_repair, truncation
 from folioframe.session import table
+from folioframe.stash import Stash
 
 
 def _stars(spark: SparkSession, d: str) -> DataFrame:
@@ -34,6 +35,12 @@ def p2_association(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("item_a", "item_b", "together", "n_a", "n_b", *[F.round(c, 6).alias(c) for c in ("lift", "pmi", "npmi", "jaccard", "g2")])
 
 
+def p2_files(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs that stand together in three files or more: a file mentions more entities than a chunk, so its basket is split."""
+    pairs = cooccur.pair_counts(table(spark, d, "entities"), basket="source_file", item="entity_id", min_count=3, block=64)
+    return pairs.select("item_a", "item_b", "together", "n_a", "n_b", "baskets")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     near = neighbours.nearest_neighbours(table(spark, d, "chunks"), k=5, min_cosine=0.85)
     return neighbours.similar_pairs(near)
@@ -93,27 +100,46 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
-    from folioframe.stash import Stash
-
     docs = table(spark, d, "documents").where("source is not null")
     return Stash(spark).put(docs.select(F.col("doc_id").alias("id"), "source", mixing.token_counts(F.col("text")).alias("tokens")))
 
 
+def _shares(spark: SparkSession, sizes: DataFrame, d: str) -> tuple[DataFrame, DataFrame]:
+    plan = mixing.mixing_plan(sizes, table(spark, d, "mix_targets"))
+    mixed = mixing.mix(sizes, plan, shard_tokens=1_000_000)
+    return mixed, mixing.shares(mixed, plan)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixing_plan(_sizes(spark, d), table(spark, d, "mix_targets")).where("short").select("source")
+    """Sources that the mix gives less than their target although it repeats them as often as it may."""
+    _, shares = _shares(spark, _sizes(spark, d), d)
+    return shares.where("reached < wanted and most_copies >= least(max_repeats, documents)").where("short").select("source")
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     """The mixed corpus: which document goes to which place of which shard, how often."""
-    sizes = _sizes(spark, d)
-    return mixing.mix(sizes, mixing.mixing_plan(sizes, table(spark, d, "mix_targets")), shard_tokens=1_000_000)
+    return _shares(spark, _sizes(spark, d), d)[0]
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """The shares the mix reached."""
-    sizes = _sizes(spark, d)
-    plan = mixing.mixing_plan(sizes, table(spark, d, "mix_targets"))
-    return mixing.shares(mixing.mix(sizes, plan, shard_tokens=1_000_000), plan)
+    return _shares(spark, _sizes(spark, d), d)[1]
+
+
+def p9_limits(spark: SparkSession, d: str) -> DataFrame:
+    """A mix by characters instead of tokens, held against its targets: every source's plan, whether it was reached to within
+    one document, how many of its documents stand in it more often than allowed, or twice in a copy."""
+    sizes = table(spark, d, "documents").where("source is not null").select(F.col("doc_id").alias("id"), "source", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("tokens"))
+    mixed, shares = _shares(spark, Stash(spark).put(sizes), d)
+    mixed = Stash(spark).put(mixed)
+    longest = sizes.groupBy("source").agg(F.max("tokens").alias("longest"))
+    times = mixed.groupBy("source", "id").agg(F.count(F.lit(1)).alias("times"), F.count_distinct("copy").alias("copies")).groupBy("source").agg(
+        F.max("times").alias("times"), F.sum(F.col("times") - F.col("copies")).alias("twice")
+    )
+    told = shares.join(longest, "source", "left").join(times, "source", "left")
+    close = (F.col("reached") <= F.col("planned")) & (F.col("planned") - F.col("reached") < F.coalesce("longest", F.lit(0)) + 1)
+    over = F.greatest(F.coalesce("times", F.lit(0)) - F.col("max_repeats"), F.lit(0)).cast("bigint")
+    return told.select("source", "own", F.round("planned", 2).alias("planned"), "short", close.alias("close"), over.alias("over"), F.coalesce("twice", F.lit(0)).alias("twice"))
 
 
 def _cut(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +158,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_clusters, p2_found, p2_association, p3_found, p3_neighbours, p5_found, p5_paragraphs, p7_found, p7_ranking, p8_found, p8_spans, p8_clean, p9_found, p9_mix, p9_shares, p10_found,
+        p1_found, p1_clusters, p2_found, p2_association, p2_files, p3_found, p3_neighbours, p5_found, p5_paragraphs, p7_found, p7_ranking, p8_found, p8_spans, p8_clean, p9_found, p9_mix, p9_shares, p9_limits, p10_found,
         p10_rates,
     )
 }

@@ -4,7 +4,7 @@ _PAIRS = """WITH m AS (SELECT DISTINCT chunk_id, entity_id FROM entities WHERE c
 n AS (SELECT count(DISTINCT chunk_id) AS baskets FROM m),
 c AS (SELECT entity_id, count(*) AS n FROM m WHERE entity_id IS NOT NULL GROUP BY 1),
 p AS (SELECT a.entity_id AS item_a, b.entity_id AS item_b, count(*) AS together
-  FROM m a JOIN m b ON a.chunk_id = b.chunk_id AND a.entity_id < b.entity_id GROUP BY 1, 2 HAVING count(*) >= 5),
+  FROM m a JOIN m b ON a.chunk_id = b.chunk_id AND a.entity_id < b.entity_id GROUP BY 1, 2),
 q AS (SELECT p.*, x.n AS n_a, y.n AS n_b, n.baskets FROM p JOIN c x ON x.entity_id = item_a JOIN c y ON y.entity_id = item_b, n)"""
 
 _RANKS = """WITH v AS (
@@ -43,7 +43,7 @@ ig AS (SELECT DISTINCT item_id, unnest({_GRAM}) AS g FROM i WHERE len(w) >= 12),
 h AS (SELECT DISTINCT doc_id, item_id, at0 FROM dg JOIN ig USING (g))
 SELECT doc_id, item_id, count(*) AS windows, min(at0) AS first_word, max(at0) + 12 AS end_word FROM h GROUP BY doc_id, item_id""",
     "p2_found": _PAIRS + """
-SELECT item_a AS entity_a, item_b AS entity_b FROM q WHERE together * baskets >= 5 * n_a * n_b
+SELECT item_a AS entity_a, item_b AS entity_b FROM q WHERE together >= 5 AND together * baskets >= 5 * n_a * n_b
 AND EXISTS (SELECT 1 FROM relations r WHERE least(r.from_entity, r.to_entity) = item_a AND greatest(r.from_entity, r.to_entity) = item_b)""",
     "p2_association": _PAIRS + """,
 d AS (SELECT *, CAST(together AS DOUBLE) AS ab, CAST(n_a AS DOUBLE) AS a, CAST(n_b AS DOUBLE) AS b, CAST(baskets AS DOUBLE) AS t FROM q)
@@ -53,6 +53,13 @@ SELECT item_a, item_b, together, n_a, n_b, round(ab * t / (a * b), 6) AS lift, r
     + CASE WHEN b > ab THEN (b - ab) * ln((b - ab) / ((t - a) * b / t)) ELSE 0 END
     + CASE WHEN t - a - b + ab > 0 THEN (t - a - b + ab) * ln((t - a - b + ab) / ((t - a) * (t - b) / t)) ELSE 0 END), 6) AS g2
 FROM d""",
+    "p2_files": """WITH m AS (SELECT DISTINCT source_file, entity_id FROM entities WHERE source_file IS NOT NULL AND entity_id IS NOT NULL),
+c AS (SELECT entity_id, count(*) AS n FROM m GROUP BY 1),
+p AS (SELECT a.entity_id AS item_a, b.entity_id AS item_b, count(*) AS together FROM m a JOIN m b ON a.source_file = b.source_file AND a.entity_id < b.entity_id GROUP BY 1, 2 HAVING count(*) >= 3)
+SELECT p.*, x.n AS n_a, y.n AS n_b, (SELECT count(DISTINCT source_file) FROM entities) AS baskets FROM p JOIN c x ON x.entity_id = item_a JOIN c y ON y.entity_id = item_b""",
+    "p9_limits": """WITH o AS (SELECT source, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS own FROM documents WHERE source IS NOT NULL GROUP BY source),
+t AS (SELECT m.source, coalesce(own, 0) AS own, coalesce(weight, 0) * (SELECT sum(own) FROM o) AS wanted, coalesce(max_repeats, 0) * coalesce(own, 0) AS most FROM mix_targets m LEFT JOIN o USING (source) WHERE m.source IS NOT NULL)
+SELECT source, own, round(least(wanted, CAST(most AS DOUBLE)), 2) AS planned, wanted > most AS short, true AS close, CAST(0 AS BIGINT) AS over, CAST(0 AS BIGINT) AS twice FROM t""",
     "p7_found": _RANKS + """
 SELECT query_id, id FROM f JOIN s USING (query_id) WHERE n >= 2 AND sources = n AND worst <= 2""",
     "p7_ranking": _RANKS + """

@@ -49,6 +49,10 @@ def test_leak_edges_and_removal(spark):
     assert {tuple(r) for r in L.leaks(win, "doc_id", "item_id", 4).collect()} == {(1, 7, 2, 2, 7), (4, 7, 2, 0, 5)}
     clean = {r["doc_id"]: r["text"] for r in L.remove_leaks(ddf, win, doc="doc_id", text="text", n=4).collect()}
     assert clean == {1: "Before it. After it, more words stay here.", 2: "nothing here", 3: None}
+    long = "z0 " + " ".join(f"w{i % 50} one two three four five" for i in range(3)) + " end."
+    win = L.leaked_windows(spark.createDataFrame([(5, long, "x", 0)], DOC), idf, doc="doc_id", text="text", item="item_id", passages=["quote"], n=4)
+    ddf5 = spark.createDataFrame([(5, long, "x", 0)], DOC)
+    assert [r["text"] for r in L.remove_leaks(ddf5, win, doc="doc_id", text="text", n=4, drop_above=0.9).collect()] == ["z0 w0 w1 w2 end."]
     none = L.leaked_windows(ddf.limit(0), idf, doc="doc_id", text="text", item="item_id", passages=["quote"], n=4)
     assert none.count() == 0
     assert L.leaked_windows(ddf, idf.limit(0), doc="doc_id", text="text", item="item_id", passages=["quote"], n=4).count() == 0
@@ -91,11 +95,34 @@ def test_mix(spark):
 def test_splitting_tree_adds_up():
     import pandas as pd
 
-    names, counts = ["a", "b", "c"], [1000, 37, 3]
-    parts = pd.concat(M._quotas(names, counts, 13, 5)(iter([pd.DataFrame({"id": range(6)}), pd.DataFrame({"id": range(6, 13)})])))
+    names, counts = ["a", "b", "c"], [100_000, 3_700, 30]
+    quota = pd.DataFrame({"source": names, "n": counts})
+    shards = 2 * M.WALK + 13
+    parts = pd.concat([M._quotas(shards, 5)((0, stretch), quota) for stretch in range(3)])
     assert parts.groupby("source")["blocks"].sum().to_dict() == dict(zip(names, counts))
     per = parts.groupby("shard")["blocks"].sum()
-    assert len(per) == 13 and per.max() - per.min() <= 1
+    assert len(per) == shards and per.max() - per.min() <= 1
+
+
+def test_many_sources_and_blocks(spark):
+    """More sources than a tree holds, more blocks than a run: still all quotas, no document too often."""
+    rng = random.Random(6)
+    rows = [(i, f"s{i % 30}", rng.randint(1, 400)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, source string, tokens long")
+    targets = spark.createDataFrame([(f"s{n}", 1 / 30, 2) for n in range(30)], "source string, weight double, max_repeats int")
+    plan = M.mixing_plan(df, targets)
+    got = M.mix(df, plan, shard_tokens=30_000, block_tokens=300, run=7, tree=4).collect()
+    by, seen = {}, set()
+    for r in got:
+        by[r["source"]] = by.get(r["source"], 0) + r["tokens"]
+        assert (r["id"], r["copy"]) not in seen and r["copy"] < 2
+        seen.add((r["id"], r["copy"]))
+    for r in plan.collect():
+        assert r["planned"] - 400 <= by[r["source"]] <= r["planned"]
+    sizes_of = {}
+    for r in got:
+        sizes_of[r["shard"]] = sizes_of.get(r["shard"], 0) + r["tokens"]
+    assert len(sizes_of) == -(-int(sum(r["planned"] for r in plan.collect())) // 30_000) and max(sizes_of.values()) < 45_000
 
 
 def test_mix_edges(spark):
