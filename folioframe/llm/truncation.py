@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from folioframe.operators.skew import broadcast_if
 from folioframe.stash import Stash
 
 #: Bounds of the training sample: documents, and sentences taken from them.
@@ -247,9 +248,10 @@ def truncated(docs: DataFrame, *, doc: str, text: str, source: str, sample_docs:
     judged = stash.put(told.mapInPandas(judge, f"d {kinds['d']}, s string, how string, word string").where("how != 'whole'"))
     # a word is known if it stands somewhere within a text, followed by another word or a mark and a blank
     inner = rows.select(F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"(\p{L}+)(?=[ -][\p{L}\p{N}]|[,;:.!?] |\n\n)"), 1)).alias("word"))
-    known = inner.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_known)
-    asked = judged.where("word is not null").select("word").distinct()
-    known = asked.join(known, "word", "left_semi").withColumn("known", F.lit(True))
+    asked = stash.put(judged.where("word is not null").select("word").distinct())
+    # only words that are asked for are counted, and each is dropped or kept before the shuffle
+    known = inner.join(broadcast_if(asked, 200_000), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    known = known.where(F.col("n") >= least_known).select("word", F.lit(True).alias("known"))
     checked = judged.join(known, "word", "left").where("word is null or known is null")
     return checked.select(F.col("d").alias(doc), F.col("s").alias(source), "how")
 
