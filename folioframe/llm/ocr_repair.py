@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from folioframe.operators.skew import lookup
+from folioframe.operators.skew import broadcast_if, lookup
 from folioframe.stash import Stash
 
 # Fixed values. Hyphens that only a typesetter puts at a line's end (hyphen, soft hyphen, not sign), and the common one.
@@ -22,8 +22,10 @@ _HARD, _SOFT = "\ue000", "\ue001"
 STROKES = (("m", "rrl"), ("n", "rl"), ("u", "ll"), ("h", "ll"), ("d", "cl"), ("w", "vv"))
 SINGLES = ("i1!|0597e2tz86", "llllosgfczfzbb")
 #: The outer share of the page height where headers and footers stand; a form this many times rarer than another of its
-#: skeleton is a misreading; a right form has at least this many occurrences.
-ZONE, RATIO, SUPPORT = 0.08, 5, 5
+#: skeleton, in the corpus or after the word before it, is a misreading.
+ZONE, RATIO = 0.08, 5
+#: Up to so many spellings are broadcast; more are joined by shuffle.
+SPELLINGS = 200_000
 #: Blocks no higher than this (one line of small type) stand beside the flow of the text.
 SMALL_PRINT = 12.0
 
@@ -38,7 +40,7 @@ def skeleton(word: Column) -> Column:
 
 def _plain(text: Column) -> Column:
     """Ligatures written out; line breaks of any kind are one."""
-    out = F.regexp_replace(text, "\r\n?", "\n")
+    out = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     for lig, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
         out = F.replace(out, F.lit(lig), F.lit(letters))
     return out
@@ -46,8 +48,9 @@ def _plain(text: Column) -> Column:
 
 def _glued(text: Column) -> Column:
     """Broken words as one token with a break sign: a mark after a letter, then a line break or blank, then a letter."""
-    out = F.regexp_replace(text, r"(?<=[\p{L}\p{N}])[" + SOFT_MARKS + r"]\s+(?=[\p{L}\p{N}!])", _SOFT)
-    return F.regexp_replace(out, r"(?<=[\p{L}\p{N}])-\s+(?=[\p{Ll}\p{N}!])", _HARD)
+    # patterns that begin with the mark itself are looked for at marks only
+    out = F.regexp_replace(text, "[" + SOFT_MARKS + r"](?<=[\p{L}\p{N}].)\s+(?=[\p{L}\p{N}!])", _SOFT)
+    return F.regexp_replace(out, r"-(?<=[\p{L}\p{N}]-)\s+(?=[\p{Ll}\p{N}!])", _HARD)
 
 
 def _broken(token: Column) -> Column:
@@ -87,31 +90,58 @@ def _blocks(pages: DataFrame) -> DataFrame:
 def _with_next(blocks: DataFrame, running: DataFrame) -> DataFrame:
     """Non-running blocks with ``next``: the first word of the text that goes on after them, if it goes on in lower case.
 
-    It is in one of the next three blocks of the page as it was read, or the first such block of the next page.
+    It is in the next block of the page, as it was read, that starts in lower case, or the first such block of the next page.
     """
     body = blocks.join(running, "id", "left_anti").withColumn("start", F.regexp_extract("raw", r"^\s*([\p{Ll}\p{N}!][\p{L}\p{N}!]*)", 1))
     line = Window.partitionBy("file", "page", "read").orderBy("y", "x", "id")
-    goes = lambda i: F.nullif(F.lead("start", i).over(line), F.lit(""))
-    here = body.withColumn("here", F.coalesce(goes(1), goes(2), goes(3))).withColumn("after", F.count(F.lit(1)).over(line.rowsBetween(1, Window.unboundedFollowing)))
+    here = body.withColumn("here", F.first(F.nullif("start", F.lit("")), ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing)))
     first = body.where("start != ''").groupBy("file", (F.col("page") - 1).alias("page")).agg(F.min_by("start", F.struct("read", "y", "id")).alias("over"))
     return here.join(first, ["file", "page"], "left").withColumn("next", F.coalesce("here", "over"))
 
 
+def _pieces(blocks: DataFrame) -> DataFrame:
+    """One row per piece between blanks: id, pos, piece, ``last`` of its block, ``p`` the pieces of the block."""
+    rows = blocks.select("id", F.split(F.trim(_glued(F.col("raw"))), r"\s+").alias("p"))
+    return rows.select("id", "p", F.posexplode("p").alias("pos", "piece")).select("id", "pos", "piece", (F.col("pos") == F.size("p") - 1).alias("last"), "p")
+
+
+def _bare(piece: Column) -> Column:
+    """A piece in lower case, without marks around it, break signs kept."""
+    return F.rtrim(F.ltrim(F.lower(piece), F.lit("\"'“„«([")), F.lit(".,;:!?\"'”“»)]…"))
+
+
+def _cut_off(piece: Column) -> Column:
+    return F.col("last") & piece.rlike(f"[-{SOFT_MARKS}]$")
+
+
 def _tokens(blocks: DataFrame) -> DataFrame:
-    """One row per token: id, pos, ``t`` (lower case, without marks around it, break signs kept), ``last`` of its block."""
-    pieces = blocks.select("id", F.split(F.trim(_glued(F.col("raw"))), r"\s+").alias("p"))
-    rows = pieces.select("id", F.size("p").alias("n"), F.posexplode("p").alias("pos", "piece"))
-    bare = F.rtrim(F.ltrim(F.lower("piece"), F.lit("\"'“„«([")), F.lit(".,;:!?\"'”“»)]…"))
-    return rows.select("id", "pos", "piece", bare.alias("t"), (F.col("pos") == F.col("n") - 1).alias("last")).where("t != ''")
+    """One row per token: id, pos, ``t`` (see ``_bare``), ``last`` of its block."""
+    return _pieces(blocks).select("id", "pos", "piece", _bare(F.col("piece")).alias("t"), "last").where("t != ''")
+
 
+def _forms(pieces: DataFrame, stash: Stash) -> tuple[DataFrame, DataFrame]:
+    """Every spelling of a piece (piece, t), and every whole form with its count, skeleton, and the best form of the skeleton: form, n, sk, best, best_n.
 
-def _forms(tokens: DataFrame, stash: Stash) -> DataFrame:
-    """Every whole form with its count, skeleton, and the best form of the skeleton: form, n, sk, best, best_n."""
-    whole = tokens.where(~_broken(F.col("t")) & ~(F.col("last") & F.col("t").rlike(f"[-{SOFT_MARKS}]$")))
-    counts = whole.groupBy(F.col("t").alias("form")).agg(F.count(F.lit(1)).alias("n")).withColumn("sk", skeleton(F.col("form")))
+    Pieces are counted as they stand, so all else is done once per spelling, not once per place.
+    """
+    spelled = stash.put(pieces.groupBy("piece", _cut_off(F.col("piece")).alias("cut")).agg(F.count(F.lit(1)).alias("n")).withColumn("t", _bare(F.col("piece"))).where("t != ''"))
+    counts = spelled.where(~_broken(F.col("t")) & ~F.col("cut")).groupBy(F.col("t").alias("form")).agg(F.sum("n").alias("n")).withColumn("sk", skeleton(F.col("form")))
     counts = stash.put(counts)
     best = counts.groupBy("sk").agg(F.max(F.struct("n", "form")).alias("b")).select("sk", F.col("b.form").alias("best"), F.col("b.n").alias("best_n"))
-    return stash.put(counts.join(best, "sk"))
+    return spelled, stash.put(counts.join(best, "sk"))
+
+
+def _by_context(seen: DataFrame, pieces: DataFrame, spelled: DataFrame, stash: Stash) -> DataFrame:
+    """Ids of blocks with a form that the word before it tells to be a misreading: after that word the best form of its skeleton stands ``RATIO`` times as often or more.
+
+    ``seen``: id, form, best, before. For forms that are too frequent of their own to be told by their number.
+    """
+    asked = stash.put(seen.where("before != ''").groupBy("before", "form", "best").agg(F.count(F.lit(1)).alias("own")))
+    wanted = stash.put(spelled.join(asked.select(F.col("best").alias("t")).distinct(), "t", "left_semi").select("piece", "t").distinct())
+    there = pieces.join(broadcast_if(wanted, SPELLINGS), "piece").select(F.col("t").alias("best"), _bare(F.coalesce(F.get("p", F.col("pos") - 1), F.lit(""))).alias("before"))
+    after = there.groupBy("before", "best").agg(F.count(F.lit(1)).alias("after"))
+    told = asked.join(after, ["before", "best"]).where(F.col("after") >= RATIO * F.col("own")).select("before", "form")
+    return seen.join(told, ["before", "form"], "left_semi").select("id")
 
 
 def page_noise(pages: DataFrame) -> DataFrame:
@@ -120,18 +150,26 @@ def page_noise(pages: DataFrame) -> DataFrame:
     ``pages`` has the columns of page_blocks. The text of a block is ``text``, or ``normalized_text`` where that is
     null; if both are null the block has no noise. A word broken with a soft mark is always broken; with a plain hyphen
     it is broken unless the compound is the commoner form of the corpus. A token is misread if a form of the same
-    skeleton is at least ``RATIO`` times as frequent. Ligatures are no misreadings. Repeated ids count once, null ids
-    are ignored. Counts cover all blocks.
+    skeleton is at least ``RATIO`` times as frequent, in the corpus or, where both are common, after the word before it.
+    Ligatures are no misreadings. Repeated ids count once, null ids are ignored. Counts cover all blocks.
     """
     stash = Stash(pages.sparkSession)
     blocks = stash.put(_blocks(pages))
     running = stash.put(running_blocks(blocks))
-    tokens = stash.put(_tokens(blocks))
-    forms = _forms(tokens, stash)
+    pieces = _pieces(blocks)
+    spelled, forms = _forms(pieces, stash)
     by_sk = forms.groupBy("sk").agg(F.sum("n").alias("n"))
 
+    # the places that matter: broken words, and spellings that may be misread; all others stay where they are
+    doubtful = forms.where((F.col("form") != F.col("best")) & _letters()).select(F.col("form").alias("t"), "best", F.when(_misread(), "number").otherwise("context").alias("by"))
+    asked = spelled.where(~F.col("cut") & ~_broken(F.col("t"))).select("piece", "t").distinct().join(doubtful, "t")
+    asked = stash.put(asked.unionByName(spelled.where(_broken(F.col("t"))).select("piece", "t", F.lit("").alias("best"), F.lit("broken").alias("by")).distinct()))
+    before = F.get("p", F.col("pos") - 1)
+    places = pieces.join(broadcast_if(asked, SPELLINGS), "piece").where((F.col("by") == "broken") | ~_cut_off(F.col("piece")))
+    places = stash.put(places.select("id", "pos", "t", "best", "by", _bare(F.coalesce(before, F.lit(""))).alias("before")))
+
     # words broken within a block
-    inner = tokens.where(_broken(F.col("t"))).select(
+    inner = places.where("by = 'broken'").select(
         "id", "pos", "t", F.regexp_replace("t", f"[{_HARD}{_SOFT}]", "").alias("joined"), F.regexp_replace("t", f"[{_HARD}{_SOFT}]", "-").alias("kept"), F.col("t").contains(_SOFT).alias("soft")
     )
     # words broken at the end of a block
@@ -145,17 +183,16 @@ def page_noise(pages: DataFrame) -> DataFrame:
 
     # misread: of whole tokens, and of broken ones as they read when joined; a cut word at the edge of a block can't be judged
     continued = blocks.where(F.col("raw").rlike(r"^\s*\p{Ll}")).select("id", F.lit(0).alias("pos"))
-    whole = tokens.where(~_broken(F.col("t")) & ~(F.col("last") & F.col("piece").rlike(f"[-{SOFT_MARKS}]$")))
-    whole = whole.join(continued, ["id", "pos"], "left_anti").select("id", F.col("t").alias("form"))
-    total = forms.agg(F.sum("n")).first()[0] or 0
-    verdict = forms.where("form != best").select("form", "n", _misread().alias("bad")).unionByName(forms.where("form = best").select("form", "n", F.lit(False).alias("bad")))
-    first = lookup(whole, verdict, "form", "n", total).where("bad").select("id")
+    whole = places.where("by != 'broken'").join(continued, ["id", "pos"], "left_anti")
+    first = whole.where("by = 'number'").select("id")
+    ambiguous = stash.put(whole.where("by = 'context'").select("id", F.col("t").alias("form"), "best", "before"))
+    third = _by_context(ambiguous, pieces, spelled, stash)
     mended = broken.where("pos >= 0").select("id", F.when(F.col("broken"), F.col("joined")).otherwise(F.col("kept")).alias("form")).withColumn("sk", skeleton(F.col("form")))
     right = forms.where("form = best").select("sk", "best", "best_n")
     own = forms.select(F.col("form").alias("f"), "n")
     told = mended.join(right, "sk").join(own, mended["form"] == own["f"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     second = told.where((F.col("form") != F.col("best")) & _misread()).select("id")
-    misread = first.unionByName(second).distinct()
+    misread = first.unionByName(second).unionByName(third).distinct()
     kinds = [(running, "running"), (hyphen, "hyphen"), (misread, "misread")]
     out = None
     for df, kind in kinds:
@@ -164,9 +201,12 @@ def page_noise(pages: DataFrame) -> DataFrame:
     return out
 
 
+def _letters() -> Column:
+    return F.col("form").rlike(r"\p{L}") & ((F.length("form") > 1) | F.col("form").rlike(r"[^\x00-\x7F]"))
+
+
 def _misread() -> Column:
-    letters = F.col("form").rlike(r"\p{L}") & ((F.length("form") > 1) | F.col("form").rlike(r"[^\x00-\x7F]"))
-    return letters & (F.col("best_n") >= SUPPORT) & (F.col("best_n") >= RATIO * F.col("n"))
+    return _letters() & (F.col("best_n") >= RATIO * F.greatest("n", F.lit(1)))
 
 
 def _judged(words: DataFrame, by_sk: DataFrame) -> DataFrame:
@@ -189,7 +229,7 @@ def repaired_paragraphs(pages: DataFrame) -> DataFrame:
     blocks = stash.put(_blocks(pages))
     running = stash.put(running_blocks(blocks))
     tokens = stash.put(_tokens(blocks))
-    forms = _forms(tokens, stash)
+    _, forms = _forms(_pieces(blocks), stash)
     by_sk = forms.groupBy("sk").agg(F.sum("n").alias("n"))
     latest = blocks.groupBy("file", "page").agg(F.max("read").alias("read"))
     kept = stash.put(blocks.join(latest, ["file", "page"]).where(blocks["read"].eqNullSafe(latest["read"])).drop(latest["read"]).join(running, "id", "left_anti"))
@@ -203,12 +243,12 @@ def repaired_paragraphs(pages: DataFrame) -> DataFrame:
     ).withColumn("plain", F.replace("plain", F.lit("\ue002"), F.when(F.col("broken"), F.lit("")).otherwise(F.lit("-"))))
     told = told.withColumn("form", F.regexp_replace("t", f"[{_HARD}{_SOFT}]", F.lit("\ue002"))).withColumn("form", F.replace("form", F.lit("\ue002"), F.when(F.col("broken"), F.lit("")).otherwise(F.lit("-"))))
     told = told.withColumn("before", F.lag("form").over(Window.partitionBy("id").orderBy("pos"))).withColumn("sk", skeleton(F.col("form")))
-    bad = forms.where("form != best").where(_misread()).select("form")
-    whole_known = forms.select("form").withColumn("seen", F.lit(True))
-    supported = forms.where(F.col("n") >= SUPPORT).select("sk", F.col("form").alias("right"), F.col("n").alias("support"))
-    wrong = stash.put(
-        told.join(bad.withColumn("bad", F.lit(True)), "form", "left").join(whole_known, "form", "left").where("bad or (broken is not null and seen is null)").select("id", "pos", "form", "before", "sk")
-    )
+    # facts of a form by lookup, as "the" may be a twentieth of all words
+    facts = stash.put(forms.select("form", "n", ((F.col("form") != F.col("best")) & _misread()).alias("bad")))
+    total = facts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    told = stash.put(told)
+    supported = forms.where(F.col("n") >= RATIO).select("sk", F.col("form").alias("right"), F.col("n").alias("support"))
+    wrong = stash.put(lookup(told, facts, "form", "n", total, "left").where("bad or (broken is not null and n is null)").select("id", "pos", "form", "before", "sk"))
     pairs = told.where("before is not null").join(wrong.select("before").distinct(), "before", "left_semi").groupBy("before", F.col("form").alias("right")).agg(F.count(F.lit(1)).alias("after"))
     choice = wrong.join(supported, "sk").join(pairs, ["before", "right"], "left").groupBy("id", "pos").agg(F.max(F.struct(F.coalesce("after", F.lit(0)).alias("after"), F.col("support"), F.col("right"))).alias("c"))
     fixed = told.join(choice.select("id", "pos", F.col("c.right").alias("right")), ["id", "pos"], "left")
@@ -221,9 +261,17 @@ def repaired_paragraphs(pages: DataFrame) -> DataFrame:
     laid = kept.join(lines, "id")
     # captions, values and footnotes are small print beside the flow of the text
     laid = laid.withColumn("small", F.col("h") <= SMALL_PRINT)
-    order = Window.partitionBy("file", "small").orderBy("page", "y", "x", "id")
-    goes_on = F.col("line").rlike(r"^\p{Ll}") & F.lag("line").over(order).isNotNull()
-    laid = laid.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("paragraph", F.sum("new").over(order) - 1)
+    # paragraphs are numbered page by page, then by the sums of the pages, so no window goes over the blocks of a file
+    page = Window.partitionBy("file", "small", "page").orderBy("y", "x", "id")
+    laid = stash.put(laid.withColumn("place", F.row_number().over(page)).withColumn("lower", F.col("line").rlike(r"^\p{Ll}")))
+    heads = laid.groupBy("file", "small", "page").agg(F.count_if(~F.col("lower")).alias("news"))
+    pages_of = Window.partitionBy("file", "small").orderBy("page")
+    heads = heads.withColumn("first", F.row_number().over(pages_of) == 1).withColumn("sofar", F.coalesce(F.sum("news").over(pages_of.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    opens = laid.where("place = 1 and lower").select("file", "small", "page", F.lit(1).alias("opens"))
+    # the first block of a file is a paragraph even if it starts in lower case
+    heads = heads.join(opens, ["file", "small", "page"], "left").withColumn("extra", F.max(F.when(F.col("first"), F.coalesce("opens", F.lit(0)))).over(Window.partitionBy("file", "small")))
+    laid = laid.join(heads.select("file", "small", "page", "sofar", "extra"), ["file", "small", "page"])
+    laid = laid.withColumn("paragraph", F.col("sofar") + F.col("extra") - 1 + F.sum(F.when(F.col("lower"), 0).otherwise(1)).over(page))
     joined = laid.groupBy("file", "small", "paragraph").agg(F.array_sort(F.collect_list(F.struct("page", "y", "x", "id", "line"))).alias("ls"), F.count(F.lit(1)).alias("blocks"))
     text = F.aggregate(
         "ls", F.lit(""), lambda acc, x: F.when(acc == "", x["line"]).when(acc.rlike(f"[{SOFT_MARKS}-]$"), F.concat(F.regexp_replace(acc, f"[{SOFT_MARKS}-]$", ""), x["line"])).otherwise(F.concat(acc, F.lit(" "), x["line"]))
