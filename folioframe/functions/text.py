@@ -63,16 +63,17 @@ def segmented_tokens(text: Column) -> Column:
 
 
 def stemmed_tokens(text: Column) -> Column:
-    """``word_tokens`` of up to 40 bytes without stop words, stemmed; stop words go first, so none survives as a stem."""
+    """``word_tokens`` of up to 40 bytes without stop words, stemmed, for English; stop words go first, so none survives as a stem."""
     kept = F.filter(word_tokens(text), lambda t: (F.octet_length(t) <= 40) & ~t.isin(*STOP_WORDS))
     return stem_all(kept)
 
 
 def query_terms(q: Column, *, stop_words: list[str] = STOP_WORDS) -> Column:
-    """Distinct terms of a query: words without stop words and plain numbers, and character pairs of longer Han words."""
+    """Distinct terms of a query: words without stop words and plain numbers, and the character pairs of words over two characters,
+    which meet words that the index cut otherwise."""
     words = F.filter(word_tokens(sanitize_query(preprocess_query(q))), lambda t: ~t.isin(*stop_words) & ~t.rlike(r"^\d+$"))
     grams = F.flatten(
-        F.transform(words, lambda w: F.when(w.rlike(r"\p{IsHan}") & (F.length(w) > 2), F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, 2))).otherwise(F.array().cast("array<string>")))
+        F.transform(words, lambda w: F.when(F.length(w) > 2, F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, 2))).otherwise(F.array().cast("array<string>")))
     )
     return F.array_distinct(F.concat(words, grams))
 

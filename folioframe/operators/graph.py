@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from folioframe.functions import values as V
+from folioframe.operators.skew import meetings
+from folioframe.stash import Stash
 
 # Capitalised words that name nothing, and noise terms.
 COMMON = (
@@ -66,10 +70,11 @@ def distinct_entities(mentions: DataFrame, order: Column) -> DataFrame:
 
 def cooccurrence_relations(mentions: DataFrame, confidence: float = 0.5) -> DataFrame:
     """Relations between all entities of a chunk, each unordered pair once per file: the file of the chunk is kept."""
-    m = mentions.where("chunk_id is not null and entity_id is not null").select("chunk_id", "entity_id", "source_file").distinct()
-    a, b = m.alias("a"), m.alias("b")
-    pairs = a.join(b, (F.col("a.chunk_id") == F.col("b.chunk_id")) & (F.col("a.source_file") == F.col("b.source_file")) & (F.col("a.entity_id") < F.col("b.entity_id")))
-    return pairs.select(F.col("a.entity_id").alias("from_entity"), F.col("b.entity_id").alias("to_entity"), F.lit("co-occurrence").alias("relation_type"), F.col("a.source_file").alias("source_file"), F.lit(confidence).alias("confidence")).distinct()
+    m = mentions.where("chunk_id is not null and entity_id is not null and source_file is not null").select(F.struct("chunk_id", "source_file").alias("k"), "entity_id", "source_file").distinct()
+    # chunks with many entities are met in parts
+    met = [x.alias("a").join(y.alias("b"), on).where(F.col("a.entity_id") < F.col("b.entity_id")).select("a.entity_id", "b.entity_id", "a.source_file").toDF("x", "y", "f") for x, y, on in meetings(Stash(mentions.sparkSession).put(m), "k", "entity_id", 512)]
+    pairs = reduce(DataFrame.unionByName, met)
+    return pairs.select(F.col("x").alias("from_entity"), F.col("y").alias("to_entity"), F.lit("co-occurrence").alias("relation_type"), F.col("f").alias("source_file"), F.lit(confidence).alias("confidence")).distinct()
 
 
 def degrees(relations: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
@@ -11,27 +13,90 @@ from folioframe.functions import text as T, values as V
 
 # Hits per leg and in the end, cut-offs of either leg, BM25 parameters.
 LEG, FINAL, RELATIVE, FLOOR, K1, B = 20, 10, 1.5, 0.3, 1.2, 0.75
-#: Fields of the text index, how they are analysed, and how much they count (fixed values).
+#: Fields of the text index, how they are analysed, and how much they count (fixed values). The standard fields are stemmed.
 FIELDS: dict[str, tuple[Callable[[Column, Column], Column], float]] = {
     "file_name": (lambda text, path: T.segmented_tokens(T.file_name(path)), 8.0),
     "text_zh": (lambda text, path: T.segmented_tokens(text), 5.0),
-    "file_name_std": (lambda text, path: T.word_tokens(T.file_name(path)), 5.0),
-    "text_std": (lambda text, path: T.word_tokens(text), 3.0),
-    "path_tags": (lambda text, path: T.word_tokens(T.path_tags(path)), 2.0),
+    "file_name_std": (lambda text, path: T.stemmed_tokens(T.file_name(path)), 5.0),
+    "text_std": (lambda text, path: T.stemmed_tokens(text), 3.0),
+    "path_tags": (lambda text, path: T.stemmed_tokens(T.path_tags(path)), 2.0),
     "text_icu": (lambda text, path: T.unicode_tokens(text), 1.0),
 }
+#: The same without stemming and without segmentation.
+WORDS = {
+    "file_name_words": (lambda text, path: T.word_tokens(T.file_name(path)), 5.0), "text_words": (lambda text, path: T.word_tokens(text), 3.0),
+    "path_words": (lambda text, path: T.word_tokens(T.path_tags(path)), 2.0),
+}
+STEMMED = ("file_name_std", "text_std", "path_tags")
+#: Parts an index is cut into by hash of the term; a query reads those of its terms.
+BUCKETS = 64
+
+
+class TextIndex:
+    """A written index: ``chunks``, ``postings`` by bucket of the term, ``terms`` with their document counts, ``stats`` of the fields.
+
+    Built once and read by every search. Searches read the term buckets they need and, of those, the row groups of their
+    terms, as a bucket is sorted by term.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+        self.chunks = spark.read.parquet(f"{root}/chunks")
+        self.stats = {r["field"]: (r["docs"], r["avg_length"]) for r in spark.read.parquet(f"{root}/stats").collect()}  # a row per field
+
+    @classmethod
+    def build(cls, chunks: DataFrame, root: str, fields: dict | None = None) -> TextIndex:
+        """Write the index of ``chunks`` (id, text, file_path and others) and open it. ``stats`` is written last."""
+        spark, fields = chunks.sparkSession, fields or FIELDS | WORDS
+        chunks.write.mode("overwrite").parquet(f"{root}/chunks")
+        kept = spark.read.parquet(f"{root}/chunks")
+        bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
+        rows = postings(kept, fields).withColumn("bucket", bucket)
+        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "field").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings")
+        seen = spark.read.parquet(f"{root}/postings").groupBy("bucket", "field", "term").agg(F.count(F.lit(1)).alias("df"))
+        seen.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/terms")
+        field_stats(kept, fields).coalesce(1).write.mode("overwrite").parquet(f"{root}/stats")
+        return cls(spark, root)
+
+    def _of(self, name: str, terms: dict[str, list[str]]) -> DataFrame:
+        every = sorted({t for ts in terms.values() for t in ts})
+        wanted = self.spark.createDataFrame([(t,) for t in every], "term string").select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("b")).distinct()
+        buckets = [r["b"] for r in wanted.collect()]  # as many as a query has terms
+        schema = "field string, term string, id string, tf bigint, length int, bucket int" if name == "postings" else "field string, term string, df bigint, bucket int"
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}").where(F.col("bucket").isin(buckets) & F.col("term").isin(every) & F.col("field").isin(list(terms)))
+
+    def scored(self, terms: dict[str, list[str]], boosts: dict[str, float]) -> DataFrame:
+        """Boosted BM25 of each chunk that has any of the terms of a field: id, ``score``."""
+        weights = {}
+        for r in self._of("terms", terms).collect():  # at most fields x terms rows
+            if r["term"] in terms[r["field"]]:
+                docs = self.stats[r["field"]][0]
+                weights[r["field"], r["term"]] = boosts[r["field"]] * math.log1p((docs - r["df"] + 0.5) / (r["df"] + 0.5))
+        if not weights:
+            return self.spark.createDataFrame([], "id string, score double")
+        weight = F.create_map(*[F.lit(x) for (f, t), w in weights.items() for x in (f"{f}\t{t}", w)])[F.concat("field", F.lit("\t"), "term")]
+        mean = F.create_map(*[F.lit(x) for f in terms for x in (f, self.stats[f][1])])[F.col("field")]
+        hits = self._of("postings", terms).withColumn("weight", weight).where("weight is not null")
+        return hits.groupBy("id").agg(F.sum(F.col("weight") * _saturated(mean)).alias("score"))
+
+
+def _saturated(mean: Column) -> Column:
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
 
 
 def vector_leg(chunks: DataFrame, query: list[float], *, threshold: float = 0.9, k: int = LEG, file: str | None = None, exclude: str | None = None) -> DataFrame:
     """The ``k`` nearest chunks by squared L2 distance, cut at ``threshold`` and, with three or more left, at 1.5 times the
     nearest: id, distance, similarity, ``rank_v``. Chunks without a vector of the query's length are left out."""
-    q = F.array(*[F.lit(float(x)) for x in query])
     rows = chunks.where(F.col("vector").isNotNull() & (F.size("vector") == len(query)))
     if file is not None:
         rows = rows.where(F.col("file_path") == file)
     if exclude is not None:
         rows = rows.where(F.col("id") != exclude)
-    near = rows.select("id", V.squared_l2(F.col("vector"), q).alias("distance")).orderBy("distance", "id").limit(k)
+    if len(query) <= 256:  # one compiled expression
+        distance = F.expr(" + ".join(f"(vector[{i}] - {float(x)!r}D) * (vector[{i}] - {float(x)!r}D)" for i, x in enumerate(query)) or "0D")
+    else:
+        distance = V.squared_l2(F.col("vector"), F.array(*[F.lit(float(x)) for x in query]))
+    near = rows.select("id", distance.alias("distance")).orderBy("distance", "id").limit(k)
     kept = near.where(F.col("distance") <= threshold)
     whole = Window.partitionBy(F.lit(0))  # at most k rows
     cut = F.when(F.count(F.lit(1)).over(whole) >= 3, F.least(F.min("distance").over(whole) * RELATIVE, F.lit(threshold))).otherwise(threshold)
@@ -65,15 +130,14 @@ def field_stats(chunks: DataFrame, fields: dict[str, tuple[Callable[[Column, Col
     return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("field"), F.col("docs"), F.col(n).alias("avg_length")) for n in names])))
 
 
-def bm25(index: DataFrame, stats: DataFrame, terms: list[str], boosts: dict[str, float]) -> DataFrame:
-    """Boosted BM25 of each chunk that has any of the terms in any field: id, ``score``. Exact field lengths are used."""
-    hits = index.where(F.col("term").isin(terms) & F.col("field").isin(list(boosts)))
+def bm25(index: DataFrame, stats: DataFrame, terms: dict[str, list[str]], boosts: dict[str, float]) -> DataFrame:
+    """Boosted BM25 of each chunk that has any of the terms of a field: id, ``score``. Exact field lengths are used."""
+    hits = index.where(reduce(lambda x, y: x | y, [(F.col("field") == f) & F.col("term").isin(terms[f]) for f in boosts]))
     df = hits.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))  # at most fields x terms rows
     weight = F.create_map(*[F.lit(x) for kv in boosts.items() for x in kv])[F.col("field")]
     joined = hits.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(stats), "field")
     idf = F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    return joined.groupBy("id").agg(F.sum(weight * idf * tf).alias("score"))
+    return joined.groupBy("id").agg(F.sum(weight * idf * _saturated(F.col("avg_length"))).alias("score"))
 
 
 def terms_of(spark: SparkSession, query: str) -> list[str]:
@@ -81,12 +145,24 @@ def terms_of(spark: SparkSession, query: str) -> list[str]:
     return [*spark.range(1).select(T.query_terms(F.lit(query)).alias("t")).first()["t"]]
 
 
-def keyword_leg(chunks: DataFrame, query: str, *, k: int = LEG, file: str | None = None, fields: dict | None = None) -> DataFrame:
+def field_terms(terms: list[str], fields: dict) -> dict[str, list[str]]:
+    """The terms as each field's analyzer has them: stemmed, without stop words, for the standard fields."""
+    stemmed = list(dict.fromkeys(T.stem(t) for t in terms if t not in T.STOP_WORDS))
+    return {f: stemmed if f in STEMMED else terms for f in fields}
+
+
+def keyword_leg(chunks: DataFrame, query: str, *, k: int = LEG, file: str | None = None, fields: dict | None = None, exclude: str | None = None, index: TextIndex | None = None) -> DataFrame:
     """The ``k`` best chunks by multi-field BM25, any term counting; with three or more hits those below 30 per cent of the
-    best are dropped: id, score, ``score100`` (min-max to 0..100), ``rank_k``. Queries without terms have no hits."""
+    best are dropped: id, score, ``score100`` (min-max to 0..100), ``rank_k``. Queries without terms have no hits. Without a
+    written ``index`` the chunks are analysed for this query."""
     fields = fields or FIELDS
-    terms = terms_of(chunks.sparkSession, query)
-    scored = bm25(postings(chunks, fields, terms), field_stats(chunks, fields), terms, {n: b for n, (_, b) in fields.items()})
+    terms, boosts = field_terms(terms_of(chunks.sparkSession, query), fields), {n: b for n, (_, b) in fields.items()}
+    if index is not None:
+        scored = index.scored(terms, boosts)
+    else:
+        scored = bm25(postings(chunks, fields, sorted({t for ts in terms.values() for t in ts})), field_stats(chunks, fields), terms, boosts)
+    if exclude is not None:
+        scored = scored.where(F.col("id") != exclude)
     if file is not None:
         scored = scored.join(chunks.where(F.col("file_path") == file).select("id"), "id", "left_semi")
     top = scored.orderBy(F.desc("score"), "id").limit(k)
@@ -106,11 +182,23 @@ def fuse(vector: DataFrame, keyword: DataFrame, k: int = FINAL) -> DataFrame:
     return fused.orderBy(F.desc("fused"), "id").limit(k).select("id", F.col("fused").alias("score"), "source", "rank_v", "rank_k", "distance", F.col("score").alias("bm25"))
 
 
-def hybrid_search(chunks: DataFrame, query_vector: list[float], query: str, *, threshold: float = 0.9, file: str | None = None, exclude: str | None = None, fields: dict | None = None) -> DataFrame:
+def hybrid_search(chunks: DataFrame, query_vector: list[float], query: str, *, threshold: float = 0.9, file: str | None = None, exclude: str | None = None, fields: dict | None = None, index: TextIndex | None = None) -> DataFrame:
     """Both legs and their fusion, at most ``FINAL`` chunks; an empty text gives the vector leg alone, nearest first."""
     vector = vector_leg(chunks, query_vector, threshold=threshold, file=file, exclude=exclude)
-    rows = chunks if exclude is None else chunks.where(F.col("id") != exclude)
-    return fuse(vector, keyword_leg(rows, query, file=file, fields=fields))
+    return fuse(vector, keyword_leg(chunks, query, file=file, fields=fields, exclude=exclude, index=index))
+
+
+def hits_of_queries(index: DataFrame, stats: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` best ids for each of many queries (qid, ``terms``) by BM25 over one field's postings: qid, id, ``score``, ``rank``.
+
+    All queries are answered in one pass: their terms are joined with the postings, and counts of terms are taken once.
+    """
+    asked = queries.select("qid", F.explode(F.array_distinct("terms")).alias("term"))
+    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    told = index.join(asked, "term").join(df, "term").crossJoin(F.broadcast(stats.select("docs", "avg_length")))  # one row
+    idf = F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    scored = told.groupBy("qid", "id").agg(F.sum(idf * _saturated(F.col("avg_length"))).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "id"))).where(F.col("rank") <= k)
 
 
 def merge_results(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def tree_outline(spark, d):
 
 def tree_pages(spark, d):
     """Trees from pages: the blocks of a page are its content, headings marked by their role."""
-    b = table(spark, d, "page_blocks").where("text is not null and role not in ('Header', 'Footer', 'PageNumber')")
+    b = table(spark, d, "page_blocks").withColumn("text", F.coalesce("text", "normalized_text")).where("text is not null and coalesce(role, '') not in ('Header', 'Footer', 'PageNumber')")
     line = F.when(F.col("role").isin("Title", "Heading"), F.concat(F.lit("# "), "text")).otherwise(F.col("text"))
     pages = b.groupBy("file_path", F.col("page_index").alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "block_id", line.alias("l")))), lambda x: x["l"]), "\n\n").alias("content"))
     return TR.page_tree(pages).select("id", "parent_id", "level", "title", "page", "tokens")
@@ -205,7 +205,13 @@ SQL = {
     "tree_headings": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 h AS (SELECT doc_id, length(regexp_extract(line, '^ {0,3}(#{1,6})', 1)) AS level FROM l WHERE regexp_matches(line, '^ {0,3}#{1,6}([ \t]|$)'))
 SELECT '/docs/' || doc_id AS file_path, count(*) AS n, max(level) AS deepest FROM h GROUP BY doc_id""",
-    "tab_infer_types": "SELECT * FROM (VALUES ('o_orderkey', 'Int'), ('o_totalprice', 'Float'), ('o_orderdate', 'DateTime'), ('o_orderstatus', 'String'), ('o_orderpriority', 'String')) t(\"column\", \"type\")",
+    "tab_infer_types": " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", CASE WHEN count(v) = 0 THEN 'Empty' WHEN count(*) FILTER (WHERE k = 'String') > 0 OR (count(*) FILTER (WHERE k = 'DateTime') > 0 AND count(DISTINCT k) > 1) THEN 'String'
+WHEN max(k) = 'DateTime' THEN 'DateTime' WHEN count(*) FILTER (WHERE k = 'Float') > 0 THEN 'Float' WHEN count(*) FILTER (WHERE k = 'Int') > 0 THEN 'Int' ELSE 'Bool' END AS "type"
+FROM (SELECT v, CASE WHEN lower(v) IN ('true', 'false') THEN 'Bool' WHEN regexp_full_match(v, '[+-]?[0-9]+') THEN 'Int' WHEN regexp_full_match(replace(v, ',', ''), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN 'Float'
+WHEN regexp_matches(v, '^[0-9]{{4}}[-/][0-9]{{1,2}}[-/][0-9]{{1,2}}') THEN 'DateTime' WHEN v IS NOT NULL THEN 'String' END AS k FROM (SELECT nullif(trim(CAST({c} AS VARCHAR)), '') AS v FROM orders))"""
+        for c in ("o_orderkey", "o_totalprice", "o_orderdate", "o_orderstatus", "o_orderpriority")
+    ),
     "tab_column_stats": " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS nulls, {str(n).lower()} AS numeric, {f'CAST(min({c}) AS DOUBLE)' if n else 'NULL'} AS min, {f'CAST(max({c}) AS DOUBLE)' if n else 'NULL'} AS max, {f'round(avg({c}), 4)' if n else 'NULL'} AS avg, {'NULL' if n else f'count(DISTINCT {c})'} AS \"distinct\" FROM part"
         for c, n in (("p_partkey", True), ("p_name", False), ("p_brand", False), ("p_type", False), ("p_size", True), ("p_retailprice", True))

@@ -26,7 +26,7 @@ FULL OUTER JOIN (SELECT s_nationkey AS k, count(*) AS n FROM {supplier} WHERE s_
     "rel_join_cross": "SELECT r_name, n_name FROM {region} CROSS JOIN {nation} WHERE n_nationkey < 5",
     "rel_join_theta": """SELECT a.p_partkey AS part, count(*) AS cheaper FROM (SELECT * FROM {part} WHERE p_size = 1) a
 JOIN (SELECT * FROM {part} WHERE p_size = 2) b ON a.p_brand = b.p_brand AND a.p_retailprice > b.p_retailprice GROUP BY a.p_partkey""",
-    "rel_join_null_safe": """SELECT count(*) AS n FROM {entities} e JOIN (SELECT DISTINCT chunk_id FROM {entities} WHERE mention_id % 50 = 0 OR chunk_id IS NULL) k
+    "rel_join_null_safe": """SELECT count(*) AS n FROM {entities} e JOIN (SELECT DISTINCT chunk_id FROM {entities} WHERE entity_type = 'Person' OR chunk_id IS NULL) k
 ON e.chunk_id IS NOT DISTINCT FROM k.chunk_id""",
     # aggregation
     "agg_group": """SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS DOUBLE) AS sum_qty, round(avg(l_discount), 6) AS avg_disc,
@@ -60,7 +60,7 @@ FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
     # subqueries and common table expressions
     "sub_correlated": "SELECT p_partkey, p_retailprice FROM {part} p WHERE p_retailprice = (SELECT max(q.p_retailprice) FROM {part} q WHERE q.p_brand = p.p_brand)",
     "sub_exists": "SELECT c_custkey FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 450000)",
-    "sub_not_in": "SELECT s_suppkey FROM {supplier} WHERE s_suppkey NOT IN (SELECT l_suppkey FROM {lineitem} WHERE l_quantity > 49 AND l_suppkey IS NOT NULL)",
+    "sub_not_in": "SELECT s_suppkey FROM {supplier} WHERE s_suppkey NOT IN (SELECT l_suppkey FROM {lineitem} WHERE l_quantity > 49 AND l_discount > 0.09 AND l_tax > 0.07 AND l_suppkey IS NOT NULL)",
     "sub_scalar": "SELECT o_orderkey, round(o_totalprice / (SELECT avg(o_totalprice) FROM {orders}), 6) AS relative FROM {orders} WHERE o_orderstatus = 'P'",
     "cte_recursive": """WITH RECURSIVE up(id, ancestor, d) AS (
   SELECT n_nationkey, n_nationkey, 0 FROM {nation} UNION ALL SELECT id, ancestor - 3, d + 1 FROM up WHERE ancestor >= 3)

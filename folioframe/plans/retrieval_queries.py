@@ -8,10 +8,12 @@ from pyspark.sql.window import Window
 from folioframe.functions import text as T, values as V
 from folioframe.operators import graph as G, retrieval as R, store as S
 from folioframe.operators.incremental import latest
+from folioframe.streaming import changes as CH
 from folioframe.session import table
+from folioframe.stash import exists, fingerprint, shared_folder
 
 QUERY = "persistent translator checkpoint ranking"
-STD = {k: R.FIELDS[k] for k in ("file_name_std", "text_std", "path_tags")}
+STD = R.WORDS
 FILE_SQL = "(SELECT min(file_path) FROM c)"
 
 
@@ -22,6 +24,19 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("vector", V.l2_normalize(F.col("vector")))
 
 
+_OPEN: dict[str, R.TextIndex] = {}
+
+
+def text_index(spark: SparkSession, d: str) -> R.TextIndex:
+    """The written index of a folder's chunks, made by the first search and read by all others until the table changes."""
+    root = f"{shared_folder(spark).rstrip('/')}/index-{fingerprint(spark, f'{d}/chunks.parquet')}"
+    if root not in _OPEN or not exists(spark, f"{root}/stats/_SUCCESS"):
+        if not exists(spark, f"{root}/stats/_SUCCESS"):
+            R.TextIndex.build(chunks(spark, d), root)
+        _OPEN[root] = R.TextIndex(spark, root)
+    return _OPEN[root]
+
+
 def _query_row(rows: DataFrame) -> tuple[str, list[float]]:
     """The chunk that serves as query: the smallest id with a usable vector (one row)."""
     r = rows.where(F.col("vector").isNotNull() & (V.norm(F.col("vector")) > 0)).orderBy("id").select("id", "vector").first()
@@ -33,51 +48,58 @@ def _first_file(rows: DataFrame) -> str:
 
 
 def ret_knn_top20(spark, d):
-    rows = chunks(spark, d)
+    rows = text_index(spark, d).chunks
     own, q = _query_row(rows)
     return R.vector_leg(rows, q, threshold=1.5, exclude=own).select("id", F.round("distance", 4).alias("distance"), F.round("similarity", 3).alias("similarity"), "rank_v")
 
 
 def ret_knn_filtered(spark, d):
-    rows = chunks(spark, d)
+    rows = text_index(spark, d).chunks
     own, q = _query_row(rows)
     return R.vector_leg(rows, q, threshold=2.5, file=_first_file(rows), exclude=own).select("id", F.round("distance", 4).alias("distance"), "rank_v")
 
 
 def ret_bm25_top20(spark, d):
-    one = {"text_std": R.FIELDS["text_std"]}
-    return R.keyword_leg(chunks(spark, d), QUERY, fields=one).select("id", F.round("score", 4).alias("score"), "rank_k")
+    index = text_index(spark, d)
+    return R.keyword_leg(index.chunks, QUERY, fields={"text_words": STD["text_words"]}, index=index).select("id", F.round("score", 4).alias("score"), "rank_k")
 
 
 def ret_bm25_multifield(spark, d):
+    index = text_index(spark, d)
+    return R.keyword_leg(index.chunks, QUERY, fields=STD, index=index).select("id", F.round("score", 4).alias("score"), F.round("score100", 3).alias("score100"), "rank_k")
+
+
+def ret_bm25_unindexed(spark, d):
+    """The same without a written index: the chunks are analysed for the query."""
     return R.keyword_leg(chunks(spark, d), QUERY, fields=STD).select("id", F.round("score", 4).alias("score"), F.round("score100", 3).alias("score100"), "rank_k")
 
 
 def ret_bm25_all_fields(spark, d):
-    """The default six fields, stemming left out of the index as the default analyzers do."""
-    return R.keyword_leg(chunks(spark, d), QUERY).select("id", F.round("score", 4).alias("score"), "rank_k")
+    """The default six fields, three of them stemmed, so that other forms of a word are found."""
+    index = text_index(spark, d)
+    return R.keyword_leg(index.chunks, QUERY, index=index).select("id", F.round("score", 4).alias("score"), "rank_k")
 
 
 def ret_hybrid_rrf(spark, d):
-    rows = chunks(spark, d)
-    own, q = _query_row(rows)
-    return R.hybrid_search(rows, q, QUERY, threshold=1.5, exclude=own, fields=STD).select("id", F.round("score", 4).alias("score"), "source", "rank_v", "rank_k")
+    index = text_index(spark, d)
+    own, q = _query_row(index.chunks)
+    return R.hybrid_search(index.chunks, q, QUERY, threshold=1.5, exclude=own, fields=STD, index=index).select("id", F.round("score", 4).alias("score"), "source", "rank_v", "rank_k")
 
 
 def ret_hybrid_source_filter(spark, d):
-    rows = chunks(spark, d)
-    own, q = _query_row(rows)
-    return R.hybrid_search(rows, q, QUERY, threshold=2.5, file=_first_file(rows), exclude=own, fields=STD).select("id", F.round("score", 4).alias("score"), "source")
+    index = text_index(spark, d)
+    own, q = _query_row(index.chunks)
+    return R.hybrid_search(index.chunks, q, QUERY, threshold=2.5, file=_first_file(index.chunks), exclude=own, fields=STD, index=index).select("id", F.round("score", 4).alias("score"), "source")
 
 
 def ret_merge_two_hops(spark, d):
-    rows = chunks(spark, d)
-    own, q = _query_row(rows)
-    return R.two_hops(rows, q, QUERY, threshold=1.5, exclude=own, fields=STD).select("id", F.round("score", 4).alias("score"), "source")
+    index = text_index(spark, d)
+    own, q = _query_row(index.chunks)
+    return R.two_hops(index.chunks, q, QUERY, threshold=1.5, exclude=own, fields=STD, index=index).select("id", F.round("score", 4).alias("score"), "source")
 
 
 def ret_key_terms(spark, d):
-    return R.key_terms(table(spark, d, "documents").where("lang = 'fr'"), QUERY, k=20)
+    return R.key_terms(table(spark, d, "documents"), QUERY, k=20)
 
 
 def ret_sibling_context(spark, d):
@@ -85,12 +107,15 @@ def ret_sibling_context(spark, d):
 
 
 def ret_route(spark, d):
-    return R.route(chunks(spark, d).select("doc_type", "file_path")).select("route", F.size("files").alias("files"))
+    """Where the question goes, by the kinds of the chunks it finds."""
+    index = text_index(spark, d)
+    hits = R.keyword_leg(index.chunks, QUERY, fields=STD, index=index).select("id").join(index.chunks.select("id", "doc_type", "file_path"), "id")
+    return R.route(hits).select("route", F.size("files").alias("files"))
 
 
 def ret_answer_context(spark, d):
-    rows = chunks(spark, d)
-    hits = R.keyword_leg(rows, QUERY, fields=STD).select("id", "score").join(rows.select("id", "text", "file_path", "doc_type"), "id")
+    index = text_index(spark, d)
+    hits = R.keyword_leg(index.chunks, QUERY, fields=STD, index=index).select("id", "score").join(index.chunks.select("id", "text", "file_path", "doc_type"), "id")
     return R.answer_context(R.within_budget(R.display_choice(hits), R.context_budget(4096, 512)))
 
 
@@ -126,9 +151,6 @@ def graph_counts(spark, d):
     return e.agg(F.count_distinct("entity_id").alias("entities"), F.count(F.lit(1)).alias("mentions")).select("*", r.agg(F.count(F.lit(1))).scalar().alias("relations"))
 
 
-HUB = "readable parser"
-
-
 def graph_one_hop(spark, d):
     return G.one_hop(table(spark, d, "relations"), _hub(spark, d), n=20)
 
@@ -186,8 +208,10 @@ def idx_delete_prefix(spark, d):
 
 
 def idx_replace_files(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "file_path", "n_chars")
-    return S.replace_files(docs, docs.where("doc_id < 50 and file_path is not null").withColumn("n_chars", F.lit(0).cast("bigint")))
+    """All files with a known time of change are read again: what they held is replaced by what is new."""
+    docs = table(spark, d, "documents")
+    again = docs.where("modified_at is not null and file_path is not null").select("doc_id", "file_path", F.lit(0).cast("bigint").alias("n_chars"))
+    return S.replace_files(docs.select("doc_id", "file_path", "n_chars"), again)
 
 
 def idx_file_chunks(spark, d):
@@ -228,20 +252,28 @@ def txt_clean_aggressive(spark, d):
     return table(spark, d, "documents").select("doc_id", T.clean(F.col("text"), "aggressive").alias("t"))
 
 
+def _block_text():
+    """Blocks read by OCR have their text in ``text``, born-digital ones in ``normalized_text``."""
+    return F.coalesce("text", "normalized_text")
+
+
 def txt_cell_type(spark, d):
     cells = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\| ([^|\n]+) "), 1)).alias("c"))
-    more = table(spark, d, "page_blocks").where("length(text) < 20").select(F.col("text").alias("c"))
+    more = table(spark, d, "page_blocks").select(_block_text().alias("c"))
     return cells.unionByName(more).groupBy(T.cell_type(F.col("c")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def txt_mojibake(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(T.mojibake_lines(F.col("text"))).alias("lines")).where("lines > 0")
+    """Lines that would give themselves away if the text were read as Latin-1."""
+    wrong = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    return table(spark, d, "documents").select("doc_id", F.size(T.mojibake_lines(wrong)).alias("lines")).where("lines > 0")
 
 
 def txt_bigram_similarity(spark, d):
-    docs = table(spark, d, "documents").where("heading is not null").select("file_path", F.lower("heading").alias("h")).distinct()
-    a, b = docs.alias("a"), docs.alias("b")
-    return a.join(b, (F.col("a.file_path") == F.col("b.file_path")) & (F.col("a.h") < F.col("b.h"))).select("a.file_path", F.col("a.h").alias("one"), F.col("b.h").alias("other"), F.round(T.bigram_similarity(F.col("a.h"), F.col("b.h")), 6).alias("s"))
+    """How much a document's heading is like the name of its file."""
+    docs = table(spark, d, "documents").where("heading is not null and file_path is not null")
+    a, b = F.lower("heading"), F.lower(T.file_name(F.col("file_path")))
+    return docs.select("doc_id", F.round(T.bigram_similarity(a, b), 6).alias("s"))
 
 
 def txt_line_dedup(spark, d):
@@ -255,12 +287,14 @@ def txt_truncate(spark, d):
 
 
 def txt_predicates(spark, d):
-    b = table(spark, d, "page_blocks").where("text is not null")
-    return b.select("block_id", T.ends_incomplete(F.col("text")).alias("open"), T.is_list_item(F.col("text")).alias("list"), T.is_footnote_marker(F.col("text")).alias("note"), T.is_url_start(F.col("text")).alias("url"), T.numbered_heading_level(F.col("text")).alias("level"), T.strip_page_number(F.col("text")).alias("bare"))
+    b = table(spark, d, "page_blocks").select("block_id", _block_text().alias("t"))
+    t = F.col("t")
+    return b.select("block_id", T.ends_incomplete(t).alias("open"), T.is_list_item(t).alias("list"), T.is_footnote_marker(t).alias("note"), T.is_url_start(t).alias("url"), T.numbered_heading_level(t).cast("bigint").alias("level"), T.strip_page_number(t).alias("bare"))
 
 
 def txt_garbled(spark, d):
-    return table(spark, d, "page_blocks").where("text is not null").groupBy("page_source").agg(F.sum(T.garbled_characters(F.col("text"))).alias("garbled"), F.sum(F.length("text")).alias("chars"))
+    b = table(spark, d, "page_blocks").select("page_source", _block_text().alias("t")).where("t is not null")
+    return b.groupBy("page_source").agg(F.sum(T.garbled_characters(F.col("t"))).alias("garbled"), F.sum(F.length("t")).alias("chars"))
 
 
 def txt_path_tags(spark, d):
@@ -296,9 +330,9 @@ def evt_session(spark, d):
 
 
 def evt_debounce(spark, d):
-    """Batches of events with less than a minute between neighbours, over all users: one session on a coarse bucket each."""
-    e = table(spark, d, "events")
-    return e.groupBy(F.session_window("ts", "1 minute").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("types")).select(F.col("w.start").alias("start"), "n", "types")
+    """Batches of events with at most a minute between neighbours, over all users."""
+    told = CH.quiet_batches(table(spark, d, "events"), 60)
+    return told.groupBy("batch").agg(F.min("ts").alias("start"), F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("types")).select("start", "n", "types")
 
 
 def evt_dedup(spark, d):
@@ -307,23 +341,42 @@ def evt_dedup(spark, d):
 
 
 # evaluation
+def _normal(c):
+    return F.array_join(T.word_tokens(c), " ")
+
+
+def _quoted(spark, d):
+    """Items whose quote some document holds, word for word; the items are a fixed, small set (240), so they go to every document."""
+    quotes = table(spark, d, "eval_items").where("quote is not null").select("item_id", _normal(F.col("quote")).alias("q"))
+    asked = F.broadcast(quotes.agg(F.collect_list(F.struct("item_id", "q")).alias("qs")))
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", _normal(F.col("text")).alias("t"))
+    held = docs.crossJoin(asked).select("doc_id", F.explode(F.filter("qs", lambda x: F.col("t").contains(x["q"]))).alias("x"))  # one row on the right
+    return held.select("doc_id", "x.item_id")
+
+
 def eval_accuracy_by_type(spark, d):
-    """Share of questions that lack an answer exactly if they must be refused, by type, with a total; no document is read."""
-    items = table(spark, d, "eval_items")
-    return items.withColumn("passed", (F.col("answer_gold").isNull() == F.col("must_refuse")).cast("int")).rollup("qtype").agg(F.round(F.avg("passed"), 6).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    """Share of questions that pass, by type, with a total: refusals if they have no answer, others if the corpus holds their quote."""
+    found = _quoted(spark, d).select("item_id").distinct().withColumn("held", F.lit(True))
+    items = table(spark, d, "eval_items").join(found, "item_id", "left")
+    passed = F.when(F.col("must_refuse"), F.col("answer_gold").isNull()).otherwise(F.coalesce("held", F.lit(False)))
+    return items.withColumn("passed", passed.cast("int")).rollup("qtype").agg(F.round(F.avg("passed"), 6).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
 def eval_hit_rate(spark, d):
-    """Share of queries whose sources agree on the first hit."""
-    h = table(spark, d, "search_results").where("coalesce(score, distance) is not null")
-    o = F.when(F.col("source") == "Vector", F.col("distance")).otherwise(-F.col("score"))
-    best = h.groupBy("query_id", "source").agg(F.min_by("id", F.struct(o.alias("o"), F.col("id"))).alias("first"))
-    per = best.groupBy("query_id").agg(F.count_distinct("first").alias("firsts"))
-    return per.agg(F.round(F.avg((F.col("firsts") == 1).cast("int")), 6).alias("agreement"), F.count(F.lit(1)).alias("queries"))
+    """Of the questions whose quote the corpus holds, the share with such a document among the first five found for the question."""
+    docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text", F.lit("").alias("file_path"))
+    one = {"text_words": STD["text_words"]}
+    asked = table(spark, d, "eval_items").select(F.col("item_id").alias("qid"), F.filter(T.word_tokens(F.col("question")), lambda t: ~t.isin(*T.STOP_WORDS)).alias("terms"))
+    terms = asked.select(F.explode("terms").alias("term")).distinct()
+    index = R.postings(docs, one).join(F.broadcast(terms), "term", "left_semi")  # the words of 240 questions
+    hits = R.hits_of_queries(index, R.field_stats(docs, one), asked, 5).select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"))
+    held = _quoted(spark, d)
+    good = held.join(hits, ["item_id", "doc_id"]).select("item_id").distinct().withColumn("hit", F.lit(1))
+    return held.select("item_id").distinct().join(good, "item_id", "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("hit_rate"), F.count(F.lit(1)).alias("questions"))
 
 
 QUERIES = {
-    k: v for k, v in list(globals().items()) if callable(v) and k.split("_")[0] in ("ret", "txt", "ent", "rel", "graph", "idx", "num", "evt", "eval")
+    k: v for k, v in list(globals().items()) if callable(v) and not isinstance(v, type) and k.split("_")[0] in ("ret", "txt", "ent", "rel", "graph", "idx", "num", "evt", "eval")
 }
 
 # ---------------------------------------------------------------------------------------------------------------- SQL
@@ -341,25 +394,25 @@ n3 AS (SELECT *, CASE WHEN count(*) OVER () >= 3 THEN least(min(distance) OVER (
 knn AS (SELECT id, distance, row_number() OVER (ORDER BY distance, id) AS rank_v FROM n3 WHERE distance <= cut)"""
 
 
-_TERMS = "('persistent', 'translator', 'checkpoint', 'ranking')"
+_TERMS = "(" + ", ".join(repr(t) for w in QUERY.split() for t in (w, *(w[i : i + 2] for i in range(len(w) - 1)))) + ")"
 _W = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
 _NAME = "list_extract(string_split(replace(file_path, '\\', '/'), '/'), -1)"
 _TAGS = "array_to_string(list_filter(list_slice(string_split(replace(file_path, '\\', '/'), '/'), 1, -2), lambda p: p NOT IN ('', '.', '..', 'Users', 'home', '/')), ' ')"
 
 
-def _bm25(fields: tuple[tuple[str, str, float], ...], where: str = "", own: str = "true") -> str:
-    union = " UNION ALL ".join(f"SELECT id, '{n}' AS field, CAST({b} AS DOUBLE) AS boost, {_W.format(e)} AS t FROM c, q WHERE {own}" for n, e, b in fields)
+def _bm25(fields: tuple[tuple[str, str, float], ...], where: str = "", own: str = "") -> str:
+    union = " UNION ALL ".join(f"SELECT id, '{n}' AS field, CAST({b} AS DOUBLE) AS boost, {_W.format(e)} AS t FROM c, q" for n, e, b in fields)
     return f"""f AS ({union}), st AS (SELECT field, count(*) AS docs, avg(len(t)) AS al FROM f GROUP BY field),
 p AS (SELECT field, boost, term, id, count(*) AS tf, max(l) AS l FROM (SELECT field, boost, id, len(t) AS l, unnest(t) AS term FROM f) WHERE term IN {_TERMS} GROUP BY ALL),
 df AS (SELECT field, term, count(*) AS df FROM p GROUP BY ALL),
 b0 AS (SELECT p.id, sum(boost * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / al))) AS score
-  FROM p JOIN df USING (field, term) JOIN st USING (field) {where} GROUP BY p.id),
+  FROM p JOIN df USING (field, term) JOIN st USING (field) {where} {own} GROUP BY p.id),
 b1 AS (SELECT * FROM b0 ORDER BY score DESC, id LIMIT 20),
 b2 AS (SELECT *, count(*) OVER () AS n, max(score) OVER () AS best FROM b1), b3 AS (SELECT id, score FROM b2 WHERE n < 3 OR best <= 0 OR score >= 0.3 * best),
 bm AS (SELECT id, score, (score - min(score) OVER ()) / greatest(max(score) OVER () - min(score) OVER (), 0.001) * 100 AS score100, row_number() OVER (ORDER BY score DESC, id) AS rank_k FROM b3)"""
 
 
-_STD = (("file_name_std", _NAME, 5), ("text_std", "text", 3), ("path_tags", _TAGS, 2))
+_STD = (("file_name_words", _NAME, 5), ("text_words", "text", 3), ("path_words", _TAGS, 2))
 _FUSE = """fu AS (SELECT coalesce(knn.id, bm.id) AS id, least(100, 6100 * (coalesce(0.6 / (60 + rank_v), 0) + coalesce(0.4 / (60 + rank_k), 0))) AS score,
 CASE WHEN rank_v IS NOT NULL AND rank_k IS NOT NULL THEN 'Hybrid' WHEN rank_v IS NOT NULL THEN 'Vector' ELSE 'Keyword' END AS source, rank_v, rank_k
 FROM knn FULL OUTER JOIN bm ON knn.id = bm.id ORDER BY score DESC, id LIMIT 10)"""
@@ -377,6 +430,8 @@ n AS (SELECT to_entity AS e, relation_type FROM r WHERE from_entity = {_HUB} UNI
 SELECT n.e AS entity_id, n.relation_type, degree FROM n JOIN deg ON n.e = deg.e WHERE n.e <> {_HUB} ORDER BY degree DESC, entity_id, relation_type LIMIT 20"""
 
 
+_EVAL = f"""dn AS (SELECT doc_id, array_to_string({_W.format('text')}, ' ') AS t FROM documents WHERE text IS NOT NULL),
+held AS (SELECT doc_id, item_id FROM dn JOIN eval_items ON contains(t, array_to_string({_W.format('quote')}, ' ')))"""
 _CLASSES = " ".join(f"WHEN ext IN ({', '.join(repr(x) for x in v.split())}) THEN '{k}'" for k, v in S.CLASSES.items())
 _EXT = f"CASE WHEN {_NAME} LIKE '%.%' THEN lower(list_extract(string_split({_NAME}, '.'), -1)) ELSE '' END"
 _BAD = f"starts_with({_NAME}, '.') OR starts_with({_NAME}, '~') OR ends_with({_NAME}, '~') OR ext IN ({', '.join(repr(x) for x in S.TEMPORARY)})"
@@ -387,14 +442,15 @@ SQL = {
     "ret_knn_filtered": f"WITH {_C}, {_Q}, {_knn(2.5, 'AND file_path = ' + FILE_SQL)} SELECT id, round(distance, 4) AS distance, rank_v FROM knn",
     "ret_bm25_top20": f"WITH {_C}, {_Q}, {_bm25(_STD[1:2])} SELECT id, round(score, 4) AS score, rank_k FROM bm",
     "ret_bm25_multifield": f"WITH {_C}, {_Q}, {_bm25(_STD)} SELECT id, round(score, 4) AS score, round(score100, 3) AS score100, rank_k FROM bm",
-    "ret_hybrid_rrf": f"WITH {_C}, {_Q}, {_knn(1.5)}, {_bm25(_STD, own='id <> qid')}, {_FUSE} SELECT id, round(score, 4) AS score, source, rank_v, rank_k FROM fu",
-    "ret_hybrid_source_filter": f"WITH {_C}, {_Q}, {_knn(2.5, 'AND file_path = ' + FILE_SQL)}, {_bm25(_STD, _IN_FILE, 'id <> qid')}, {_FUSE} SELECT id, round(score, 4) AS score, source FROM fu",
+    "ret_hybrid_rrf": f"WITH {_C}, {_Q}, {_knn(1.5)}, {_bm25(_STD, own="WHERE p.id <> (SELECT qid FROM q)")}, {_FUSE} SELECT id, round(score, 4) AS score, source, rank_v, rank_k FROM fu",
+    "ret_hybrid_source_filter": f"WITH {_C}, {_Q}, {_knn(2.5, 'AND file_path = ' + FILE_SQL)}, {_bm25(_STD, _IN_FILE, "WHERE p.id <> (SELECT qid FROM q)")}, {_FUSE} SELECT id, round(score, 4) AS score, source FROM fu",
     "ret_sibling_context": f"""WITH {_C}, s AS (SELECT *, lag(text) OVER w AS b, lead(text) OVER w AS a, parent_id IS NOT NULL AND parent_id <> '' AS has FROM c
 WINDOW w AS (PARTITION BY file_path, parent_id ORDER BY coalesce(try_cast(nullif(regexp_extract(id, '(\\d+)$', 1), '') AS BIGINT), 0), id)),
 t AS (SELECT id, '[上级] ' || left(nullif(list_extract(string_split(breadcrumbs, ' > '), -1), ''), 200) AS u, CASE WHEN has AND b <> '' THEN '[前文] ' || left(b, 200) END AS b, CASE WHEN has AND a <> '' THEN '[后文] ' || left(a, 200) END AS a FROM s),
 x AS (SELECT id, u, CASE WHEN coalesce(length(u), 0) + length(b) <= 500 THEN b END AS b, a FROM t)
 SELECT id, nullif(concat_ws(chr(10), u, b, CASE WHEN coalesce(length(u), 0) + coalesce(length(b), 0) + length(a) <= 500 THEN a END), '') AS context FROM x""",
-    "ret_route": f"WITH {_C} SELECT CASE WHEN n = 0 THEN 'text' WHEN n > 1 THEN 'pending_table_selection' ELSE 'table' END AS route, n AS files FROM (SELECT count(DISTINCT file_path) FILTER (WHERE doc_type = 'tabular') AS n FROM c)",
+    "ret_bm25_unindexed": f"WITH {_C}, {_Q}, {_bm25(_STD)} SELECT id, round(score, 4) AS score, round(score100, 3) AS score100, rank_k FROM bm",
+    "ret_route": f"WITH {_C}, {_Q}, {_bm25(_STD)} SELECT CASE WHEN n = 0 THEN 'text' WHEN n > 1 THEN 'pending_table_selection' ELSE 'table' END AS route, n AS files FROM (SELECT count(DISTINCT file_path) FILTER (WHERE doc_type = 'tabular') AS n FROM bm JOIN c USING (id))",
     "txt_index_postings": f"WITH {_C}, f AS ({' UNION ALL '.join(f'''SELECT id, '{n}' AS field, {_W.format(e)} AS t FROM c''' for n, e, _ in _STD)}) SELECT field, term, id, count(*) AS tf, max(l) AS length FROM (SELECT field, id, len(t) AS l, unnest(t) AS term FROM f) GROUP BY ALL",
     "ent_dedup": """WITH t AS (SELECT entity_id, name, mention_id, CASE lower(trim(entity_type)) WHEN 'person' THEN 'Person' WHEN 'organization' THEN 'Organization' WHEN 'organisation' THEN 'Organization' WHEN 'technology' THEN 'Technology' ELSE 'Concept' END AS k FROM entities WHERE entity_id IS NOT NULL)
 SELECT entity_id, arg_min(name, mention_id) FILTER (WHERE name IS NOT NULL) AS name, coalesce(arg_min(k, mention_id) FILTER (WHERE k <> 'Concept'), 'Concept') AS entity_type, count(*) AS mentions FROM t GROUP BY entity_id""",
@@ -413,7 +469,7 @@ SELECT file_path, CASE {_CLASSES} ELSE 'other' END AS file_class, CASE WHEN ext
     "idx_deleted": f"WITH {_REG} SELECT DISTINCT file_path FROM reg WHERE file_path NOT IN (SELECT file_path FROM fn)",
     "idx_upsert_latest": f"WITH {_REG} SELECT file_path, lower(content_hash) AS content_hash, indexed_at FROM reg",
     "idx_delete_prefix": "SELECT doc_type, count(*) AS n FROM chunks WHERE file_path IS NULL OR NOT starts_with(file_path, '/vault/field/') GROUP BY doc_type",
-    "idx_replace_files": """WITH n AS (SELECT doc_id, file_path, CAST(0 AS BIGINT) AS n_chars FROM documents WHERE doc_id < 50 AND file_path IS NOT NULL)
+    "idx_replace_files": """WITH n AS (SELECT doc_id, file_path, CAST(0 AS BIGINT) AS n_chars FROM documents WHERE modified_at IS NOT NULL AND file_path IS NOT NULL)
 SELECT doc_id, file_path, n_chars FROM documents WHERE file_path IS NULL OR file_path NOT IN (SELECT file_path FROM n) UNION ALL SELECT * FROM n""",
     "idx_file_chunks": "SELECT id, substring(min(text), 1, 200) AS preview FROM chunks WHERE file_path = (SELECT min(file_path) FROM chunks) GROUP BY id",
     "idx_counts": "SELECT count(*) AS docs, count(DISTINCT file_path) AS files FROM chunks",
@@ -424,12 +480,15 @@ SELECT doc_id, file_path, n_chars FROM documents WHERE file_path IS NULL OR file
     "txt_truncate": "SELECT doc_id, CASE WHEN length(text) > 40 THEN left(text, 40) || '...' ELSE text END AS t, len(regexp_extract_all(text, '\\S+')) AS n FROM documents",
     "txt_path_tags": f"SELECT DISTINCT file_path, {_NAME} AS name, {_TAGS} AS tags FROM chunks",
     "txt_hashes": "SELECT doc_id, sha256(text) AS sha, md5(file_path) AS md5 FROM documents",
-    "txt_bigram_similarity": """WITH h AS (SELECT DISTINCT file_path, lower(heading) AS h FROM documents WHERE heading IS NOT NULL),
-g AS (SELECT *, CASE WHEN length(h) < 2 THEN [] ELSE list_transform(range(1, length(h)), lambda i: substring(h, i, 2)) END AS g FROM h)
-SELECT a.file_path, a.h AS one, b.h AS other, round(CASE WHEN len(a.g) = 0 OR len(b.g) = 0 THEN 0 ELSE 2.0 * len(list_filter(a.g, lambda x: list_contains(b.g, x))) / (len(a.g) + len(b.g)) END, 6) AS s FROM g a JOIN g b ON a.file_path = b.file_path AND a.h < b.h""",
+    "txt_bigram_similarity": f"""WITH h AS (SELECT doc_id, lower(heading) AS x, lower({_NAME}) AS y FROM documents WHERE heading IS NOT NULL AND file_path IS NOT NULL),
+g AS (SELECT *, CASE WHEN length(x) < 2 THEN [] ELSE list_transform(range(1, length(x)), lambda i: substring(x, i, 2)) END AS a, CASE WHEN length(y) < 2 THEN [] ELSE list_transform(range(1, length(y)), lambda i: substring(y, i, 2)) END AS b FROM h)
+SELECT doc_id, round(CASE WHEN x = y THEN 1.0 WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE 2.0 * len(list_filter(a, lambda v: list_contains(b, v))) / (len(a) + len(b)) END, 6) AS s FROM g""",
+    "txt_mojibake": """SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[äöüéè°ñ\\x{FEFF}]'))) AS lines FROM documents WHERE lines > 0""",
     "num_render": "SELECT o_orderkey, CASE WHEN o_totalprice = floor(o_totalprice) THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) ELSE rtrim(rtrim(printf('%.6f', o_totalprice), '0'), '.') END AS shown, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS whole FROM orders",
-    "ret_key_terms": "SELECT term, count(*) AS n FROM (SELECT unnest(" + _W.format("text") + ") AS term FROM documents WHERE lang = 'fr') WHERE length(term) >= 2 AND NOT regexp_full_match(term, '[0-9]+') AND term NOT IN " + _TERMS + " AND term NOT IN (" + ", ".join(repr(x) for x in T.STOP_WORDS) + ") GROUP BY term ORDER BY n DESC, term LIMIT 20",
-    "txt_garbled": r"SELECT page_source, CAST(sum(length(text) - length(regexp_replace(text, '[\x{FFFD}\p{Co}\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]', '', 'g'))) AS BIGINT) AS garbled, CAST(sum(length(text)) AS BIGINT) AS chars FROM page_blocks WHERE text IS NOT NULL GROUP BY page_source",
+    "ret_key_terms": """WITH w AS (SELECT unnest(regexp_extract_all(regexp_replace(lower(text), '(\\p{Han}+)', ' \\1 ', 'g'), '[\\p{L}\\p{N}]+')) AS w FROM documents),
+t AS (SELECT unnest(CASE WHEN regexp_full_match(w, '\\p{Han}{2,}') THEN list_transform(range(1, length(w)), lambda i: substring(w, i, 2)) ELSE [w] END) AS term FROM w)
+SELECT term, count(*) AS n FROM t WHERE length(term) >= 2 AND NOT regexp_full_match(term, '[0-9]+') AND term NOT IN """ + _TERMS + " AND term NOT IN (" + ", ".join(repr(x) for x in T.STOP_WORDS) + ") GROUP BY term ORDER BY n DESC, term LIMIT 20",
+    "txt_garbled": r"SELECT page_source, CAST(sum(length(text) - length(regexp_replace(text, '[\x{FFFD}\p{Co}\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]', '', 'g'))) AS BIGINT) AS garbled, CAST(sum(length(text)) AS BIGINT) AS chars FROM (SELECT page_source, coalesce(text, normalized_text) AS text FROM page_blocks) WHERE text IS NOT NULL GROUP BY page_source",
     "num_excel_date": "SELECT p_partkey, CASE WHEN p_partkey >= 1 THEN strftime(DATE '1899-12-30' + CAST(p_partkey + CASE WHEN p_partkey <= 59 THEN 1 ELSE 0 END AS INT), '%Y-%m-%d') || ' 06:00:00' END AS stamp, CASE WHEN p_partkey >= 1 THEN strftime(DATE '1899-12-30' + CAST(p_partkey + CASE WHEN p_partkey <= 59 THEN 1 ELSE 0 END AS INT), '%Y-%m-%d') END AS day FROM part",
     "evt_tumbling": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY 1, 2",
     "evt_sliding": "SELECT s AS start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS s FROM events) GROUP BY s",
@@ -439,7 +498,14 @@ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS end, count(*)
     "evt_debounce": """WITH g AS (SELECT event_type, ts, CASE WHEN ts <= lag(ts) OVER (ORDER BY ts) + INTERVAL 1 MINUTE THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT event_type, ts, sum(new) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT min(ts) AS start, count(*) AS n, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types FROM s GROUP BY k""",
     "evt_dedup": "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type",
-    "eval_accuracy_by_type": "SELECT qtype, round(avg(CAST((answer_gold IS NULL) = must_refuse AS INT)), 6) AS accuracy, count(*) AS n FROM eval_items GROUP BY ROLLUP (qtype)",
-    "eval_hit_rate": """WITH h AS (SELECT query_id, source, arg_min(id, (CASE WHEN source = 'Vector' THEN distance ELSE -score END, id)) AS f FROM search_results WHERE coalesce(score, distance) IS NOT NULL GROUP BY ALL),
-p AS (SELECT query_id, count(DISTINCT f) AS n FROM h GROUP BY query_id) SELECT round(avg(CAST(n = 1 AS INT)), 6) AS agreement, count(*) AS queries FROM p""",
+    "eval_accuracy_by_type": f"""WITH {_EVAL}
+SELECT qtype, round(avg(CASE WHEN must_refuse THEN CAST(answer_gold IS NULL AS INT) ELSE CAST(item_id IN (SELECT item_id FROM held) AS INT) END), 6) AS accuracy, count(*) AS n FROM eval_items GROUP BY ROLLUP (qtype)""",
+    "eval_hit_rate": f"""WITH {_EVAL},
+t AS (SELECT doc_id AS id, {_W.format('text')} AS t FROM documents WHERE text IS NOT NULL), st AS (SELECT count(*) AS docs, avg(len(t)) AS al FROM t),
+p AS (SELECT term, id, count(*) AS tf, max(l) AS l FROM (SELECT id, len(t) AS l, unnest(t) AS term FROM t) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+a AS (SELECT DISTINCT item_id, unnest({_W.format('question')}) AS term FROM eval_items), b AS (SELECT * FROM a WHERE term NOT IN ({", ".join(repr(x) for x in T.STOP_WORDS)})),
+s AS (SELECT item_id, id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / al))), 9) AS score FROM b JOIN p USING (term) JOIN df USING (term), st GROUP BY ALL),
+r AS (SELECT item_id, id AS doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS k FROM s),
+g AS (SELECT DISTINCT item_id FROM held JOIN r USING (item_id, doc_id) WHERE k <= 5)
+SELECT round(avg(CAST(item_id IN (SELECT item_id FROM g) AS INT)), 6) AS hit_rate, count(*) AS questions FROM (SELECT DISTINCT item_id FROM held)""",
 }

@@ -8,6 +8,7 @@ executor costs a task retry only.
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 
@@ -38,6 +39,19 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """A hash of a path and of the size and time of the files directly in it, so that it changes when they do."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    seen = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hadoop)
+    files = sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in seen)
+    return hashlib.md5("\n".join([path, *files]).encode()).hexdigest()
+
+
 class Stash:
     """Written intermediates of one operator run; removed at the end of the Python process."""
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
 EVENTS = "ts timestamp, path string, kind string"
 
@@ -34,6 +35,27 @@ def debounced(events: DataFrame, quiet: str = "500 milliseconds", late: str = "1
     return told.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
 
+def quiet_batches(events: DataFrame, quiet: float, span: int = 3600) -> DataFrame:
+    """A table of events with ``batch``: as ``debounced``, for any number of events. A batch goes on while neighbours are at most
+    ``quiet`` seconds apart, over all paths.
+
+    Events are ordered within spans of time; what a span needs of those before it, the last time and the number of
+    batches, is one row per span. Rows with a null ``ts`` are left out.
+    """
+    rows = events.where("ts is not null").withColumn("__span", F.floor(F.col("ts").cast("timestamp").cast("double") / span))
+    inside = Window.partitionBy("__span").orderBy("ts")
+    before = F.lag("ts").over(inside)
+    far = lambda a, b: (b.cast("timestamp").cast("double") - a.cast("timestamp").cast("double")) > quiet
+    told = rows.withColumn("__new", F.when(before.isNotNull() & far(before, F.col("ts")), 1).otherwise(0))
+    spans = told.groupBy("__span").agg(F.min("ts").alias("__first"), F.max("ts").alias("__last"), F.sum("__new").alias("__news"))
+    line = Window.orderBy("__span")  # a row per span
+    prior = F.lag("__last").over(line)
+    spans = spans.withColumn("__starts", F.when(prior.isNull() | far(prior, F.col("__first")), 1).otherwise(0))
+    spans = spans.withColumn("__off", F.sum("__starts").over(line) + F.coalesce(F.sum("__news").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    joined = told.join(spans.select("__span", "__off"), "__span")
+    return joined.withColumn("batch", F.col("__off") + F.sum("__new").over(inside.rangeBetween(Window.unboundedPreceding, 0))).drop("__span", "__new", "__off")
+
+
 def event_stream(spark: SparkSession, folder: str, schema: str = EVENTS) -> DataFrame:
     """Events from JSON files dropped into a folder."""
     return spark.readStream.schema(schema).json(folder)
