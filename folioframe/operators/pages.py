@@ -369,6 +369,12 @@ def needs_ocr(score: Column, chars: Column, images: Column, mode: str = "auto",
     return (score < least) | ((chars == 0) & (images > 0))
 
 
+def ocr_confidence(blocks: DataFrame) -> DataFrame:
+    """Mean confidence of the recognised blocks of a page: doc, page, ``confidence``, ``blocks`` that have one."""
+    read = blocks.where("page_source = 'Ocr'")
+    return read.groupBy("doc", "page").agg(F.avg(F.col("confidence").cast("double")).alias("confidence"), F.count("confidence").alias("blocks"))
+
+
 def merge_ocr(blocks: DataFrame, ocr: DataFrame, force_all: bool = False) -> DataFrame:
     """OCR blocks put to a page's own: they replace them if forced or the page has none, else are appended; ``source`` says
     Ocr, BornDigital or Mixed for the page."""

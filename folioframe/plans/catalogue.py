@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioframe.plans import document_queries, general_queries, relational_queries, retrieval_queries
+from folioframe.plans import document_queries, general_queries, relational_queries, retrieval_queries, surface_queries
 
-_MODULES = [general_queries, relational_queries, retrieval_queries, document_queries]
+_MODULES = [general_queries, relational_queries, retrieval_queries, document_queries, surface_queries]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

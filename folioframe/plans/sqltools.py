@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
 from folioframe.session import table
 
@@ -63,6 +65,11 @@ def run_script(spark: SparkSession, script: str) -> tuple[DataFrame, int]:
     return spark.sql(checked(last)), len(before)
 
 
+def count_of(spark: SparkSession, folder: str, text: str) -> DataFrame:
+    """How many rows a statement gives, without its columns being made: one row, ``n``."""
+    return run(spark, folder, f"SELECT count(*) AS n FROM ({checked(text)}) AS counted")
+
+
 def page(df: DataFrame, order: list[Column | str], number: int = 1, size: int = PAGE_SIZE) -> DataFrame:
     """Page ``number`` (from 1) of an ordered result; the size is at least 1 and at most ``MOST_PAGE``."""
     size = min(max(size, 1), MOST_PAGE)
@@ -94,6 +101,12 @@ def cache_table_name(path: str, sheet: str, block: int = 0) -> str:
     return f"{prefix}_{name}_b{block}" if block else f"{prefix}_{name}"
 
 
+@F.pandas_udf(StringType())
+def cache_name(path: pd.Series, sheet: pd.Series) -> pd.Series:
+    """``cache_table_name`` as a Column."""
+    return pd.Series([cache_table_name(p, s) for p, s in zip(path, sheet)])
+
+
 def number_text(x: Column, digits: int = 2) -> Column:
     """A number as shown: whole numbers without a point, others with at most ``digits`` decimals, null as ``NULL``."""
     whole = x == F.floor(x)

@@ -7,7 +7,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from folioframe.operators import store as S
 
@@ -110,17 +110,34 @@ def page_range(text: str, pages: int) -> list[int]:
     return sorted(out)
 
 
+def page_indexes(text: Column, pages: Column) -> Column:
+    """``page_range`` as a Column; null where the text is not a page range."""
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def run(texts: pd.Series, counts: pd.Series) -> pd.Series:
+        out = []
+        for t, n in zip(texts, counts):
+            try:
+                out.append(None if t is None else page_range(t, int(n)))
+            except ValueError:
+                out.append(None)
+        return pd.Series(out)
+
+    return run(text, pages)
+
+
 def select_pages(rows: DataFrame, pages: list[int], column: str = "page") -> DataFrame:
     return rows.where(F.col(column).isin(pages))
 
 
-def page_ir(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of page documents stored as JSON (doc_id, pages of blocks with boxes, roles and text): doc, page, block_id, box, role, text."""
+def page_ir(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Blocks of page documents stored as JSON, one per file or with ``lines`` one per line (doc_id, pages of blocks with boxes, roles and
+    text): doc, page, block_id, box, role, text."""
     schema = (
         "doc_id string, pages array<struct<page_index:int, blocks:array<struct<block_id:string, role:string, normalized_text:string, "
         "bbox:struct<x:double,y:double,width:double,height:double>>>>>"
     )
-    docs = spark.read.schema(schema).option("multiLine", "true").json(path)
+    docs = spark.read.schema(schema).option("multiLine", str(not lines).lower()).json(path)
     pages = docs.select(F.col("doc_id").alias("doc"), F.explode("pages").alias("p"))
     return pages.select("doc", F.col("p.page_index").alias("page"), F.explode("p.blocks").alias("b")).select("doc", "page", "b.block_id", "b.bbox.*", "b.role", F.col("b.normalized_text").alias("text"))
 
