@@ -17,7 +17,6 @@ COMMON = (
     "Both Between Each Every Neither Nor Most More Many Some Any All No Not After Before Please According Whoever Also See One Two Three First Second Last Next New Old Other Such Only Because Since Until Unless Although However"
 ).split()
 NOISE = "true false null none todo fixme http https www com org html css json xml pdf doc docx xlsx png jpg".split()
-MOST_BYTES = 10_000
 
 
 def usable_name(name: Column) -> Column:
@@ -30,8 +29,7 @@ def usable_name(name: Column) -> Column:
 
 def entity_names(text: Column) -> Column:
     """Names a text holds: capitalised words, capitals of three letters and more, and quoted terms (corner brackets and curly
-    quotes of 2 to 20 characters, straight quotes of up to five words). Texts over ``MOST_BYTES`` bytes give none of the
-    quoted kinds beyond that length; the words are found anywhere."""
+    quotes of 2 to 20 characters, straight quotes of up to five words). Texts are read whole, however long."""
     words = F.filter(F.regexp_extract_all(text, F.lit(r"\b([A-Z][\p{L}\p{N}]+)\b"), 1), lambda w: ~w.isin(*COMMON))
     capitals = F.regexp_extract_all(text, F.lit(r"\b([A-Z]{3,})\b"), 1)
     corner = F.regexp_extract_all(text, F.lit(r"「([^」\n]{2,20})」"), 1)

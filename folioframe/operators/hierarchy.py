@@ -46,7 +46,9 @@ def on_cycles(links: DataFrame, stash: Stash) -> DataFrame:
         size = now
         # nodes that are no longer images stay in the map: they may still jump, but only images have to be kept
         kept = jump.join(image, "id", "left_semi")
-        jump = stash.put(kept.alias("a").join(kept.alias("b"), F.col("a.to") == F.col("b.id")).select("a.id", F.col("b.to").alias("to")))
+        old, jump = jump, stash.put(kept.alias("a").join(kept.alias("b"), F.col("a.to") == F.col("b.id")).select("a.id", F.col("b.to").alias("to")))
+        stash.drop(old)
+        stash.drop(image)
     return links.select("id").limit(0)
 
 

@@ -18,7 +18,8 @@ from folioframe.functions import text as T, values as V
 # Thresholds of layout in points or shares.
 LINE_GAP, PARAGRAPH_FONT, PARAGRAPH_MEDIAN, INDENT, WIDE_GAP = 3.0, 1.8, 1.5, 1.5, 0.06
 NARROW_COLUMN, UNEVEN_COLUMNS, TITLE_SIZE, TITLE_WIDTH = 0.15, 3.0, 14.0, 0.8
-WATERMARK_WORDS = ("confidential", "draft", "watermark", "sample", "copy", "机密", "草稿", "样本", "内部资料", "仅供参考")
+WATERMARK_WORDS = ("confidential", "draft", "sample", "watermark", "do not copy", "internal use only", "不得复制", "机密", "草稿", "样本", "仅供内部使用", "版权所有")
+CONTACT_WORDS = ("http", "www", "微博", "微信", "邮箱", "电话", "热线", "@", "qr", "二维码", ".com", ".cn", ".org")
 BLOCK = "doc string, page int, block int, x double, y double, width double, height double, role string, font double, text string"
 
 
@@ -248,13 +249,18 @@ def drop_noise(blocks: DataFrame) -> DataFrame:
 
 
 def is_watermark(page_width: float = 612.0, page_height: float = 792.0) -> Column:
-    """A watermark word over more than 3 per cent of the page, a large nearly empty block, or a long thin one."""
+    """A watermark word over more than 3 per cent of the page, a large nearly empty block without contact data, or a flat wide one.
+
+    Running blocks and texts below two bytes are none.
+    """
     share = F.col("width") * F.col("height") / (page_width * page_height)
     low, n = F.lower("text"), F.length("text")
-    contact = F.col("text").rlike(r"@|https?://|\d{3}[- ]?\d{4}")
-    aspect = F.greatest(F.col("width") / F.col("height"), F.col("height") / F.col("width"))
+    contact = F.greatest(*[low.contains(w) for w in CONTACT_WORDS])
     word = F.greatest(*[low.contains(w) for w in WATERMARK_WORDS])
-    return F.coalesce((word & (share > 0.03)) | ((share > 0.2) & (n < 50) & ~contact) | ((aspect > 5) & (share > 0.15) & (n < 30)), F.lit(False))
+    flat = (F.col("height") > 0) & (F.col("width") > 5 * F.col("height"))
+    marked = (word & (share > 0.03)) | ((share > 0.2) & (n < 50) & ~contact) | (flat & (share > 0.15) & (n < 30))
+    running = F.coalesce(F.col("role").isin("Header", "Footer", "PageNumber"), F.lit(False))
+    return F.coalesce(marked & ~running & (F.octet_length("text") >= 2), F.lit(False))
 
 
 def is_chart_label(text: Column) -> Column:
@@ -287,6 +293,17 @@ def merge_orphans(blocks: DataFrame, most: int = 15) -> DataFrame:
     return rows.select("doc", "page", F.get("b", 0)["block_id"].alias("block_id"), F.array_join(F.transform("b", lambda x: x["text"]), "").alias("text"))
 
 
+def without_orphans(blocks: DataFrame, most: int = 15) -> DataFrame:
+    """Blocks with the short blocks that go on with them put to them, all columns kept."""
+    merged = merge_orphans(blocks, most).select("doc", "page", "block_id", F.col("text").alias("__text"))
+    return blocks.join(merged, ["doc", "page", "block_id"]).withColumn("text", F.col("__text")).select(*blocks.columns)
+
+
+def join_urls(blocks: DataFrame) -> DataFrame:
+    """Addresses that a line break cuts in two are one line again."""
+    return blocks.withColumn("text", F.array_join(merge_url_spans(F.split("text", "\n")), "\n"))
+
+
 def merge_url_spans(spans: Column) -> Column:
     """An array of texts in which the pieces of a broken address are one."""
     last = lambda acc: F.get(acc, F.size(acc) - 1)
@@ -317,18 +334,25 @@ def mark_headers_footers(blocks: DataFrame, page_height: float = 792.0, zone: fl
     edge = blocks.withColumn("side", side).where("side is not null").withColumn("bare", T.strip_page_number(F.col("text"))).select("doc", "page", "block_id", "side", "bare")
     first = F.min("page").over(Window.partitionBy("doc"))
     candidates = edge.withColumn("first", first).where(F.lit(any_page) | (F.col("page") == F.col("first"))).select("doc", "side", F.col("bare").alias("pattern")).distinct()
+    # texts are compared once each, however many pages carry them
+    bares = edge.groupBy("doc", "side", "bare").agg(F.count_distinct("page").alias("pages"), F.min("page").alias("on"), F.max("page").alias("to"))
     like = (F.col("bare") == F.col("pattern")) | (T.bigram_similarity(F.col("pattern"), F.col("bare")) >= similar)
-    hits = edge.join(candidates, ["doc", "side"]).where(like)
-    known = hits.groupBy("doc", "side", "pattern").agg(F.count_distinct("page").alias("pages")).where("pages > 1")
-    marked = hits.join(known, ["doc", "side", "pattern"]).select("doc", "page", "block_id", "side").distinct()
+    hits = bares.join(candidates, ["doc", "side"]).where(like)
+    known = hits.groupBy("doc", "side", "pattern").agg(F.max("pages").alias("pages"), F.min("on").alias("on"), F.max("to").alias("to")).where("pages > 1 or `on` < `to`")
+    running = hits.join(known.select("doc", "side", "pattern"), ["doc", "side", "pattern"]).select("doc", "side", "bare").distinct()
+    marked = edge.join(running, ["doc", "side", "bare"]).select("doc", "page", "block_id", "side").distinct()
     w = Window.partitionBy("doc", "page")
     told = blocks.join(marked, ["doc", "page", "block_id"], "left").withColumn("left_over", F.count_if(F.col("side").isNull()).over(w))
     return told.withColumn("role", F.when(F.col("side").isNotNull() & (F.col("left_over") > 0), F.col("side")).otherwise(F.col("role"))).drop("side", "left_over")
 
 
 def postprocess(blocks: DataFrame, page_width: float = 612.0, page_height: float = 792.0) -> DataFrame:
-    """The chain of clean-up steps on blocks: noise, watermarks, chart labels, lists."""
-    return blocks.transform(drop_noise).where(~is_watermark(page_width, page_height)).transform(drop_chart_labels).transform(mark_lists)
+    """The chain of clean-up steps on blocks: noise, watermarks, orphans, chart labels, footnotes, lists, addresses. Rows that can't be
+    placed (null doc or page) are left out; a missing ``font`` is the height of a line."""
+    font = F.coalesce("font", F.col("height") / F.size(F.split("text", "\n"))) if "font" in blocks.columns else F.col("height") / F.size(F.split("text", "\n"))
+    out = blocks.where("doc is not null and page is not null").transform(drop_noise).where(~is_watermark(page_width, page_height)).transform(without_orphans)
+    out = out.withColumn("font", font).transform(drop_chart_labels, page_width, page_height).transform(mark_footnotes, page_height)
+    return out.transform(mark_lists).transform(join_urls).select(*blocks.columns)
 
 
 # -- scores and strategies --------------------------------------------------------------------------------------------

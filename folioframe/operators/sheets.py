@@ -17,8 +17,8 @@ from pyspark.sql.window import Window
 from folioframe.functions import values as V
 
 # Words of footers and of titles, limits of header search and of blank runs.
-FOOTER = ("备注", "说明", "注：", "注:", "合计", "总计", "小计", "制表人", "审核人", "填表", "审批", "签字", "total", "note", "notes", "prepared by", "approved by")
-TITLE = ("报表", "统计表", "汇总表", "明细表", "一览表", "report", "summary")
+FOOTER = ("备注", "注：", "注:", "说明", "数据来源", "制表人", "审核人", "合计", "总计", "小计", "※", "*注")
+TITLE = ("编制单位", "单位：", "单位:", "报表名称", "会计期间", "审计", "填报", "制表日期", "币种")
 MOST_HEADER_ROWS, MOST_BLANK_ROWS, KEYWORD_BYTES = 5, 3, 32 * 1024
 _NUMBER = re.compile(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$")
 _DATE = re.compile(r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}")
@@ -68,23 +68,24 @@ def block_ranges(grid: list[list[str]]) -> list[tuple[int, int]]:
     return [(a, a + len(trim_blank(grid[a:b]))) for a, b in ranges]
 
 
-def header_start(rows: list[list[str]], search: int = 10) -> int:
-    """The row where the header begins: the best score of the first rows, the first of equals."""
-    best, at = float("-inf"), 0
+def header_start(rows: list[list[str]], search: int = 15, columns: int = 20) -> int:
+    """The row where the header begins: the best score of the first rows, the first of equals, judged by the first columns.
+
+    Rows less than 40 per cent full are passed over. A full row scores 40; numbers in one of the next three rows 30, and 10
+    more if the row itself has none; a title word costs 50, a cell over 20 characters 20, one over 30 another 10.
+    """
+    width = min(max(map(len, rows), default=0), columns)
+    scores: dict[int, int] = {}
     for i, row in enumerate(rows[:search]):
-        n = filled(row)
-        if not n:
+        cells = [c.strip() for c in row[:width] if c.strip()]
+        if not width or len(cells) * 100 // width < 40:
             continue
-        cells = [c.strip() for c in row if c.strip()]
-        score = 40.0 * n / max(1, len(row))
-        score += 30 if i + 1 < len(rows) and numbers(rows[i + 1]) else 0
-        score -= 50 if n <= 2 and any(w in c.lower() for c in cells for w in TITLE) else 0
-        score -= 20 if sum(map(len, cells)) / n > 20 else 0
-        score -= 10 if max(map(len, cells)) > 30 else 0
-        score += 10 if not numbers(row) else 0
-        if score > best:
-            best, at = score, i
-    return at
+        longest = max(map(len, cells), default=0)
+        data_below = any(numbers(r[:width]) for r in rows[i + 1 : i + 4])
+        titled = any(w in c for c in cells for w in TITLE)
+        scores[i] = len(cells) * 40 // width + 30 * data_below + 10 * (data_below and not numbers(row[:width])) - 50 * titled - 20 * (longest > 20) - 10 * (longest > 30)
+    best = max(scores.values(), default=-1)
+    return next((i for i, s in scores.items() if s == best), 0) if best >= 0 else 0
 
 
 def header_depth(rows: list[list[str]]) -> int:
@@ -119,7 +120,7 @@ def column_names(header: list[list[str]], width: int) -> list[str]:
 
 def is_dirty(row: list[str], width: int) -> bool:
     """A note or total below a wide table: one cell at most, with a footer word."""
-    cells = [c.strip().lower() for c in row if c.strip()]
+    cells = [c.strip() for c in row if c.strip()]
     return not cells or (len(cells) <= 1 and width >= 5 and any(w in cells[0] for w in FOOTER))
 
 
@@ -178,14 +179,27 @@ def sheet_blocks(grid: list[list[str]]) -> list[tuple[int, list[str], list[str],
 BLOCK = "file string, sheet string, block int, source_id string, names array<string>, types array<string>, rows array<array<string>>, row_count int"
 
 
+def _closed(places: pd.Series, most: int) -> dict[int, int]:
+    """New places for row or column numbers, in order, with gaps of at most ``most`` blanks."""
+    out, at, last = {}, -1, -1
+    for p in sorted({int(x) for x in places}):
+        at += min(p - last, most + 1)
+        out[p], last = at, p
+    return out
+
+
 def data_blocks(cells: DataFrame) -> DataFrame:
     """The tables of every sheet of ``cells`` (file, sheet, row, col, raw); a sheet without text gives none."""
 
     def run(key, part: pd.DataFrame) -> pd.DataFrame:
-        height, width = int(part["row"].max()) + 1, int(part["col"].max()) + 1
-        grid = [[""] * width for _ in range(height)]
+        # only filled cells count, and long blank stretches are shortened: a stray cell far out makes no large grid
+        part = part[part["raw"].fillna("").str.strip() != ""]
+        if not len(part):
+            return pd.DataFrame(columns=[c.split()[0] for c in re.sub(r"<[^ ]*>", "", BLOCK).split(", ")])
+        at_row, at_col = _closed(part["row"], MOST_BLANK_ROWS + 1), _closed(part["col"], MOST_BLANK_ROWS + 1)
+        grid = [[""] * (max(at_col.values()) + 1) for _ in range(max(at_row.values()) + 1)]
         for r, c, v in zip(part["row"], part["col"], part["raw"]):
-            grid[int(r)][int(c)] = v or ""
+            grid[at_row[int(r)]][at_col[int(c)]] = v
         out = [(key[0], key[1], i, f"{key[0]}_{key[1]}_{i}", n, t, d, len(d)) for i, n, t, d in sheet_blocks(trim_blank(grid))]
         return pd.DataFrame(out, columns=[c.split()[0] for c in re.sub(r"<[^ ]*>", "", BLOCK).split(", ")])
 
@@ -210,12 +224,15 @@ def typed_table(block: DataFrame, names: list[str], types: list[str]) -> DataFra
     return rows.select(*out)
 
 
-def register(spark: SparkSession, blocks: DataFrame) -> dict[str, list[tuple[str, str]]]:
-    """Temporary views of all blocks (one workbook's worth): their names and columns."""
+def register(spark: SparkSession, blocks: DataFrame, most: int = 1000) -> dict[str, list[tuple[str, str]]]:
+    """Temporary views of all blocks of a workbook: their names and columns. More than ``most`` blocks are refused, as each is a view."""
     from folioframe.plans.sqltools import safe_table_name
 
     made = {}
-    for r in blocks.select("source_id", "sheet", "block", "names", "types").collect():
+    heads = blocks.select("source_id", "sheet", "block", "names", "types").limit(most + 1).collect()
+    if len(heads) > most:
+        raise ValueError(f"more than {most} tables; register one workbook at a time")
+    for r in heads:
         name = safe_table_name(r["sheet"], r["block"])
         typed_table(blocks.where(F.col("source_id") == r["source_id"]), r["names"], r["types"]).createOrReplaceTempView(name)
         made[name] = list(zip(r["names"], r["types"]))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from folioframe.functions import values as V
 from folioframe.operators import page_tables as PT, pages as P, sheets as SH, trees as TR
 from folioframe.plans import sqltools
+from folioframe.plans.pages import process_pages
 from folioframe.session import table
 
 
@@ -170,6 +171,25 @@ def pg_markdown(spark, d):
     return P.markdown_pages(_blocks(spark, d)).select("doc", "page", F.length("markdown").alias("n"))
 
 
+def _glyphs(spark, d):
+    """The blocks' text laid out glyph by glyph: each line over the width of its block, blanks left free."""
+    b = _blocks(spark, d).where("text is not null and doc is not null and page is not null")
+    lines = b.select("doc", "page", "x", "y", "width", (F.col("height") / F.size(F.split("text", "\n"))).alias("h"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    glyphs = lines.withColumn("step", F.col("width") / F.greatest(F.length("line"), F.lit(1))).select("*", F.posexplode(F.split("line", "")).alias("j", "ch")).where("trim(ch) != ''")
+    return glyphs.select("doc", "page", "ch", (F.col("x") + F.col("j") * F.col("step")).alias("x"), (F.col("y") + F.col("i") * F.col("h")).alias("y"), F.col("step").alias("width"), (F.col("h") * 0.8).alias("height"), (F.col("h") * 0.8).alias("font_size"), F.lit(False).alias("bold"))
+
+
+def pg_pipeline(spark, d):
+    """All pages from their glyphs to text, in one call."""
+    return process_pages(_glyphs(spark, d)).pages.select("doc", "page", "source", "strategy", F.round("score", 4).alias("score"), F.length("markdown").alias("chars"))
+
+
+def pg_pipeline_letters(spark, d):
+    """Nothing but noise is lost on the way: letters that the blocks before the clean-up hold, by document."""
+    found = P.blocks_from_chars(_glyphs(spark, d))
+    return found.groupBy("doc").agg(F.sum(F.length(F.regexp_replace("text", r"\s", ""))).alias("letters"))
+
+
 def pg_stream_tables(spark, d):
     """Borderless tables from the text pieces of table lines in documents, laid out on a grid."""
     cells = _cells(spark, d)
@@ -202,6 +222,7 @@ def _iou(a: str, c: str) -> str:
 
 
 SQL = {
+    "pg_pipeline_letters": rf"WITH {_B} SELECT doc, CAST(sum(length(regexp_replace(text, '\s', '', 'g'))) AS BIGINT) AS letters FROM b WHERE text IS NOT NULL AND doc IS NOT NULL AND page IS NOT NULL GROUP BY doc HAVING letters > 0",
     "tree_headings": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 h AS (SELECT doc_id, length(regexp_extract(line, '^ {0,3}(#{1,6})', 1)) AS level FROM l WHERE regexp_matches(line, '^ {0,3}#{1,6}([ \t]|$)'))
 SELECT '/docs/' || doc_id AS file_path, count(*) AS n, max(level) AS deepest FROM h GROUP BY doc_id""",

@@ -173,33 +173,33 @@ def schema_of(df: DataFrame) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
 
 
-# Words that ask for a list.
-_LISTING = ("list", "which", "all", "what", "有哪些", "列出", "所有", "哪些", "全部")
+# Words that ask for a list, and words of a question that name no column.
+_LISTING = ("list", "which", "all", "what", "列出", "显示", "所有", "全部", "哪些", "查看")
+_ASKING = "列出 显示 查看 查询 所有 全部 的 了 吗 把 给 我 一下 下 有 哪些 什么 多少 是 在 请 帮 看看 找 搜索 出来".split()
 
 
-def listing_sql(question: str, schemas: dict[str, list[str]]) -> str | None:
+def listing_sql(question: str, schemas: dict[str, list[str]], rows: dict[str, int] | None = None) -> str | None:
     """SQL for questions that ask to list the values of a column; None if no rule fits.
 
-    Keywords of the question (split at blanks and Chinese commas) are matched with column names, either containing the
-    other. Each table with a match gives a SELECT DISTINCT; tables that share the first matched column are united.
+    Words of the question (split at blanks and Chinese commas and question marks) are matched with column names, either containing the
+    other; tables that ``rows`` says are empty are passed over. One table with matches gives a SELECT DISTINCT of them in
+    the order of their names; several give the union of the first table's first match over all tables that matched it.
     """
     lowered = question.lower()
     if not any(w in lowered for w in _LISTING):
         return None
-    keys = [k for k in re.split(r"[\s，、？?,]+", lowered) if len(k) > 1 and k not in _LISTING]
-    picked: dict[str, list[str]] = {}
-    for name, columns in schemas.items():
-        hit = [c for c in columns if any(k in c.lower() or c.lower() in k for k in keys)]
-        if hit:
+    keys = [k for k in re.split(r"[\s，、？?,]+", lowered) if k and k not in _ASKING and k not in _LISTING]
+    picked = {}
+    for name in sorted(schemas):
+        hit = sorted(c for c in schemas[name] if any(k in c.lower() or c.lower() in k for k in keys))
+        if hit and (rows is None or rows.get(name, 0) > 0):
             picked[name] = hit
     if not picked:
         return None
-    first = next(iter(picked.values()))[0]
-    same = [n for n, c in picked.items() if c[0] == first]
-    if len(same) > 1:
-        return " UNION ALL ".join(f"SELECT DISTINCT `{first}` FROM `{n}`" for n in same)
-    name, columns = next(iter(picked.items()))
-    return f"SELECT DISTINCT {', '.join(f'`{c}`' for c in columns)} FROM `{name}`"
+    first, columns = next(iter(picked.items()))
+    if len(picked) == 1:
+        return f"SELECT DISTINCT {', '.join(f'`{c}`' for c in columns)} FROM `{first}`"
+    return " UNION ALL ".join(f"SELECT DISTINCT `{columns[0]}` FROM `{n}`" for n, hit in picked.items() if columns[0] in hit)
 
 
 def answer_table(spark: SparkSession, question: str, schemas: dict[str, list[str]], provider, repairs: int = 2) -> DataFrame:

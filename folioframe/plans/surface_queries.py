@@ -215,7 +215,7 @@ def pg_noise(spark, d):
 
 
 def pg_watermarks(spark, d):
-    return _blocks(spark, d).where(P.is_watermark()).select("block_id")
+    return _blocks(spark, d).where(P.is_watermark(300.0, 300.0)).select("block_id")
 
 
 def pg_chart_labels(spark, d):
@@ -443,8 +443,9 @@ FROM b a JOIN b c ON a.doc = c.doc AND a.page = c.page AND a.block_id <> c.block
     "jsn_html_tables": "SELECT p_partkey, p_brand || '|' || p_brand || '/' || p_type || '|' || p_size AS cells FROM part",
     "pg_noise": rf"""WITH {_B}, k AS (SELECT block_id, CASE WHEN role = 'PageNumber' THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_full_match(x, '[\p{{P}}\p{{S}}\s]*')), chr(10)) END AS t FROM b)
 SELECT block_id, md5(t) AS h FROM k WHERE t <> ''""",
-    "pg_watermarks": rf"""WITH {_B}, s AS (SELECT *, width * height / (612.0 * 792.0) AS share, greatest(width / height, height / width) AS aspect FROM b)
-SELECT block_id FROM s WHERE (({" OR ".join(f"contains(lower(text), '{w}')" for w in P.WATERMARK_WORDS)}) AND share > 0.03) OR (share > 0.2 AND length(text) < 50 AND NOT regexp_matches(text, '@|https?://|\d{{3}}[- ]?\d{{4}}')) OR (aspect > 5 AND share > 0.15 AND length(text) < 30)""",
+    "pg_watermarks": f"""WITH {_B}, s AS (SELECT *, width * height / 90000.0 AS share FROM b WHERE coalesce(role, '') NOT IN ('Header', 'Footer', 'PageNumber') AND strlen(text) >= 2)
+SELECT block_id FROM s WHERE (({" OR ".join(f"contains(lower(text), '{w}')" for w in P.WATERMARK_WORDS)}) AND share > 0.03) OR (share > 0.2 AND length(text) < 50 AND NOT ({" OR ".join(f"contains(lower(text), '{w}')" for w in P.CONTACT_WORDS)}))
+OR (height > 0 AND width > 5 * height AND share > 0.15 AND length(text) < 30)""",
     "pg_chart_labels": f"""WITH {_B}, l AS (SELECT *, {_LABEL} AS l FROM b),
 h AS (SELECT doc, page, count(*) AS n, (max(x + width) - min(x)) * (max(y + height) - min(y)) AS s FROM l WHERE l GROUP BY doc, page)
 SELECT block_id FROM l LEFT JOIN h USING (doc, page) WHERE NOT coalesce(l AND n >= 4 AND s <= 0.7 * 612 * 792, false)""",

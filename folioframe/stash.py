@@ -11,6 +11,8 @@ import atexit
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
@@ -52,14 +54,35 @@ def fingerprint(spark: SparkSession, path: str) -> str:
     return hashlib.md5("\n".join([path, *files]).encode()).hexdigest()
 
 
+_SCOPES: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Intermediates of operators called inside are deleted at the end of the block, when their results must have been written.
+
+    Without it they stay until the Python process ends, as a result that isn't written yet still reads them.
+    """
+    made: list[tuple[SparkSession, str]] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for spark, root in made:
+            _delete(spark, root)
+
+
 class Stash:
-    """Written intermediates of one operator run; removed at the end of the Python process."""
+    """Written intermediates of one operator run; removed at the end of their ``scope``, else of the Python process."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
         atexit.register(_delete, spark, self.root)
+        if _SCOPES:
+            _SCOPES[-1].append((spark, self.root))
 
     def put(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return it as a fresh scan."""
