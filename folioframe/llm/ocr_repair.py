@@ -53,6 +53,13 @@ def _glued(text: Column) -> Column:
     return F.regexp_replace(out, r"-(?<=[\p{L}\p{N}]-)\s+(?=[\p{Ll}\p{N}!])", _HARD)
 
 
+def _flat(text: Column) -> Column:
+    """White space of any kind as single-character blanks, none at the ends."""
+    for char in "\t\n\x0b\f\r":
+        text = F.replace(text, F.lit(char), F.lit(" "))
+    return F.trim(text)
+
+
 def _broken(token: Column) -> Column:
     return token.contains(_HARD) | token.contains(_SOFT)
 
@@ -84,25 +91,33 @@ def _blocks(pages: DataFrame) -> DataFrame:
     return pages.where("block_id is not null").select(
         F.col("block_id").alias("id"), F.col("file_path").alias("file"), F.col("page_index").alias("page"), F.col("read_at").alias("read"),
         F.col("y").alias("y"), F.col("x").alias("x"), F.col("height").alias("h"), F.coalesce(raw, F.lit("")).alias("raw"),
-    )
+    ).withColumn("flat", _flat(_glued(F.col("raw"))))
 
 
-def _with_next(blocks: DataFrame, running: DataFrame) -> DataFrame:
-    """Non-running blocks with ``next``: the first word of the text that goes on after them, if it goes on in lower case.
+def _ends(blocks: DataFrame, running: DataFrame) -> DataFrame:
+    """Blocks that end in a hyphen: id, ``a`` the part of the word before it, ``mark``, and ``next``, the first word of the text that goes on
+    after them, if it goes on in lower case.
 
     It is in the next block of the page, as it was read, that starts in lower case, or the first such block of the next page.
+    Running blocks take no part.
     """
-    body = blocks.join(running, "id", "left_anti").withColumn("start", F.regexp_extract("raw", r"^\s*([\p{Ll}\p{N}!][\p{L}\p{N}!]*)", 1))
+    marks = f"[{SOFT_MARKS}-]"
+    part = F.when(F.rtrim("flat").rlike(marks + "$"), F.lower(F.regexp_extract("flat", r"([\p{L}\p{N}!]+)" + marks + "$", 1)))
+    # words and marks go on from here, texts don't
+    body = blocks.join(running, "id", "left_anti").select(
+        "id", "file", "page", "read", "y", "x", F.regexp_extract("flat", r"^([\p{Ll}\p{N}!][\p{L}\p{N}!]*)", 1).alias("start"), F.nullif(part, F.lit("")).alias("a"), F.right("flat", F.lit(1)).alias("mark")
+    ).where("a is not null or start != ''")
     line = Window.partitionBy("file", "page", "read").orderBy("y", "x", "id")
-    here = body.withColumn("here", F.first(F.nullif("start", F.lit("")), ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing)))
+    here = body.withColumn("here", F.first(F.nullif("start", F.lit("")), ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing))).where("a is not null")
     first = body.where("start != ''").groupBy("file", (F.col("page") - 1).alias("page")).agg(F.min_by("start", F.struct("read", "y", "id")).alias("over"))
-    return here.join(first, ["file", "page"], "left").withColumn("next", F.coalesce("here", "over"))
+    return here.join(first, ["file", "page"], "left").select("id", "a", "mark", F.coalesce("here", "over").alias("next"))
 
 
 def _pieces(blocks: DataFrame) -> DataFrame:
-    """One row per piece between blanks: id, pos, piece, ``last`` of its block, ``p`` the pieces of the block."""
-    rows = blocks.select("id", F.split(F.trim(_glued(F.col("raw"))), r"\s+").alias("p"))
-    return rows.select("id", "p", F.posexplode("p").alias("pos", "piece")).select("id", "pos", "piece", (F.col("pos") == F.size("p") - 1).alias("last"), "p")
+    """One row per piece between blanks: id, pos (rises, but not always by one), piece, ``last`` of its block, ``p`` the pieces of the block."""
+    rows = blocks.select("id", F.split("flat", " ").alias("p"))
+    told = rows.select("id", "p", F.posexplode("p").alias("pos", "piece")).where("piece != ''")
+    return told.select("id", "pos", "piece", (F.col("pos") == F.size("p") - 1).alias("last"), "p")
 
 
 def _bare(piece: Column) -> Column:
@@ -173,7 +188,7 @@ def page_noise(pages: DataFrame) -> DataFrame:
         "id", "pos", "t", F.regexp_replace("t", f"[{_HARD}{_SOFT}]", "").alias("joined"), F.regexp_replace("t", f"[{_HARD}{_SOFT}]", "-").alias("kept"), F.col("t").contains(_SOFT).alias("soft")
     )
     # words broken at the end of a block
-    ends = _with_next(blocks, running).select("id", "next", F.lower(F.regexp_extract("raw", r"([\p{L}\p{N}!]+)([" + SOFT_MARKS + r"-])\s*$", 1)).alias("a"), F.regexp_extract("raw", r"([" + SOFT_MARKS + r"-])\s*$", 1).alias("mark")).where("a != ''")
+    ends = _ends(blocks, running)
     ends = ends.select(
         "id", F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("t"), F.concat("a", F.lower(F.coalesce("next", F.lit("")))).alias("joined"),
         F.concat("a", F.lit("-"), F.lower(F.coalesce("next", F.lit("")))).alias("kept"), (F.col("mark") != "-").alias("soft"),
@@ -182,7 +197,7 @@ def page_noise(pages: DataFrame) -> DataFrame:
     hyphen = broken.where("broken").select("id").distinct()
 
     # misread: of whole tokens, and of broken ones as they read when joined; a cut word at the edge of a block can't be judged
-    continued = blocks.where(F.col("raw").rlike(r"^\s*\p{Ll}")).select("id", F.lit(0).alias("pos"))
+    continued = blocks.where(F.col("flat").rlike(r"^\p{Ll}")).select("id", F.lit(0).alias("pos"))
     whole = places.where("by != 'broken'").join(continued, ["id", "pos"], "left_anti")
     first = whole.where("by = 'number'").select("id")
     ambiguous = stash.put(whole.where("by = 'context'").select("id", F.col("t").alias("form"), "best", "before"))

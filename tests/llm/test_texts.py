@@ -250,6 +250,21 @@ def test_page_noise(spark):
     assert O.page_noise(df.limit(0)).count() == 0
 
 
+def test_misread_by_the_word_before(spark):
+    """Both words are common, so only the word before tells which was meant."""
+    texts = ["the modern table"] * 20 + ["a modem line"] * 10 + ["The modem table"] + ["every modem"]
+    rows = [(i, f"f{i % 3}", i // 3, 72.0, 300.0, 48.0, t, None, datetime(2025, 1, 1), "Body", "x") for i, t in enumerate(texts)]
+    got = {(r["block_id"], r["noise"]) for r in O.page_noise(spark.createDataFrame(rows, PAGE)).collect()}
+    assert got == {(30, "misread")}
+
+
+def test_paragraph_numbers(spark):
+    """A file's first block opens a paragraph even in lower case; numbers go on over pages."""
+    rows = [(i, "f", p, 72.0, y, 48.0, t, None, datetime(2025, 1, 1), "Body", "x") for i, (p, y, t) in enumerate([(0, 200.0, "starts low"), (0, 300.0, "Second one"), (1, 200.0, "goes on"), (1, 300.0, "Third"), (3, 200.0, "Fourth"), (3, 300.0, "and its end")])]
+    got = [(r["paragraph"], r["text"], r["blocks"]) for r in O.repaired_paragraphs(spark.createDataFrame(rows, PAGE)).orderBy("paragraph").collect()]
+    assert got == [(0, "starts low", 1), (1, "Second one goes on", 2), (2, "Third", 1), (3, "Fourth and its end", 2)]
+
+
 def test_paragraphs(spark):
     _, df = page_blocks(spark)
     text = "\n".join(r["text"] for r in O.repaired_paragraphs(df).collect())
