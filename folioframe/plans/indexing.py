@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from folioframe.operators import graph as G, sheets as SH, store as S, trees as TR
 from folioframe.operators.incremental import changed_records
 from folioframe.sources import files as FI, office as O
+from folioframe.stash import Stash, scope
 
 # The tables of an index and their columns.
 TABLES = {
     "chunks": "id string, text string, vector array<float>, file_path string, parent_id string, breadcrumbs string, doc_type string",
     "entities": "entity_id string, name string, entity_type string, source_file string, chunk_id string",
     "relations": "from_entity string, to_entity string, relation_type string, source_file string, confidence double",
-    "registry": "file_path string, content_hash string, last_modified bigint, index_version string, indexed_at bigint",
+    "registry": "file_path string, content_hash string, last_modified bigint, index_version string, indexed_at bigint, size_bytes bigint",
     "errors": "file_path string, error string",
 }
 VERSION = "1"
@@ -76,33 +77,38 @@ def parse_files(files: DataFrame, embed=None, threshold: int = 0) -> tuple[DataF
 
 
 def run(spark: SparkSession, folder: str, root: str, now: int, embed=None) -> dict[str, int]:
-    """One run over ``folder``: new, changed and deleted files; returns how many of each. ``now`` in epoch seconds."""
-    index = Index(spark, root)
-    ledger = index.read("registry")
-    files = FI.walk(spark, folder).persist()
-    seen = files.select("file_path", "content_hash", F.timestamp_seconds("last_modified").cast("timestamp_ntz").alias("seen_at"), F.timestamp_seconds(F.lit(now)).cast("timestamp_ntz").alias("arrived_at"))
-    same_parser = ledger.where(F.col("index_version") == VERSION)
-    todo = changed_records(seen, same_parser).persist()
-    gone = S.deleted_files(ledger, files).persist()
-    try:
+    """One run over ``folder``: new, changed and deleted files; returns how many of each. ``now`` in epoch seconds.
+
+    Files whose time and size are those of the ledger are not opened, unless they were written within two seconds of the
+    run that indexed them. The others are hashed, and only those whose hash the ledger hasn't finished are read again and parsed.
+    """
+    with scope():
+        index, stash = Index(spark, root), Stash(spark)
+        ledger = index.read("registry")
+        listed = stash.put(FI.walk(spark, folder, content=False))
+        same_parser = ledger.where(F.col("index_version") == VERSION)
+        alike = listed.join(same_parser.select("file_path", "last_modified", "size_bytes", "indexed_at"), ["file_path", "last_modified", "size_bytes"])
+        suspect = listed.join(alike.where("last_modified < indexed_at - 2").select("file_path"), "file_path", "left_anti")
+        hashed = stash.put(FI.read_files(spark, folder, suspect).drop("content"))
+        seen = hashed.select("file_path", "content_hash", F.timestamp_seconds("last_modified").cast("timestamp_ntz").alias("seen_at"), F.timestamp_seconds(F.lit(now)).cast("timestamp_ntz").alias("arrived_at"))
+        todo = stash.put(changed_records(seen, same_parser))
+        gone = stash.put(S.deleted_files(ledger, listed))
         counts = {"changed": todo.count(), "deleted": gone.count()}
         if not any(counts.values()):
             return counts
-        work = files.join(todo.select("file_path"), "file_path", "left_semi")
-        chunks, errors = parse_files(work, embed)
+        work = FI.read_files(spark, folder, todo)
+        chunks, errors = (stash.put(df) for df in parse_files(work, embed))
         replaced = todo.select("file_path").unionByName(gone)
         keep = lambda df, c: S.without_sources(df, replaced, c)
-        mentions = G.extract_entities(chunks)
+        mentions = stash.put(G.extract_entities(chunks))
+        done = hashed.join(todo.select("file_path"), "file_path", "left_semi").select("file_path", F.lower("content_hash").alias("content_hash"), "last_modified", F.lit(VERSION).alias("index_version"), F.lit(now).cast("bigint").alias("indexed_at"), "size_bytes")
         index.commit({
             "chunks": keep(index.read("chunks"), "file_path").unionByName(chunks), "errors": keep(index.read("errors"), "file_path").unionByName(errors),
             "entities": keep(index.read("entities"), "source_file").unionByName(mentions),
             "relations": keep(index.read("relations"), "source_file").unionByName(G.cooccurrence_relations(mentions)),
-            "registry": keep(ledger, "file_path").unionByName(work.select("file_path", F.lower("content_hash").alias("content_hash"), "last_modified", F.lit(VERSION).alias("index_version"), F.lit(now).cast("bigint").alias("indexed_at"))),
+            "registry": keep(ledger, "file_path").unionByName(done),
         })
         return counts
-    finally:
-        for df in (files, todo, gone):
-            df.unpersist()
 
 
 def unfinished_pages(pages: DataFrame, done: DataFrame) -> DataFrame:

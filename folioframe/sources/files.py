@@ -20,7 +20,10 @@ def walk(spark: SparkSession, folder: str, content: bool = True) -> DataFrame:
 
     Without ``content`` only the metadata is read. Hidden folders are skipped by Spark itself.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return _files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder), content)
+
+
+def _files(files: DataFrame, content: bool) -> DataFrame:
     path = F.regexp_replace("path", "^file:/*", "/")
     cols = [path.alias("file_path"), F.unix_timestamp("modificationTime").alias("last_modified"), F.col("length").alias("size_bytes")]
     if content:
@@ -28,6 +31,19 @@ def walk(spark: SparkSession, folder: str, content: bool = True) -> DataFrame:
     return files.select(*cols).where(S.should_index(F.col("file_path")))
 
 
+def read_files(spark: SparkSession, folder: str, wanted: DataFrame, few: int = 10_000) -> DataFrame:
+    """The files of ``wanted`` (file_path) below a folder, with content, as ``walk`` gives them.
+
+    Up to ``few`` files are opened by name; more are picked from a scan of the folder. Either way the same rows come out.
+    """
+    paths = [r["file_path"] for r in wanted.select("file_path").distinct().limit(few + 1).collect()]
+    if len(paths) > few:
+        return walk(spark, folder).join(wanted.select("file_path").distinct(), "file_path", "left_semi")
+    if not paths:
+        return walk(spark, folder).limit(0)
+    return _files(spark.read.format("binaryFile").load([re.sub(r"([\\{}\[\]*?,])", r"\\\1", p) for p in paths]), True)
+
+
 def reader_of(path: Column) -> Column:
     """The reader of a file by lower-case extension, null if none takes it."""
     ext = S.extension(path)
