@@ -401,6 +401,17 @@ def _clean(preset: str) -> str:
     return rf"regexp_replace({t}, '^\s+|\s+$', '', 'g')"
 
 
+_END = r"""[.!?:;。！？：；…"”’)\]）】]$"""
+_BARE = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '(page|p\.|seite|第)\s*\d+\s*(页)?(\s*(of|/|von)\s*\d+)?', '', 'g'), '^[-–—\s]*\d+[-–—\s]*(of\s*\d+)?', ''), '[-–—\s]*\d+[-–—\s]*$', ''))"
+_SCORES = rf"""t AS (SELECT * FROM b WHERE text IS NOT NULL),
+g AS (SELECT doc, page, sum(length(text)) AS chars, sum(length(text) - length(regexp_replace(text, '[\x{{FFFD}}\p{{Co}}\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{{9F}}]', '', 'g'))) AS bad,
+  least(1.0, (max(x + width) - min(x)) * (max(y + height) - min(y)) / (612.0 * 792.0)) AS coverage, list_sort(list(height / len(string_split(text, chr(10))))) AS heights FROM t GROUP BY doc, page),
+c AS (SELECT doc, page, ch, count(*) AS c FROM (SELECT doc, page, unnest(regexp_extract_all(text, '(?s).')) AS ch FROM t) GROUP BY ALL),
+p AS (SELECT *, c / sum(c) OVER (PARTITION BY doc, page) AS p FROM c), h AS (SELECT doc, page, 0.0 - sum(p * ln(p)) AS h, count(*) AS d FROM p GROUP BY doc, page),
+m AS (SELECT g.doc, g.page, chars, CASE WHEN chars > 0 THEN (chars - bad) / chars ELSE 0.0 END AS printable, CASE WHEN chars > 0 THEN bad / chars ELSE 0.0 END AS garbled, coverage, heights[len(heights) // 2 + 1] AS font,
+  CASE WHEN chars > 0 THEN coalesce(d, 0) / chars ELSE 0.0 END AS "unique", coalesce(h / greatest(ln(d), 1.0), 0.0) AS entropy FROM g LEFT JOIN h ON g.doc IS NOT DISTINCT FROM h.doc AND g.page IS NOT DISTINCT FROM h.page),
+s AS (SELECT *, 0.2 * printable + 0.35 * (1 - 1 / (1 + exp(-40 * (garbled - 0.1)))) + 0.15 / (1 + exp(-0.05 * (chars - 50))) + 0.15 * least(1.0, coverage * 2) + 0.15 * entropy AS score,
+  array_to_string(list_filter([CASE WHEN chars < 20 THEN 'few_characters' END, CASE WHEN garbled > 0.1 THEN 'garbled' END, CASE WHEN coverage < 0.05 THEN 'low_coverage' END, CASE WHEN entropy < 0.5 THEN 'low_entropy' END], lambda f: f IS NOT NULL), ',') AS flags FROM m)"""
 _NUM = r"[+-]?(\d{1,3}(,\d{3})+|\d+)(\.\d+)?"
 SQL = {
     "src_dispatch": f"WITH x AS (SELECT DISTINCT file_path, {_EXT} AS ext FROM files_now) SELECT file_path, CASE {_READERS} END AS reader FROM x",
@@ -504,4 +515,18 @@ SELECT entity_id, line FROM l ORDER BY line LIMIT 5""",
 SELECT block_id FROM m WHERE role = 'Footnote' OR (y >= 0.85 * 792 AND (regexp_matches(ltrim(text), '^([¹²³⁰-⁹]+|\[\d{{1,3}}\]|\d{{1,2}}\s+\S|[*†‡§]\s*\S|注\d*[:：])') OR coalesce(font < 0.85 * body, false)))""",
     "pg_markdown": rf"""WITH {_B}, l AS (SELECT doc, page, y, x, block_id, CASE role WHEN 'Title' THEN '# ' || text WHEN 'Heading' THEN '## ' || text WHEN 'List' THEN '- ' || regexp_replace(text, '^\s*[-*•●]\s*', '') WHEN 'Caption' THEN '*' || text || '*' ELSE text END AS l
 FROM b WHERE text IS NOT NULL AND role NOT IN ('Header', 'Footer', 'PageNumber')) SELECT doc, page, length(string_agg(l, chr(10) || chr(10) ORDER BY y, x, block_id)) AS n FROM l GROUP BY doc, page""",
+    "pg_orphans": rf"""WITH {_B}, w AS (SELECT *, lag(text) OVER o AS pt, lag(role) OVER o AS pr, lag(y + height) OVER o AS pb, row_number() OVER o AS n FROM b WINDOW o AS (PARTITION BY doc, page ORDER BY y, x, block_id)),
+f AS (SELECT *, CASE WHEN coalesce(NOT regexp_matches(rtrim(pt), '{_END}') AND length(text) <= 15 AND y - pb BETWEEN -5 AND 30 AND role = 'Body' AND pr = 'Body', false) THEN 0 ELSE 1 END AS new FROM w),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc, page ORDER BY n) AS g FROM f)
+SELECT arg_min(block_id, n) AS block_id, coalesce(length(string_agg(text, '' ORDER BY n)), 0) AS n FROM g GROUP BY doc, page, g""",
+    "pg_scores": f"""WITH {_B}, {_SCORES} SELECT doc, page, chars, {", ".join(f'round({c}, 5) AS {c}' for c in ("printable", "garbled", "coverage", "font", '"unique"', "entropy", "score"))}, flags FROM s""",
+    "pg_strategy": f"""WITH {_B}, {_SCORES} SELECT CASE WHEN score >= 0.6 THEN 'FastTrack' ELSE 'FastTrackPlusModels' END AS strategy, count(*) AS pages, count(*) FILTER (WHERE score < 0.3) AS ocr FROM s GROUP BY 1""",
+    "pg_headers_footers": rf"""WITH {_B}, e AS (SELECT doc, page, block_id, CASE WHEN y + height <= 0.08 * 792 THEN 'Header' ELSE 'Footer' END AS side, {_BARE.format('text')} AS bare FROM b WHERE y + height <= 0.08 * 792 OR y >= 0.92 * 792),
+n AS (SELECT doc, side, bare, count(DISTINCT page) AS pages, min(page) AS p0, max(page) AS p1, CASE WHEN length(bare) < 2 THEN [] ELSE list_transform(range(1, length(bare)), lambda i: substring(bare, i, 2)) END AS g FROM e WHERE bare IS NOT NULL GROUP BY doc, side, bare),
+h AS (SELECT a.doc, a.side, a.bare, a.pages, a.p0, a.p1, c.bare AS pattern FROM n a JOIN n c ON a.doc = c.doc AND a.side = c.side AND (a.bare = c.bare
+  OR (len(a.g) > 0 AND len(c.g) > 0 AND 2.0 * len(list_filter(c.g, lambda v: list_contains(a.g, v))) / (len(a.g) + len(c.g)) >= 0.8))),
+k AS (SELECT doc, side, pattern FROM h GROUP BY ALL HAVING max(pages) > 1 OR min(p0) < max(p1)),
+m AS (SELECT DISTINCT block_id, side FROM e JOIN (SELECT DISTINCT doc, side, bare FROM h JOIN k USING (doc, side, pattern)) r USING (doc, side, bare)),
+t AS (SELECT b.block_id, b.role, m.side, count(*) FILTER (WHERE m.side IS NULL) OVER (PARTITION BY b.doc, b.page) AS rest FROM b LEFT JOIN m ON b.block_id = m.block_id)
+SELECT block_id, CASE WHEN side IS NOT NULL AND rest > 0 THEN side ELSE role END AS role FROM t""",
 }
