@@ -24,26 +24,41 @@ from folioframe.stash import Stash
 #: Bounds of the training sample: documents, and sentences taken from them.
 SAMPLE_DOCS, SAMPLE_SENTENCES = 4000, 15_000
 _BITS = 18
-# Signs left by a cut, that are not part of the text.
-# The same for lengths: a blank before dots is the text's own last character.
-_LENGTH_MARK = r"(?:\.\.\.|…{1,2}|\s?\[(?:more|cut|truncated|continued)\]|\x{FFFD}+|,)$"
-_PYMARK = re.compile(r"(?:\s?\.\.\.|\s?…{1,2}|\s*\[(?:more|cut|truncated|continued)\]|�+|,)$")
-_SURE = re.compile(r"(?:\s*\[(?:more|cut|truncated|continued)\]|�+)$")
+#: Words in brackets that stores leave where they cut, the default of ``marks``.
+MARKS = ("more", "cut", "truncated", "continued")
 _END = re.compile(r"[.!?。！？][\"'”’»)\]]*$")
-# Phrases that end a text in dots of their own.
-_AND_SO_ON = {"and so on", "and so forth", "et cetera", "etc", "und so weiter", "usw", "et ainsi de suite", "y así sucesivamente", "e così via", "等等", "以此类推"}
+#: Phrases that end a text in dots of their own, the default of ``own_dots``.
+AND_SO_ON = ("and so on", "and so forth", "et cetera", "etc", "und so weiter", "usw", "et ainsi de suite", "y así sucesivamente", "e così via", "等等", "以此类推")
 _TOKEN = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+(?:[-'’][^\W\d_]+)*|\w+|[^\w\s]")
 _SPLIT = re.compile(r"(?<=[.!?])[\"'”’»)\]]*\s+|(?<=[。！？])")
 
 
+def _bracketed(marks: tuple[str, ...]) -> str:
+    return r"\[(?:" + "|".join(map(re.escape, marks)) + r")\]" if marks else r"(?!)"
+
+
+def _length_mark(marks: tuple[str, ...]) -> str:
+    """Signs left by a cut that are not part of the text; a blank before dots is the text's own last character."""
+    return r"(?:\.\.\.|…{1,2}|\s?" + _bracketed(marks) + r"|\x{FFFD}+|,)$"
+
+
+class Signs:
+    """Signs of a cut for the inspection of endings: ``any`` of them, and those that are ``sure``."""
+
+    def __init__(self, marks: tuple[str, ...] = MARKS, own_dots: tuple[str, ...] = AND_SO_ON):
+        self.any = re.compile(r"(?:\s?\.\.\.|\s?…{1,2}|\s*" + _bracketed(marks) + "|\ufffd+|,)$")
+        self.sure = re.compile(r"(?:\s*" + _bracketed(marks) + "|\ufffd+)$")
+        self.own_dots = frozenset(own_dots)
+
+
 def _count(text: Column, piece: str) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(piece)))) / F.lit(len(piece))
 
 
-def _body(text: Column) -> Column:
+def _body(text: Column, marks: tuple[str, ...]) -> Column:
     """The text without a trailing sign of a cut; only its last characters are searched for one."""
     tail = F.right(text, F.lit(40))
-    return F.left(text, F.length(text) - F.length(tail) + F.length(F.regexp_replace(tail, _LENGTH_MARK, "")))
+    return F.left(text, F.length(text) - F.length(tail) + F.length(F.regexp_replace(tail, _length_mark(marks), "")))
 
 
 def lengths(text: Column) -> dict[str, Column]:
@@ -60,14 +75,14 @@ def lengths(text: Column) -> dict[str, Column]:
     return {k: v.cast("bigint") for k, v in out.items()}
 
 
-def field_limits(docs: DataFrame, *, source: str, text: str, least: int = 4, share: float = 0.01, beyond: float = 0.02) -> DataFrame:
+def field_limits(docs: DataFrame, *, source: str, text: str, least: int = 4, share: float = 0.01, beyond: float = 0.02, marks: tuple[str, ...] = MARKS) -> DataFrame:
     """Sources whose texts pile up on a length limit: source, ``measure``, ``limit``, ``piled``, ``texts``.
 
     A length is a limit if at least ``least`` texts and ``share`` of the source have it (after a trailing sign of a cut is
     taken off), five times as many as the twenty lengths below have on average, and at most ``beyond`` of the source is
     longer. Of several measures the one with the highest pile counts. Null sources and texts are left out.
     """
-    body = _body(F.col("t"))
+    body = _body(F.col("t"), marks)
     rows = docs.select(F.col(source).alias("s"), F.col(text).alias("t")).where("s is not null and t is not null").select("s", body.alias("t"))
     measures = lengths(F.col("t"))
     sized = rows.select("s", *[v.alias(k) for k, v in measures.items()])
@@ -159,14 +174,14 @@ def whole_probability(weights: np.ndarray, sentence: str) -> float:
     return float(1 / (1 + np.exp(-np.clip(weights[features(ts)].sum(), -30, 30)))) if ts else 0.0
 
 
-def inspect(block: str, weights: np.ndarray, items: dict[int, float]) -> tuple[str, str | None]:
+def inspect(block: str, weights: np.ndarray, items: dict[int, float], signs: Signs) -> tuple[str, str | None]:
     """What the last block of a text ends with: ``whole``, the kind of cut, or ``word`` with a word to look up.
 
     ``items``: share of list items by number of words. A word to look up means: whole if the vocabulary knows it.
     """
-    if _SURE.search(block):
+    if signs.sure.search(block):
         return "mark", None
-    bare = _PYMARK.sub("", block)
+    bare = signs.any.sub("", block)
     marked = bare != block
     line = bare.rsplit("\n", 1)[-1]
     rows = [r for r in bare.split("\n") if r.startswith("|")]
@@ -191,7 +206,7 @@ def inspect(block: str, weights: np.ndarray, items: dict[int, float]) -> tuple[s
         return ("word", last) if ok and last else ("signature", None)
     if _END.search(line) or re.match(r"\s*(?:```|~~~)\s*$", line):
         return "whole", None
-    if marked and last_sentence(line).lower() in _AND_SO_ON:
+    if marked and last_sentence(line).lower() in signs.own_dots:
         return "whole", None
     if re.search(r"[。！？.!?]\s*[(（][^()（）\n]{1,40}[)）]$", line):
         return "whole", None
@@ -203,13 +218,15 @@ def inspect(block: str, weights: np.ndarray, items: dict[int, float]) -> tuple[s
     return ("word", last) if last else ("whole", None)
 
 
-def truncated(docs: DataFrame, *, doc: str, text: str, source: str, sample_docs: int = SAMPLE_DOCS, least_known: int = 3) -> DataFrame:
+def truncated(docs: DataFrame, *, doc: str, text: str, source: str, sample_docs: int = SAMPLE_DOCS, least_known: int = 3, marks: tuple[str, ...] = MARKS, own_dots: tuple[str, ...] = AND_SO_ON) -> DataFrame:
     """The cut texts: doc, source, ``how`` (field limit, code block, table row, list item, sentence, word, mark, signature).
 
     A text is cut if it has the limit length of its source, or if its end is missing. Whole texts may end without a
     full stop, in a list, a table, a signature, a path, or in dots of their own (``And so on...``). Null and empty texts
     aren't cut; a null source has no limit. Statistics (lengths, vocabulary, list items) cover all texts; only the
-    sentence model is trained on at most ``sample_docs`` texts, distinct ones with the smallest hashes.
+    sentence model is trained on at most ``sample_docs`` texts, distinct ones with the smallest hashes. ``marks`` are words that
+    stand in brackets where a store cut, ``own_dots`` phrases after which dots are the text's own; signs in neither list are
+    judged like any other ending.
     """
     spark = docs.sparkSession
     stash = Stash(spark)
@@ -225,8 +242,8 @@ def truncated(docs: DataFrame, *, doc: str, text: str, source: str, sample_docs:
     total = sum(r["n"] for r in sizes) or 1
     items = {r["w"]: r["n"] / total for r in sizes}
 
-    limits = field_limits(docs, source=source, text=text).select(F.col(source).alias("s"), "measure", "limit")
-    body = _body(F.col("t"))
+    limits = field_limits(docs, source=source, text=text, marks=marks).select(F.col(source).alias("s"), "measure", "limit")
+    body = _body(F.col("t"), marks)
     told = rows.join(stash.put(limits), "s", "left")
     length = F.coalesce(*[F.when(F.col("measure") == k, v) for k, v in lengths(body).items()])
     told = told.select(
@@ -234,12 +251,14 @@ def truncated(docs: DataFrame, *, doc: str, text: str, source: str, sample_docs:
         F.coalesce(F.col("measure").isNotNull() & (length == F.col("limit")), F.lit(False)).alias("at_limit"),
     )
 
+    signs = Signs(marks, own_dots)
+
     def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = weights.value
         for part in parts:
             hows, words = [], []
             for block, opened, at in zip(part["block"], part["open"], part["at_limit"]):
-                how, word = ("field limit", None) if at else ("code block", None) if opened else inspect(block, w, items)
+                how, word = ("field limit", None) if at else ("code block", None) if opened else inspect(block, w, items, signs)
                 hows.append(how)
                 words.append(word)
             yield pd.DataFrame({"d": part["d"], "s": part["s"], "how": hows, "word": words})
