@@ -149,20 +149,21 @@ def bands_for(recall: float, similarity: float, rows: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
-def schemes(size: int, recall: float = RECALL) -> list[tuple[int, int, int]]:
+def schemes(size: int, recall: float = RECALL, more: int = 0) -> list[tuple[int, int, int]]:
     """(name, rows, bands) of the bands a token of ``size`` letters takes part in.
 
     With one pad on either side a word of n letters has n + 1 pairs of letters. Two neighbours exchanged leave n - 2 of n + 4
     pairs equal, the least a slip within one length leaves; a letter dropped from n leaves n - 1 of n + 2. Tokens one
     slip apart share a scheme, that of their length or that of the longer one. More rows make shorter candidate lists
-    and need more bands, so short words have few. From 14 letters on the curve of 14 holds, words being more similar then.
+    and need more bands, so short words have few; ``more`` rows are added for large vocabularies, and the bands they need, so
+    the recall stays. From 14 letters on the curve of 14 holds, words being more similar then.
     """
     out = []
     for name, n, left, of in ((1000 + size, size, size - 2, size + 4), (size, size, size - 1, size + 2), (size + 1, size + 1, size, size + 3)):
         if n < 3:
             continue
         left, of = (left, of) if n <= 14 else ((12, 18) if name >= 1000 else (13, 16))
-        rows = 1 if n == 3 else 2 if n <= 6 else 3 if n <= 9 else 4
+        rows = more + (1 if n == 3 else 2 if n <= 6 else 3 if n <= 9 else 4)
         out.append((name, rows, bands_for(recall, left / of, rows)))
     return out
 
@@ -196,13 +197,13 @@ def band_keys(words: list[str], rows: int, bands: int, name: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _banded(recall: float):
+def _banded(recall: float, more: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             forms: dict[tuple[int, int, int], list[tuple[str, str]]] = {}
             for token in part["token"]:
                 for form in {token, _plain(token)}:
-                    for scheme in schemes(len(form), recall):
+                    for scheme in schemes(len(form), recall, more):
                         forms.setdefault(scheme, []).append((token, form))
             for (name, rows, bands), words in forms.items():
                 keys = band_keys([f for _, f in words], rows, bands, name)
@@ -223,7 +224,9 @@ def alike_tokens(tokens: DataFrame, stash: Stash | None = None, *, recall: float
     three letters is found by the scheme of three). Tokens of a crowded band are met in chunks, all of them.
     """
     stash = stash or Stash(tokens.sparkSession)
-    banded = stash.put(spread(tokens.distinct(), "token").mapInPandas(_banded(recall), "token string, band bigint"))
+    tokens, size = stash.put_counted(tokens.distinct())
+    more = max(0, math.ceil(math.log(max(size, 1) / 100_000, 100)))  # a row parts buckets about a hundredfold
+    banded = stash.put(spread(tokens, "token").mapInPandas(_banded(recall, more), "token string, band bigint"))
     met = [x.alias("a").join(y.alias("b"), on).where(F.col("a.token") < F.col("b.token")).select(F.col("a.token").alias("a"), F.col("b.token").alias("b")) for x, y, on in meetings(banded, "band", "token", block)]
     near = reduce(DataFrame.unionByName, met).distinct()
     # two edits are one exchange at most; what is farther apart is no slip, unless umlauts are spelled out

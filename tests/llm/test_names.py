@@ -64,8 +64,9 @@ def test_schemes_cover_every_slip(size):
                 continue
             a, b = grams(word), grams(slip)
             jaccard = len(a & b) / len(a | b)
-            shared = set(N.schemes(len(word))) & set(N.schemes(len(slip)))
-            assert max(1 - (1 - jaccard**r) ** n for _, r, n in shared) >= N.RECALL - 1e-9
+            for more in (0, 1):
+                shared = set(N.schemes(len(word), more=more)) & set(N.schemes(len(slip), more=more))
+                assert max(1 - (1 - jaccard**r) ** n for _, r, n in shared) >= N.RECALL - 1e-9
 
 
 @pytest.mark.parametrize("size, letters", [(n, "abcdefghijklmnopqrstuvwxyz") for n in (3, 4, 5, 6, 7, 8, 10, 13, 17)] + [(3, "".join(chr(0x4E00 + 7 * i) for i in range(300)))])
