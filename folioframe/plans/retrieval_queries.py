@@ -30,7 +30,8 @@ _OPEN: dict[str, R.TextIndex] = {}
 def text_index(spark: SparkSession, d: str) -> R.TextIndex:
     """The written index of a folder's chunks, made by the first search and read by all others until the table changes."""
     root = f"{shared_folder(spark).rstrip('/')}/index-{fingerprint(spark, f'{d}/chunks.parquet')}"
-    if root not in _OPEN or not exists(spark, f"{root}/stats/_SUCCESS"):
+    known = root in _OPEN and _OPEN[root].spark is spark  # one of a session that has ended can't be read
+    if not known or not exists(spark, f"{root}/stats/_SUCCESS"):
         if not exists(spark, f"{root}/stats/_SUCCESS"):
             R.TextIndex.build(chunks(spark, d), root)
         _OPEN[root] = R.TextIndex(spark, root)

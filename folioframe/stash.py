@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import hashlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,6 +29,7 @@ def shared_folder(spark: SparkSession) -> str:
         return conf
     if spark.sparkContext.master.startswith("local"):
         made = tempfile.mkdtemp(prefix="folioframe-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", f"file://{made}")
         return f"file://{made}"
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_folioframe"
