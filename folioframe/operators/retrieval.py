@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from folioframe.functions import text as T, values as V
+from folioframe.stash import exists
 
 # Hits per leg and in the end, cut-offs of either leg, BM25 parameters.
 LEG, FINAL, RELATIVE, FLOOR, K1, B = 20, 10, 1.5, 0.3, 1.2, 0.75
@@ -30,6 +32,8 @@ WORDS = {
 STEMMED = ("file_name_std", "text_std", "path_tags")
 #: Parts an index is cut into by hash of the term; a query reads those of its terms.
 BUCKETS = 64
+#: Changes with what is written, so that an index of another make isn't read.
+FORMAT = 2
 
 
 class TextIndex:
@@ -50,7 +54,7 @@ class TextIndex:
         spark, fields = chunks.sparkSession, fields or FIELDS | WORDS
         chunks.write.mode("overwrite").parquet(f"{root}/chunks")
         kept = spark.read.parquet(f"{root}/chunks")
-        bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
+        bucket = (F.crc32(F.col("term").cast("binary")) % BUCKETS).cast("int")
         rows = postings(kept, fields).withColumn("bucket", bucket)
         rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "field").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings")
         seen = spark.read.parquet(f"{root}/postings").groupBy("bucket", "field", "term").agg(F.count(F.lit(1)).alias("df"))
@@ -60,10 +64,13 @@ class TextIndex:
 
     def _of(self, name: str, terms: dict[str, list[str]]) -> DataFrame:
         every = sorted({t for ts in terms.values() for t in ts})
-        wanted = self.spark.createDataFrame([(t,) for t in every], "term string").select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("b")).distinct()
-        buckets = [r["b"] for r in wanted.collect()]  # as many as a query has terms
-        schema = "field string, term string, id string, tf bigint, length int, bucket int" if name == "postings" else "field string, term string, df bigint, bucket int"
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}").where(F.col("bucket").isin(buckets) & F.col("term").isin(every) & F.col("field").isin(list(terms)))
+        # the buckets' folders are named, so no other is listed
+        folders = [f"{self.root}/{name}/bucket={b}" for b in sorted({zlib.crc32(t.encode()) % BUCKETS for t in every})]
+        folders = [f for f in folders if exists(self.spark, f)]
+        schema = "field string, term string, id string, tf bigint, length int" if name == "postings" else "field string, term string, df bigint"
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*folders).where(F.col("term").isin(every) & F.col("field").isin(list(terms)))
 
     def scored(self, terms: dict[str, list[str]], boosts: dict[str, float]) -> DataFrame:
         """Boosted BM25 of each chunk that has any of the terms of a field: id, ``score``."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -10,7 +12,7 @@ from folioframe.operators import graph as G, retrieval as R, store as S
 from folioframe.operators.incremental import latest
 from folioframe.streaming import changes as CH
 from folioframe.session import table
-from folioframe.stash import exists, fingerprint, shared_folder
+from folioframe.stash import exists, fingerprint, publish, shared_folder
 
 QUERY = "persistent translator checkpoint ranking"
 STD = R.WORDS
@@ -29,11 +31,13 @@ _OPEN: dict[str, R.TextIndex] = {}
 
 def text_index(spark: SparkSession, d: str) -> R.TextIndex:
     """The written index of a folder's chunks, made by the first search and read by all others until the table changes."""
-    root = f"{shared_folder(spark).rstrip('/')}/index-{fingerprint(spark, f'{d}/chunks.parquet')}"
-    known = root in _OPEN and _OPEN[root].spark is spark  # one of a session that has ended can't be read
-    if not known or not exists(spark, f"{root}/stats/_SUCCESS"):
-        if not exists(spark, f"{root}/stats/_SUCCESS"):
-            R.TextIndex.build(chunks(spark, d), root)
+    root = f"{shared_folder(spark).rstrip('/')}/index-{R.FORMAT}-{fingerprint(spark, f'{d}/chunks.parquet')}"
+    if not exists(spark, root):
+        made = f"{root}-{uuid.uuid4().hex}"
+        R.TextIndex.build(chunks(spark, d), made)
+        publish(spark, made, root)  # whole or not at all, whoever else makes it
+        _OPEN.pop(root, None)
+    if root not in _OPEN or _OPEN[root].spark is not spark:  # one of a session that has ended can't be read
         _OPEN[root] = R.TextIndex(spark, root)
     return _OPEN[root]
 

@@ -48,6 +48,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def publish(spark: SparkSession, made: str, path: str) -> None:
+    """Give a folder that is complete its final name; if another process was first, its folder stays and this one goes."""
+    jvm = spark.sparkContext._jvm
+    source, target = jvm.org.apache.hadoop.fs.Path(made), jvm.org.apache.hadoop.fs.Path(path)
+    fs = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target) or not fs.rename(source, target):
+        fs.delete(source, True)
+
+
 def fingerprint(spark: SparkSession, path: str) -> str:
     """A hash of a path and of the size and time of the files directly in it, so that it changes when they do."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
