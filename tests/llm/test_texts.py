@@ -193,7 +193,7 @@ def test_signs_of_ones_own(spark):
     own, weights = T.Signs(("gekürzt",), ("u a m",)), T.train([])
     assert T.inspect("Ein Text [gekürzt]", weights, {}, own) == ("mark", None) and T.inspect("Ein Text. [gekürzt]", weights, {}, T.Signs())[0] != "mark"
     assert T.inspect("Eins. u a m...", weights, {}, own) == ("whole", None)
-    rows = [(i, "The team reads the rest of it." + (" [gekürzt]" if i == 3 else ""), "s") for i in range(8)]
+    rows = [(i, "The team reads the rest of it. " * (i + 1) + ("[gekürzt]" if i == 3 else ""), "s") for i in range(8)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert [r["doc_id"] for r in T.truncated(df, doc="doc_id", text="text", source="source", marks=("gekürzt",)).where("how = 'mark'").collect()] == [3]
     assert T.Signs((), ()).sure.search("x [more]") is None
