@@ -202,7 +202,7 @@ def hits_of_queries(index: DataFrame, stats: DataFrame, queries: DataFrame, k: i
     """
     asked = queries.select("qid", F.explode(F.array_distinct("terms")).alias("term"))
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    told = index.join(asked, "term").join(df, "term").crossJoin(F.broadcast(stats.select("docs", "avg_length")))  # one row
+    told = index.join(asked, "term").join(df, "term").withColumn("docs", stats.select("docs").scalar()).withColumn("avg_length", stats.select("avg_length").scalar())
     idf = F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     scored = told.groupBy("qid", "id").agg(F.sum(idf * _saturated(F.col("avg_length"))).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "id"))).where(F.col("rank") <= k)

@@ -353,9 +353,9 @@ def _normal(c):
 def _quoted(spark, d):
     """Items whose quote some document holds, word for word; the items are a fixed, small set (240), so they go to every document."""
     quotes = table(spark, d, "eval_items").where("quote is not null").select("item_id", _normal(F.col("quote")).alias("q"))
-    asked = F.broadcast(quotes.agg(F.collect_list(F.struct("item_id", "q")).alias("qs")))
+    asked = quotes.agg(F.collect_list(F.struct("item_id", "q")).alias("qs")).scalar()
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", _normal(F.col("text")).alias("t"))
-    held = docs.crossJoin(asked).select("doc_id", F.explode(F.filter("qs", lambda x: F.col("t").contains(x["q"]))).alias("x"))  # one row on the right
+    held = docs.withColumn("qs", asked).select("doc_id", F.explode(F.filter("qs", lambda x: F.col("t").contains(x["q"]))).alias("x"))
     return held.select("doc_id", "x.item_id")
 
 
